@@ -1,0 +1,20 @@
+"""Size checks in front of broadcasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from barloom.session import stage
+
+# A broadcast side of this many narrow rows stays far below the executors' memory.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` materialised once; hinted for broadcast only if it was counted and is small.
+
+    Above the limit it stays a plain join side, which Spark shuffles (and splits where skewed).
+    """
+    staged = stage(df)
+    return F.broadcast(staged) if staged.limit(max_rows + 1).count() <= max_rows else staged

@@ -1,0 +1,6 @@
+"""No streaming operators: every job in this domain is a batch job keyed by code and date.
+
+Late data is handled in batch: the current month is rewritten (`plans.export_gate`), snapshots of
+event-driven sources are sticky (`operators.completeness`), and misses are retried from a registry
+(`operators.registry`).
+"""
