@@ -115,14 +115,14 @@ def _(spark, sf):
     with_views(
         "bars_m",
         _X
-        + """SELECT trade_date, ts_code, round(x, 6) AS value,
+        + """SELECT trade_date, ts_code, x AS value,
              row_number() OVER (PARTITION BY trade_date ORDER BY x DESC, ts_code) AS position
         FROM p WHERE x IS NOT NULL""",
     ),
 )
 def _(spark, sf):
     return xsection.ranked(panel(spark, sf), "x").select(
-        "trade_date", "ts_code", F.round("x", 6).alias("value"), "position"
+        "trade_date", "ts_code", F.col("x").alias("value"), "position"
     )
 
 

@@ -263,6 +263,59 @@ REPORTS = """reports AS MATERIALIZED (
   FROM (SELECT *, last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS q FROM orders))"""
 
 
+def companies(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per reporting company: life span from its first and last order."""
+    k = F.col("k")
+    span = (
+        table(spark, sf, "orders")
+        .groupBy(F.col("o_custkey").alias("k"))
+        .agg(F.min(F.to_date("o_orderdate")).alias("lo"), F.max(F.to_date("o_orderdate")).alias("hi"))
+    )
+    m10 = (k % 10).cast("int")
+    return span.select(
+        F.concat(F.lit("C"), F.lpad(k.cast("string"), 12, "0")).alias("ts_code"),
+        F.when(m10 == 9, F.lit("")).otherwise(ymd(F.date_add("lo", (k * 37 % 400).cast("int")))).alias("list_date"),
+        F.when(m10.isin(2, 5), ymd(F.date_sub("hi", (k * 53 % 300).cast("int"))))
+        .when(m10.isin(1, 3), F.lit(""))
+        .alias("delist_date"),
+    )
+
+
+COMPANIES = """companies AS MATERIALIZED (
+  SELECT 'C' || lpad(CAST(k AS VARCHAR), 12, '0') AS ts_code,
+         CASE WHEN k % 10 = 9 THEN '' ELSE strftime(lo + CAST(k * 37 % 400 AS INTEGER), '%Y%m%d') END AS list_date,
+         CASE WHEN k % 10 IN (2, 5) THEN strftime(hi - CAST(k * 53 % 300 AS INTEGER), '%Y%m%d')
+              WHEN k % 10 IN (1, 3) THEN '' END AS delist_date
+  FROM (SELECT o_custkey AS k, min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi
+        FROM orders GROUP BY 1))"""
+
+
+# Index codes that stand for the return flags.
+_INDEX = {"A": "000300.SH", "N": "000905.SH", "R": "000852.SH"}
+
+
+def index_m(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly index bars, one index per return flag."""
+    c = F.col("l_returnflag")
+    index_code = F.when(c == "A", F.lit(_INDEX["A"])).when(c == "N", F.lit(_INDEX["N"])).otherwise(F.lit(_INDEX["R"]))
+    g = (
+        table(spark, sf, "lineitem")
+        .groupBy(index_code.alias("ts_code"), F.last_day(F.to_date("l_shipdate")).alias("d"))
+        .agg(
+            F.round(F.avg("l_extendedprice"), 3).alias("open"),
+            F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 3).alias("close"),
+        )
+    )
+    return g.select("ts_code", ymd(F.col("d")).alias("trade_date"), "open", "close")
+
+
+INDEX_M = f"""index_m AS MATERIALIZED (
+  SELECT CASE l_returnflag WHEN 'A' THEN '{_INDEX['A']}' WHEN 'N' THEN '{_INDEX['N']}' ELSE '{_INDEX['R']}' END AS ts_code,
+         strftime(last_day(CAST(l_shipdate AS DATE)), '%Y%m%d') AS trade_date,
+         round(avg(l_extendedprice), 3) AS open, round(sum(l_extendedprice) / sum(l_quantity), 3) AS close
+  FROM lineitem GROUP BY 1, 2)"""
+
+
 _CTES = {
     "bars_m": BARS_M,
     "bars_d": BARS_D,
@@ -271,6 +324,8 @@ _CTES = {
     "suspend": SUSPEND,
     "landing": LANDING,
     "reports": REPORTS,
+    "companies": COMPANIES,
+    "index_m": INDEX_M,
 }
 
 
