@@ -11,9 +11,11 @@ def sorted_days(days: DataFrame, col: str = "trade_date"):
     return days.agg(F.sort_array(F.collect_set(col))).scalar()
 
 
-def expected_grid(listing: DataFrame, opens: DataFrame, start: str | None = None, end: str | None = None, suspended: DataFrame | None = None, day: str = "trade_date") -> DataFrame:
+def expected_grid(listing: DataFrame, opens: DataFrame, start: str | None = None, end: str | None = None, suspended: DataFrame | None = None, day: str = "trade_date", keep_delist_day: bool = False, need_list_date: bool = False) -> DataFrame:
     """Open days of each code within its life span, less its all-day suspensions.
 
+    `keep_delist_day` counts the delisting day as a listed one; `need_list_date` leaves out codes without a list_date.
+
     The calendar is one array literal for all codes, so codes are expanded in place: no cross join, no range join,
     and the codes are not shuffled.
     """
@@ -23,8 +25,12 @@ def expected_grid(listing: DataFrame, opens: DataFrame, start: str | None = None
         opens = opens.where(F.col(day) >= start)
     if end:
         opens = opens.where(F.col(day) <= end)
+    if need_list_date:
+        listing = listing.where(lo != "")
     with_days = listing.select("ts_code", lo.alias("_lo"), hi.alias("_hi"), sorted_days(opens, day).alias("_days"))
-    alive = lambda d: (d >= F.col("_lo")) & ((F.col("_hi") == "") | (d < F.col("_hi")))
+    alive = lambda d: (d >= F.col("_lo")) & (
+        (F.col("_hi") == "") | (d <= F.col("_hi") if keep_delist_day else d < F.col("_hi"))
+    )
     grid = with_days.select("ts_code", F.explode(F.filter("_days", alive)).alias(day))
     if suspended is not None:
         grid = grid.join(suspended.select("ts_code", day).distinct(), ["ts_code", day], "left_anti")

@@ -1,6 +1,6 @@
 """Cross-section group backtest, set-based over all rebalance dates.
 
-The reference loop over dates becomes joins on the rebalance number; the only dependence between dates, holdings
+The loop over dates that the definition suggests becomes joins on the rebalance number; the only dependence between dates, holdings
 before and after, is a join of the holdings with themselves one number later.
 """
 
@@ -240,8 +240,11 @@ def quality_warnings(bars: DataFrame, rets: DataFrame, n_rebalances: int, n_days
 def summary(result: BacktestResult, labels: dict[str, str] | None = None) -> DataFrame:
     """One row: IC means and ratios, mean turnover, metrics of long-short, Sharpe of the top group."""
     ls = series.return_metrics(result.returns, "long_short")
-    top = series.return_metrics(result.returns, result.groups[0]).select(F.col("sharpe").alias("top_group_sharpe"))
+    top = series.return_metrics(result.returns, result.groups[0]).select("sharpe")
     turn = result.turnover.agg(F.avg("turnover").alias("avg_turnover"), F.count(F.lit(1)).alias("n_rebalance"))
-    one = lambda df: df.withColumn("_k", F.monotonically_increasing_id())  # noqa: E731  (each side is one row)
-    out = one(xsection.ic_summary(result.ic)).join(one(ls), "_k", "full").join(one(top), "_k", "full").join(one(turn), "_k", "full")
-    return out.drop("_k").withColumns({k: F.lit(v) for k, v in (labels or {}).items()})
+    row = lambda df: df.select(F.struct(*df.columns)).scalar()  # noqa: E731  (one row each)
+    out = xsection.ic_summary(result.ic).withColumns({"_ls": row(ls), "_turn": row(turn), "top_group_sharpe": top.scalar()})
+    return out.select(
+        "ic_mean", "rank_ic_mean", "icir", "rank_icir", "_ls.*", "top_group_sharpe", "_turn.*",
+        *[F.lit(v).alias(k) for k, v in (labels or {}).items()],
+    )
