@@ -171,7 +171,7 @@ def _(spark, sf):
     "u7b_missing_days_per_index",
     with_views(
         "index_m bars_m",
-        """& have AS (SELECT ts_code, trade_date FROM index_m WHERE open > 25500),
+        """& have AS (SELECT ts_code, trade_date FROM index_m WHERE open > 25800),
         days AS (SELECT DISTINCT trade_date FROM bars_m), codes AS (SELECT unnest(['000300.SH', '000905.SH', '399006.SZ']) AS ts_code)
         SELECT c.ts_code, min(d.trade_date) AS first_missing, max(d.trade_date) AS last_missing, count(*) AS n_missing
         FROM codes c, days d WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.ts_code = c.ts_code AND h.trade_date = d.trade_date)
@@ -181,7 +181,7 @@ def _(spark, sf):
 def _(spark, sf):
     from barloom.operators.index_gaps import missing_days
 
-    have = index_m(spark, sf).where("open > 25500")
+    have = index_m(spark, sf).where("open > 25800")
     return missing_days(["000300.SH", "000905.SH", "399006.SZ"], have, bars_m(spark, sf).select("trade_date").distinct())
 
 

@@ -63,7 +63,7 @@ def delist_backfill(listing: DataFrame, bars: DataFrame, dry_run: bool = False)
 
 
 def last_quote(bars: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Last bar of each code, its previous close and the change in percent.
+    """Last bar of each code, its previous close and the relative change.
 
     The two newest bars are kept per code by aggregation: the newest, then the newest before it.
     """
@@ -75,5 +75,5 @@ def last_quote(bars: DataFrame, names: DataFrame | None = None) -> DataFrame:
         .groupBy("ts_code")
         .agg(F.max_by("close", "trade_date").alias("pre_close"))
     )
-    change = F.when(F.col("pre_close") != 0, (F.col("close") / F.col("pre_close") - 1.0) * 100)
+    change = F.when(F.col("pre_close") != 0, F.col("close") / F.col("pre_close") - 1.0)
     return last.join(prev, "ts_code", "left").select("ts_code", "_l.trade_date", "_l.close", "pre_close").withColumn("change_pct", change)

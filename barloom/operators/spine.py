@@ -29,7 +29,8 @@ def calendar_days(spark: SparkSession, start: str, end: str) -> DataFrame:
     if start > end:
         return spark.range(0).select(F.lit("").alias("date_key"))
     row = _one_row(spark, s=start, e=end)
-    return row.select(ymd(F.explode(F.sequence(to_day(F.col("s")), to_day(F.col("e"))))).alias("date_key"))
+    days = row.select(F.explode(F.sequence(to_day(F.col("s")), to_day(F.col("e")))).alias("d"))
+    return days.select(ymd(F.col("d")).alias("date_key"))
 
 
 def months(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -105,6 +106,12 @@ def newest_first_page(spine: DataFrame, key: str, page: int, size: int) -> DataF
     return hit.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 0")
 
 
+def page_of(spine: DataFrame, key: str, page: int, size: int) -> DataFrame:
+    """The spine's rows on one newest-first page."""
+    b = newest_first_page(spine, key, page, size)
+    return spine.where(F.col(key).between(b.select("lo").scalar(), b.select("hi").scalar())).orderBy(F.desc(key))
+
+
 def incremental_start(stored: DataFrame, date_col: str, configured: str) -> DataFrame:
     """Later of the configured start and the day after the last stored one."""
     nxt = ymd(F.date_add(to_day(F.max(date_col)), 1))
