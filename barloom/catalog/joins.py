@@ -22,6 +22,7 @@ from barloom.catalog.views import (
     ymd,
 )
 from barloom.operators import factorset, gaps, merge, ordering, portfolio, series, spine, universe
+from barloom.session import stage
 
 LISTED_SQL = (
     "({l}.list_date IS NOT NULL AND {l}.list_date <> '' AND {l}.list_date <= {d} "
@@ -328,7 +329,7 @@ GROUPS_SQL = """, hold AS (SELECT trade_date, dense_rank() OVER (ORDER BY trade_
 def holdings(spark, sf):
     from pyspark.sql import Window
 
-    g = portfolio.with_group_id(ordering.quantile_groups(panel(spark, sf), "x", 5, ["trade_date"]))
+    g = stage(portfolio.with_group_id(ordering.quantile_groups(stage(panel(spark, sf)), "x", 5, ["trade_date"])))
     numbered = g.select("trade_date").distinct().withColumn(
         "rebalance_no", F.row_number().over(Window.orderBy("trade_date")).cast("long")
     )

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.registry import query
-from barloom.catalog.rolling import panel
-from barloom.catalog.views import bars_m, listing, suspend, with_views
+from barloom.catalog.rolling import panel as derived_panel
+from barloom.catalog.views import bars_m, with_views
 from barloom.operators import ordering, portfolio, xsection
+from barloom.session import stage
 
 _X = """& p AS (SELECT ts_code, trade_date, close * adj_factor AS x, vol AS y, close, up_limit, down_limit FROM bars_m)
 """
 
 
+def panel(spark, sf):
+    """The panel, staged: ordering a cross-section reads it several times."""
+    return stage(derived_panel(spark, sf))
+
+
 @query(
     "r1_rank",
     with_views(
@@ -62,7 +68,7 @@ def _(spark, sf):
 def _(spark, sf):
     from barloom.functions.rolling import ts_rank
 
-    return panel(spark, sf).select("ts_code", "trade_date", F.round(ts_rank(F.col("y"), 10), 6).alias("value"))
+    return derived_panel(spark, sf).select("ts_code", "trade_date", F.round(ts_rank(F.col("y"), 10), 6).alias("value"))
 
 
 @query(
@@ -104,7 +110,7 @@ def _(spark, sf):
     from barloom.functions.scalars import limit_hit
 
     b = bars_m(spark, sf).withColumn("x", F.col("close") * F.col("adj_factor"))
-    b = b.withColumn("blocked", limit_hit(F.col("close"), F.col("up_limit"), F.col("down_limit")))
+    b = stage(b).withColumn("blocked", limit_hit(F.col("close"), F.col("up_limit"), F.col("down_limit")))
     targets = portfolio.with_group_id(ordering.quantile_groups(b, "x", 5, ["trade_date"]))
     kept = portfolio.renormalise(targets.where(~F.col("blocked")))
     return kept.select("ts_code", "trade_date", "group_id", F.round("weight", 8).alias("weight"))
@@ -155,10 +161,10 @@ _FWD = """, f AS (SELECT ts_code, trade_date, round(x, 8) AS factor,
 def _factor_and_forward(spark, sf):
     from pyspark.sql import Window
 
-    p = panel(spark, sf)
+    p = derived_panel(spark, sf)
     w = Window.partitionBy("ts_code").orderBy("trade_date")
     f = p.select("ts_code", "trade_date", F.round("x", 8).alias("factor"), (F.lead("x").over(w) / F.col("x") - 1.0).alias("fwd"))
-    return f.where(F.col("factor").isNotNull() & F.col("fwd").isNotNull())
+    return stage(f.where(F.col("factor").isNotNull() & F.col("fwd").isNotNull()))
 
 
 @query(

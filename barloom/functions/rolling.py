@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barloom.functions.stats import pearson, slope
+
 
 def by_code() -> WindowSpec:
     return Window.partitionBy("ts_code").orderBy("trade_date")
@@ -91,11 +93,7 @@ def _pair(x: Column, y: Column) -> Column:
 def ts_corr(x: Column, y: Column, d: int = 6, w: WindowSpec | None = None) -> Column:
     """Pearson correlation; null where a side does not vary."""
     t = trailing(d, w)
-    p = _pair(x, y)
-    flat = (F.max(F.when(p == 1, x)).over(t) == F.min(F.when(p == 1, x)).over(t)) | (
-        F.max(F.when(p == 1, y)).over(t) == F.min(F.when(p == 1, y)).over(t)
-    )
-    return F.when((F.count(p).over(t) == d) & ~flat, F.corr(x, y).over(t))
+    return F.when(F.count(_pair(x, y)).over(t) == d, pearson(x, y, lambda c: c.over(t)))
 
 
 def ts_cov(x: Column, y: Column, d: int, w: WindowSpec | None = None) -> Column:
@@ -132,10 +130,8 @@ def reg_beta(y: Column, x: Column, d: int, w: WindowSpec | None = None) -> Colum
     """Least-squares slope of y on x over the pairs in the last d rows; at least max(3, d // 2) pairs."""
     t = trailing(d, w)
     p = _pair(x, y)
-    xs = F.when(p == 1, x)
     enough = (F.count(F.lit(1)).over(t) == d) & (F.count(p).over(t) >= max(3, d // 2))
-    varies = F.max(xs).over(t) != F.min(xs).over(t)
-    return F.when(enough & varies, F.regr_slope(y, x).over(t))
+    return F.when(enough, slope(y, x, lambda c: c.over(t)))
 
 
 def reg_beta_seq(y: Column, d: int, w: WindowSpec | None = None) -> Column:

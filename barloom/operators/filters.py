@@ -11,8 +11,10 @@ MAX_SLICE = 20_000
 IN_LIST = 500
 
 
-def where_in(df: DataFrame, column: str, values: list[str]) -> DataFrame:
-    """Rows whose column is among the values; no values, no rows."""
+def where_in(df: DataFrame, column: str, values: list[str] | DataFrame) -> DataFrame:
+    """Rows whose column is among the values (a list, or a table with that column); no values, no rows."""
+    if isinstance(values, DataFrame):
+        return df.join(values.select(column).distinct(), column, "left_semi")
     if not values:
         return df.where(F.lit(False))
     if len(values) <= IN_LIST:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.operators import ordering
+from barloom.operators.sizing import small_side
 
 ITEMS = "array<struct<factor_name:string,weight:double>>"
 
@@ -47,17 +48,17 @@ def score_combos(long: DataFrame, combos: DataFrame) -> DataFrame:
     z-scores take each factor's stats per date; the weights of the factors that a code has are normalised.
     """
     stats = {"_m": F.avg("value"), "_s": F.stddev_samp("value")}
-    items = combo_items(combos)
-    used = long.join(F.broadcast(items.select("factor_name").distinct()), "factor_name", "left_semi")
+    items = small_side(combo_items(combos))
+    used = long.join(items.select("factor_name").distinct(), "factor_name", "left_semi")
     scored = ordering.with_group_stats(used, ["factor_name", "trade_date"], stats)
     std = F.col("_s")
     z = F.when(std.isNotNull() & ~F.isnan(std) & (std > 0), (F.col("value") - F.col("_m")) / std).otherwise(F.lit(0.0))
-    parts = scored.select("factor_name", "trade_date", "ts_code", z.alias("z")).join(F.broadcast(items), "factor_name")
+    parts = scored.select("factor_name", "trade_date", "ts_code", z.alias("z")).join(items, "factor_name")
     total = parts.groupBy("combo", "trade_date", "ts_code").agg(
         F.sum(F.col("z") * F.col("weight")).alias("_t"), F.sum("weight").alias("_w")
     )
     out = total.where(F.col("_w") > 0).select("combo", "trade_date", "ts_code", (F.col("_t") / F.col("_w")).alias("value"))
-    return ordering.positions(out, ["combo", "trade_date"], [-F.round("value", 9), F.col("ts_code")])
+    return ordering.positions(out, ["combo", "trade_date"], [-F.col("value"), F.col("ts_code")])
 
 
 def matrices_to_long(matrices: dict[str, DataFrame], index: str, present: str = "close") -> DataFrame:

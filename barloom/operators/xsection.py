@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.stats import pearson
 from barloom.operators import ordering
 
 
@@ -45,8 +46,7 @@ def information_coefficient(pairs: DataFrame, factor: str, fwd: str, by: str = "
     ok = pairs.where(F.col(factor).isNotNull() & F.col(fwd).isNotNull()).select(by, factor, fwd)
 
     def corr(x: str, y: str) -> Column:
-        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-        return F.when((F.count(F.lit(1)) >= 3) & varies, F.corr(x, y))
+        return F.when(F.count(F.lit(1)) >= 3, pearson(F.col(x), F.col(y)))
 
     if not rank:
         return ok.groupBy(by).agg(corr(factor, fwd).alias("ic"))

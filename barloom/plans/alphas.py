@@ -75,16 +75,16 @@ def pending(alphas: list[Alpha], existing: DataFrame, month: str, force: bool =
 
 def demo() -> list[Alpha]:
     """Compositions that use every kind of operator."""
-    c, v = F.col("close_adj"), F.col("vol")
+    c, v, high, low = F.col("close_adj"), F.col("vol"), F.col("high_adj"), F.col("low_adj")
     return [
-        Alpha("demo_reversal", lambda: -ts.delta(c, 5)),
+        Alpha("demo_reversal", lambda: -ts.delta(c, 5) / c),
         Alpha("demo_price_volume", lambda: ts.ts_corr(c, v, 6)),
-        Alpha("demo_range", lambda: (c - ts.ts_min(F.col("low_adj"), 9)) / (ts.ts_max(F.col("high_adj"), 9) - ts.ts_min(F.col("low_adj"), 9))),
+        Alpha("demo_range", lambda: F.try_divide(c - ts.ts_min(low, 9), ts.ts_max(high, 9) - ts.ts_min(low, 9))),
         Alpha("demo_decay", lambda: ts.decay_linear(F.col("ret"), 4)),
         Alpha("demo_up_share", lambda: ts.ts_count(F.col("ret") > 0, 6) / 6.0),
-        Alpha("demo_directional", lambda: ts.ts_sum(F.col("dtm"), 5) - ts.ts_sum(F.col("dbm"), 5)),
+        Alpha("demo_directional", lambda: (ts.ts_sum(F.col("dtm"), 5) - ts.ts_sum(F.col("dbm"), 5)) / c),
         Alpha("demo_rank_gap", lambda: F.col("rank_vol") - F.col("rank_ret"), (("rank_vol", lambda: v), ("rank_ret", lambda: F.col("ret")))),
         Alpha("demo_rank_corr", lambda: ts.ts_corr(F.col("rank_vol"), F.col("rank_ret"), 5), (("rank_vol", lambda: v), ("rank_ret", lambda: F.col("ret")))),
         from_text("demo_text", "case when close_adj > open_adj then (close_adj - open_adj) / open_adj else 0.0 end"),
-        Alpha("demo_self", lambda: scalars.where(F.col("ret") > 0.1, F.lit(0.0), F.col("tr"))),
+        Alpha("demo_self", lambda: scalars.where(F.col("ret") > 0.1, F.lit(0.0), F.col("tr") / c)),
     ]

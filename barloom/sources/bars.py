@@ -62,7 +62,7 @@ class BarStore:
         first = month if window == 0 else shift_month(month, -(math.ceil(window / DAYS_PER_MONTH) + 1))
         return with_adjusted(self.table().where(F.col("dt").between(first, month)).drop("dt"))
 
-    def read_range(self, start: str, end: str, codes: list[str] | None = None) -> DataFrame:
+    def read_range(self, start: str, end: str, codes: list[str] | DataFrame | None = None) -> DataFrame:
         """Bars of the closed range, with adjusted prices; an error when no month covers it."""
         if not start or not end or start > end:
             raise ValueError(f"bad range: {start!r} to {end!r}")
@@ -82,7 +82,7 @@ class FactorStore:
     def table(self) -> DataFrame:
         return self.spark.read.schema(_partitioned(FACTOR.schema, "factor_name", "dt")).parquet(self.path)
 
-    def read(self, name: str, start: str, end: str, codes: list[str] | None = None) -> DataFrame:
+    def read(self, name: str, start: str, end: str, codes: list[str] | DataFrame | None = None) -> DataFrame:
         """One series in the closed range; an unknown name or a bad range gives no rows."""
         rows = self.table().where((F.col("factor_name") == name) & F.col("dt").between(start[:6], end[:6]))
         rows = rows.where(F.col("trade_date").between(start, end)).select("ts_code", "trade_date", "value")
