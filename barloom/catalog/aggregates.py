@@ -22,6 +22,7 @@ from barloom.catalog.views import (
     with_views,
     ymd,
 )
+from barloom.operators.sizing import small_side
 from barloom.operators import completeness, portfolio, profile, registry, series, spine, universe
 
 # ── counts ───────────────────────────────────────────────────────────────
@@ -461,7 +462,7 @@ def _(spark, sf):
 
     cal = calendar(spark, sf)
     opens = spine.open_dates(cal)
-    days = backtest.holding_days(spine.last_of_period(opens, "monthly").select("trade_date"), opens)
+    days = small_side(backtest.holding_days(spine.last_of_period(opens, "monthly").select("trade_date"), opens))
     rets = backtest.daily_returns(bars_d(spark, sf))
     return _rounded(backtest.period_returns(rets, days).select("trade_date", "ts_code", "period_return"), 5)
 

@@ -210,7 +210,7 @@ def run_backtest(spark, sf, strategy=None, freq="monthly"):
         ts.momentum(c, 5).alias("mom5"),
         F.when(F.col("vol").cast("long") % 4 != 0, F.col("vol")).alias("volume"),
     )
-    return backtest.run(
+    return backtest.Backtest(
         b, wide, listing(spark, sf), calendar(spark, sf), suspend(spark, sf),
         strategy or backtest.SingleFactor("mom5", 3), _START, _END, freq,
     )

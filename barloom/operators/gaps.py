@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.sizing import small_side
+
 
 def sorted_days(days: DataFrame, col: str = "trade_date"):
     """The distinct days as one sorted array (a scalar; bounded by the calendar)."""
@@ -51,7 +53,7 @@ def merge_consecutive(missing: DataFrame, opens: DataFrame, by: str = "ts_code",
     island = F.col("_n") - F.row_number().over(Window.partitionBy(by).orderBy("_n"))
     return (
         missing.select(by, day)
-        .join(numbered, day)
+        .join(small_side(numbered), day)
         .withColumn("_island", island)
         .groupBy(by, "_island")
         .agg(F.min(day).alias("gap_start"), F.max(day).alias("gap_end"), F.count(F.lit(1)).alias("n_days"))

@@ -81,13 +81,23 @@ def positions(df: DataFrame, by: list[str], order: list[Column], out: str = "pos
     return prefix_sum(df, by, order, F.lit(1), "_before", **kw).withColumn(out, (F.col("_before") + 1).cast("long")).drop("_before")
 
 
-def average_rank(df: DataFrame, x: str, by: list[str], out: str, share: bool = False, **kw) -> DataFrame:
+def average_rank(df: DataFrame, x: str, by: list[str], out: str, share: bool = False, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Ascending rank of x in its group, ties averaged, nulls left null; `share` divides by the non-null count.
 
-    Equal values are collapsed before they are ordered, so a value that many rows share is one row.
+    Groups that fit in a task are ranked by one window. Larger ones collapse equal values first, so that a value that
+    many rows share is one row, order those, and give the ranks back by a join on the value.
     """
+    biggest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if biggest <= rows_per_task:
+        ordered = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
+        ties = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+        rank = F.rank().over(ordered) + (ties - 1) / 2.0
+        if share:
+            rank = F.try_divide(rank, F.count(x).over(Window.partitionBy(*by)))
+        return df.withColumn(out, F.when(F.col(x).isNotNull(), rank))
+
     values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_ties"))
-    ranked = prefix_sum(values, by, [F.col(x)], F.col("_ties"), "_below", **kw)
+    ranked = prefix_sum(values, by, [F.col(x)], F.col("_ties"), "_below", rows_per_task)
     rank = F.col("_below") + (F.col("_ties") + 1) / 2.0
     if share:
         ranked = with_group_stats(ranked, by, {"_count": F.sum("_ties")})

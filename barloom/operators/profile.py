@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import delisted_name
+from barloom.operators.sizing import small_side
 
 
 def last_date_per_code(bars: DataFrame) -> DataFrame:
@@ -62,13 +63,13 @@ def delist_backfill(listing: DataFrame, bars: DataFrame, dry_run: bool = False)
     return out.select("ts_code", "name", "delist_before", F.col("last_date").alias("delist_after"), outcome.alias("outcome"))
 
 
-def last_quote(bars: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def last_quote(bars: DataFrame) -> DataFrame:
     """Last bar of each code, its previous close and the relative change.
 
     The two newest bars are kept per code by aggregation: the newest, then the newest before it.
     """
     row = F.struct("trade_date", "close")
-    last = bars.groupBy("ts_code").agg(F.max_by(row, "trade_date").alias("_l"))
+    last = small_side(bars.groupBy("ts_code").agg(F.max_by(row, "trade_date").alias("_l")))
     prev = (
         bars.join(last, "ts_code")
         .where(F.col("trade_date") < F.col("_l.trade_date"))

@@ -44,8 +44,11 @@ def full_day_suspended(suspend: DataFrame) -> DataFrame:
 
 
 def keep_listed(rows: DataFrame, listing: DataFrame, day: str) -> DataFrame:
-    """Rows whose code is listed on their day: an equi-join on the code with the life span as residual."""
-    life = listing.select(F.col("ts_code").alias("_c"), "list_date", "delist_date")
+    """Rows whose code is listed on their day: an equi-join on the code with the life span as residual.
+
+    A listing of some thousand codes is broadcast, so the rows stay where they are; a large one is a shuffle join.
+    """
+    life = small_side(listing.select(F.col("ts_code").alias("_c"), "list_date", "delist_date"))
     cond = (rows["ts_code"] == F.col("_c")) & listed_on(rows[day], F.col("list_date"), F.col("delist_date"))
     return rows.join(life, cond, "left_semi")
 
@@ -55,6 +58,7 @@ def investable(candidates: DataFrame, listing: DataFrame, suspend: DataFrame, mi
     at least `min_age_days`, no ST in the name, not suspended all day. A blank list_date passes the age test."""
     ok_name = ~F.upper(F.coalesce(F.col("name"), F.lit(""))).contains("ST")
     life = a_shares(listing).where(ok_name).select(F.col("ts_code").alias("_c"), "list_date", "delist_date")
+    life = small_side(life)
     day = candidates["trade_date"]
     cutoff = ymd(F.date_sub(to_day(day), min_age_days))
     old = _blank(F.col("list_date")) | (F.col("list_date") <= cutoff)
@@ -135,8 +139,3 @@ def search(listing: DataFrame, text: dict[str, str], exact: dict[str, str], flag
 def names_for(rows: DataFrame, listing: DataFrame) -> DataFrame:
     """Name and life span of each row's code, kept where the code is unknown."""
     return rows.join(listing.select("ts_code", "name", "list_date", "delist_date"), "ts_code", "left")
-
-
-def small_listing(listing: DataFrame) -> DataFrame:
-    """The listing as a checked broadcast side."""
-    return small_side(listing)

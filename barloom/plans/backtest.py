@@ -6,7 +6,8 @@ before and after, is a join of the holdings with themselves one number later.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
@@ -26,6 +27,7 @@ class Strategy(Protocol):
     """Scores a cross-section (ts_code, trade_date, one column per factor) and weights the investable part of it."""
 
     factors: list[str]
+    n_groups: int
 
     def scores(self, cross: DataFrame) -> DataFrame:
         """(ts_code, trade_date, value)"""
@@ -73,16 +75,6 @@ class MultiFactor:
         return SingleFactor("value", self.n_groups).weights(scored)
 
 
-@dataclass(frozen=True)
-class BacktestResult:
-    portfolio: DataFrame
-    trades: DataFrame
-    returns: DataFrame
-    ic: DataFrame
-    turnover: DataFrame
-    groups: list[str] = field(default_factory=list)
-
-
 def daily_returns(bars: DataFrame) -> DataFrame:
     """(ts_code, trade_date, ret) on the adjusted close; the first bar of a code has none."""
     close = adjusted(F.col("close"), F.col("adj_factor"))
@@ -116,66 +108,110 @@ def holding_days(rebalances: DataFrame, opens: DataFrame) -> DataFrame:
 
 def period_returns(rets: DataFrame, days: DataFrame) -> DataFrame:
     """Compounded return of each code over each holding period; days without a return are left out."""
-    d = small_side(days.select("trade_date", "rebalance_no", "day"))
-    r = rets.select("ts_code", F.col("trade_date").alias("day"), "ret").join(d, "day")
+    r = rets.select("ts_code", F.col("trade_date").alias("day"), "ret")
+    r = r.join(days.select("trade_date", "rebalance_no", "day"), "day")
     return r.groupBy("trade_date", "rebalance_no", "ts_code").agg((F.product(F.lit(1.0) + F.col("ret")) - 1.0).alias("period_return"))
 
 
-def run(
-    bars: DataFrame,
-    factors: DataFrame,
-    listing: DataFrame,
-    calendar: DataFrame,
-    suspend: DataFrame,
-    strategy: Strategy,
-    start: str,
-    end: str,
-    freq: str = "monthly",
-    rates: CostRates = CostRates(),
-) -> BacktestResult:
-    """`factors` is wide: ts_code, trade_date and the strategy's factor columns.
-
-    The first day of the range has no return, the last rebalance date closes the last period, and a date without a
-    cross-section holds nothing. What several outputs read is staged once.
+class Backtest:
+    """One run. Each output is planned when it is asked for; what several outputs read is staged once.
+
+    `factors` is wide: ts_code, trade_date and the strategy's factor columns. The first day of the range has no
+    return, the last rebalance date closes the last period, and a date without a cross-section holds nothing.
     """
-    opens = spine.open_dates(calendar, start, end)
-    days = stage(holding_days(spine.last_of_period(opens, freq).select("trade_date"), opens))
-    reb = small_side(numbered(spine.last_of_period(opens, freq).select("trade_date")).where(F.col("next_date").isNotNull()))
-    ranged = bars.where(F.col("trade_date").between(start, end))
-    rets = stage(daily_returns(ranged))
-
-    cross = factors.join(reb.select("trade_date", "rebalance_no"), "trade_date")
-    base = cross.where(F.col(strategy.factors[0]).isNotNull())
-    scored = universe.investable(strategy.scores(base), listing, suspend)
-    scored = stage(scored.join(reb.select("trade_date", "rebalance_no"), "trade_date"))
-
-    blocked = ranged.where(limit_hit(F.col("close"), F.col("up_limit"), F.col("down_limit"))).select("ts_code", "trade_date")
-    targets = strategy.weights(scored).join(blocked, ["ts_code", "trade_date"], "left_anti")
-    held = stage(portfolio.renormalise(targets).join(reb.select("trade_date", "rebalance_no"), "trade_date"))
-
-    # Rebalances with a cross-section; a change after one without is no sale and no trade.
-    used = small_side(base.select("trade_date", "rebalance_no").distinct())
-    trades = portfolio.holdings_delta(held.select("rebalance_no", "group_id", "ts_code", "weight"), rates)
-    trades = stage(trades.join(used, "rebalance_no"))
-    by_group = portfolio.turnover_by_group(trades, rates)
-    groups = [f"G{i}" for i in range(strategy.n_groups)]
-    turnover = used.join(portfolio.average_turnover(by_group, len(groups)), "rebalance_no", "left").select(
-        "trade_date", F.coalesce(F.col("turnover"), F.lit(0.0)).alias("turnover")
-    )
 
-    fwd = period_returns(rets, days).select("trade_date", "ts_code", "period_return")
-    pairs = scored.select("trade_date", "ts_code", "value").join(fwd, ["trade_date", "ts_code"])
-    ic = used.select("trade_date").join(
-        xsection.information_coefficient(pairs, "value", "period_return"), "trade_date", "left"
-    )
-    return BacktestResult(
-        portfolio=held.select("trade_date", "group_id", "ts_code", "weight"),
-        trades=trades.select("trade_date", "group_id", "ts_code", "delta_weight", "cost"),
-        returns=group_returns(held, rets, days, by_group, used, groups),
-        ic=ic,
-        turnover=turnover,
-        groups=groups,
-    )
+    def __init__(
+        self,
+        bars: DataFrame,
+        factors: DataFrame,
+        listing: DataFrame,
+        calendar: DataFrame,
+        suspend: DataFrame,
+        strategy: Strategy,
+        start: str,
+        end: str,
+        freq: str = "monthly",
+        rates: CostRates = CostRates(),
+    ) -> None:
+        self.factors, self.listing, self.suspend = factors, listing, suspend
+        self.strategy, self.freq, self.rates = strategy, freq, rates
+        self.bars = bars.where(F.col("trade_date").between(start, end))
+        self.opens = stage(spine.open_dates(calendar, start, end))
+        self.groups = [f"G{i}" for i in range(strategy.n_groups)]
+
+    @cached_property
+    def rebalances(self) -> DataFrame:
+        """(trade_date, rebalance_no, next_date) of the dates that open a period."""
+        dates = spine.last_of_period(self.opens, self.freq).select("trade_date")
+        return small_side(numbered(dates).where(F.col("next_date").isNotNull()))
+
+    @cached_property
+    def days(self) -> DataFrame:
+        return small_side(holding_days(spine.last_of_period(self.opens, self.freq).select("trade_date"), self.opens))
+
+    @cached_property
+    def rets(self) -> DataFrame:
+        return stage(daily_returns(self.bars))
+
+    @cached_property
+    def cross(self) -> DataFrame:
+        """Cross-sections of the rebalance dates: rows that have the first factor."""
+        at = self.factors.join(self.rebalances.select("trade_date", "rebalance_no"), "trade_date")
+        return stage(at.where(F.col(self.strategy.factors[0]).isNotNull()))
+
+    @cached_property
+    def used(self) -> DataFrame:
+        """Rebalances with a cross-section; a change after one without is no sale and no trade."""
+        return small_side(self.cross.select("trade_date", "rebalance_no").distinct())
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Scores over the whole cross-section, then the investable part of it."""
+        return stage(universe.investable(self.strategy.scores(self.cross), self.listing, self.suspend))
+
+    @cached_property
+    def held(self) -> DataFrame:
+        hit = limit_hit(F.col("close"), F.col("up_limit"), F.col("down_limit"))
+        blocked = self.bars.where(hit).select("ts_code", "trade_date")
+        blocked = blocked.join(self.rebalances.select("trade_date"), "trade_date", "left_semi")
+        targets = self.strategy.weights(self.scored).join(blocked, ["ts_code", "trade_date"], "left_anti")
+        return stage(portfolio.renormalise(targets).join(self.rebalances.select("trade_date", "rebalance_no"), "trade_date"))
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        deltas = portfolio.holdings_delta(self.held.select("rebalance_no", "group_id", "ts_code", "weight"), self.rates)
+        return stage(deltas.join(self.used, "rebalance_no"))
+
+    @cached_property
+    def by_group(self) -> DataFrame:
+        return portfolio.turnover_by_group(self.changes, self.rates)
+
+    @property
+    def portfolio(self) -> DataFrame:
+        return self.held.select("trade_date", "group_id", "ts_code", "weight")
+
+    @property
+    def trades(self) -> DataFrame:
+        return self.changes.select("trade_date", "group_id", "ts_code", "delta_weight", "cost")
+
+    @property
+    def turnover(self) -> DataFrame:
+        per_date = portfolio.average_turnover(self.by_group, len(self.groups))
+        return self.used.join(per_date, "rebalance_no", "left").select(
+            "trade_date", F.coalesce(F.col("turnover"), F.lit(0.0)).alias("turnover")
+        )
+
+    @property
+    def ic(self) -> DataFrame:
+        fwd = period_returns(self.rets, self.days).select("trade_date", "ts_code", "period_return")
+        pairs = stage(self.scored.select("trade_date", "ts_code", "value").join(fwd, ["trade_date", "ts_code"]))
+        return self.used.select("trade_date").join(
+            xsection.information_coefficient(pairs, "value", "period_return"), "trade_date", "left"
+        )
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        return stage(group_returns(self.held, self.rets, self.days, self.by_group, self.used, self.groups))
 
 
 def group_returns(held: DataFrame, rets: DataFrame, days: DataFrame, by_group: DataFrame, used: DataFrame, groups: list[str]) -> DataFrame:
@@ -186,7 +222,7 @@ def group_returns(held: DataFrame, rets: DataFrame, days: DataFrame, by_group: D
     spine, so a day without any return is 0.
     """
     placed = rets.select("ts_code", F.col("trade_date").alias("day"), "ret").join(
-        small_side(days.select("rebalance_no", "day", "day_no")), "day"
+        days.select("rebalance_no", "day", "day_no"), "day"
     )
     earned = (
         placed.join(held.select("rebalance_no", "group_id", "ts_code", "weight"), ["rebalance_no", "ts_code"])
@@ -237,7 +273,7 @@ def quality_warnings(bars: DataFrame, rets: DataFrame, n_rebalances: int, n_days
     return spark.createDataFrame(fixed, schema).union(jump).union(nulls)
 
 
-def summary(result: BacktestResult, labels: dict[str, str] | None = None) -> DataFrame:
+def summary(result: Backtest, labels: dict[str, str] | None = None) -> DataFrame:
     """One row: IC means and ratios, mean turnover, metrics of long-short, Sharpe of the top group."""
     ls = series.return_metrics(result.returns, "long_short")
     top = series.return_metrics(result.returns, result.groups[0]).select("sharpe")
