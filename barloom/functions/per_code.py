@@ -18,8 +18,7 @@ def apply_per_code(df: DataFrame, columns: list[str], fn: Callable, out: str) ->
         import numpy as np
 
         pdf = pdf.sort_values("trade_date", kind="stable")
-        y = np.asarray(fn(**{c: pdf[c].to_numpy(dtype="float64") for c in columns}), dtype="float64")
-        pdf[out] = [None if np.isnan(v) else float(v) for v in y]
+        pdf[out] = np.asarray(fn(**{c: pdf[c].to_numpy(dtype="float64") for c in columns}), dtype="float64")
         return pdf[["ts_code", "trade_date", out]]
 
     schema = T.StructType(

@@ -81,8 +81,8 @@ decay_linear = wma
 def ts_rank(x: Column, d: int, w: WindowSpec | None = None) -> Column:
     """Share of the window's values that are at most the current one; needs d rows, not d values."""
     t = trailing(d, w)
-    values = F.collect_list(x).over(t)
-    share = F.size(F.filter(values, lambda v: v <= x)) / F.size(values)
+    at_most = F.size(F.filter(F.collect_list(x).over(t), lambda v: v <= x))
+    share = F.try_divide(at_most, F.count(x).over(t))
     return F.when((F.count(F.lit(1)).over(t) == d) & x.isNotNull(), share)
 
 
@@ -111,19 +111,19 @@ def ts_sumif(x: Column, d: int, cond: Column, w: WindowSpec | None = None) -> Co
 
 
 def _days_since(x: Column, d: int, w: WindowSpec | None, extreme) -> Column:
-    values = F.collect_list(x).over(trailing(d, w))
-    pos = F.array_position(values, extreme(values))
-    return F.when(F.size(values) == d, (F.lit(d) - pos).cast("double"))
+    t = trailing(d, w)
+    pos = F.array_position(F.collect_list(x).over(t), extreme(x).over(t))
+    return _full((F.lit(d) - pos).cast("double"), x, d, w)
 
 
 def high_day(x: Column, d: int, w: WindowSpec | None = None) -> Column:
     """Bars since the first maximum of the window."""
-    return _days_since(x, d, w, F.array_max)
+    return _days_since(x, d, w, F.max)
 
 
 def low_day(x: Column, d: int, w: WindowSpec | None = None) -> Column:
     """Bars since the first minimum of the window."""
-    return _days_since(x, d, w, F.array_min)
+    return _days_since(x, d, w, F.min)
 
 
 def reg_beta(y: Column, x: Column, d: int, w: WindowSpec | None = None) -> Column:

@@ -16,14 +16,12 @@ def pearson(x: Column, y: Column, over: Callable[[Column], Column] = _same) -> C
     """Pearson correlation of the pairs without nulls; `over` places each aggregate on a window."""
     pair = x.isNotNull() & y.isNotNull()
     xs, ys = F.when(pair, x), F.when(pair, y)
-    varies = (over(F.min(xs)) < over(F.max(xs))) & (over(F.min(ys)) < over(F.max(ys)))
     spread = over(F.stddev_samp(xs)) * over(F.stddev_samp(ys))
-    return F.when(varies, F.try_divide(over(F.covar_samp(xs, ys)), spread))
+    return F.try_divide(over(F.covar_samp(xs, ys)), spread)
 
 
 def slope(y: Column, x: Column, over: Callable[[Column], Column] = _same) -> Column:
     """Least-squares slope of y on x over the pairs without nulls."""
     pair = x.isNotNull() & y.isNotNull()
     xs, ys = F.when(pair, x), F.when(pair, y)
-    varies = over(F.min(xs)) < over(F.max(xs))
-    return F.when(varies, F.try_divide(over(F.covar_pop(ys, xs)), over(F.var_pop(xs))))
+    return F.try_divide(over(F.covar_pop(ys, xs)), over(F.var_pop(xs)))

@@ -7,8 +7,6 @@ of the buckets before it. Sample and cuts are functions of the data only, so a r
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +32,12 @@ def prefix_sum(
     weight: Column,
     out: str,
     rows_per_task: int = ROWS_PER_TASK,
+    total: str = "_total",
 ) -> DataFrame:
     """Sum of `weight` over the rows that come before this one in its group (exclusive, 0 for the first).
 
-    `order` are ascending keys that together are unique in a group. Adds one column, `out`.
+    `order` are ascending keys that together are unique in a group. Adds `out`, and the group's whole weight as
+    `total`.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     biggest = sizes.agg(F.max("_n")).first()[0] or 0
@@ -45,7 +45,8 @@ def prefix_sum(
     keyed = df.withColumns({**dict(zip(keys, order)), "_w": weight})
     before = lambda part: Window.partitionBy(*part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if biggest <= rows_per_task:
-        return keyed.withColumn(out, F.sum("_w").over(before(by)) - F.col("_w")).drop(*keys, "_w")
+        whole = F.sum("_w").over(Window.partitionBy(*by))
+        return keyed.withColumns({out: F.sum("_w").over(before(by)) - F.col("_w"), total: whole}).drop(*keys, "_w")
 
     cut_count = F.least(F.lit(_MAX_CUTS), F.ceil(F.col("_n") / rows_per_task)).cast("int")
     rate = F.least(F.lit(1.0), cut_count * _SAMPLES_PER_CUT / F.col("_n"))
@@ -67,7 +68,12 @@ def prefix_sum(
     starts = (
         bucketed.groupBy(*by, "_b")
         .agg(F.sum("_w").alias("_bw"))
-        .select(*by, "_b", (F.sum("_bw").over(w_bucket) - F.col("_bw")).alias("_start"))
+        .select(
+            *by,
+            "_b",
+            (F.sum("_bw").over(w_bucket) - F.col("_bw")).alias("_start"),
+            F.sum("_bw").over(Window.partitionBy(*by)).alias(total),
+        )
     )
     return (
         bucketed.join(small_side(starts), [*by, "_b"])
@@ -78,7 +84,13 @@ def prefix_sum(
 
 def positions(df: DataFrame, by: list[str], order: list[Column], out: str = "position", **kw) -> DataFrame:
     """1-based row number in the group."""
-    return prefix_sum(df, by, order, F.lit(1), "_before", **kw).withColumn(out, (F.col("_before") + 1).cast("long")).drop("_before")
+    return _placed(df, by, order, out, "_n", **kw).drop("_n")
+
+
+def _placed(df: DataFrame, by: list[str], order: list[Column], out: str, n: str, **kw) -> DataFrame:
+    """Row number and size of the group."""
+    p = prefix_sum(df, by, order, F.lit(1), "_before", total=n, **kw)
+    return p.withColumn(out, (F.col("_before") + 1).cast("long")).drop("_before")
 
 
 def average_rank(df: DataFrame, x: str, by: list[str], out: str, share: bool = False, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -100,8 +112,7 @@ def average_rank(df: DataFrame, x: str, by: list[str], out: str, share: bool = F
     ranked = prefix_sum(values, by, [F.col(x)], F.col("_ties"), "_below", rows_per_task)
     rank = F.col("_below") + (F.col("_ties") + 1) / 2.0
     if share:
-        ranked = with_group_stats(ranked, by, {"_count": F.sum("_ties")})
-        rank = rank / F.col("_count")
+        rank = rank / F.col("_total")
     ranked = ranked.select(*by, x, rank.alias(out))
     return df.join(ranked, [*by, x], "left")
 
@@ -114,8 +125,7 @@ def quantile_groups(df: DataFrame, value: str, groups: int, by: list[str], tie:
     if groups < 2:
         raise ValueError(f"at least two groups: {groups}")
     present = df.where(F.col(value).isNotNull())
-    placed = positions(present, by, [-F.col(value), F.col(tie)], "_pos", **kw)
-    placed = with_group_stats(placed, by, {"_n": F.count(F.lit(1))})
+    placed = _placed(present, by, [-F.col(value), F.col(tie)], "_pos", "_n", **kw)
     base, extra, i = F.floor(F.col("_n") / groups), F.col("_n") % groups, F.col("_pos") - 1
     in_big = i < extra * (base + 1)
     group = F.when(in_big, F.floor(i / (base + 1))).otherwise(
@@ -131,8 +141,7 @@ def quantile_groups(df: DataFrame, value: str, groups: int, by: list[str], tie:
 def nearest_rank_quantiles(df: DataFrame, value: str, by: list[str], probs: dict[str, float], tie: str = "ts_code", **kw) -> DataFrame:
     """Per group the count and the values at index round_half_even((n - 1) * p) of the ascending order."""
     present = df.where(F.col(value).isNotNull())
-    placed = positions(present.select(*by, value, tie), by, [F.col(value), F.col(tie)], "_pos", **kw)
-    placed = with_group_stats(placed, by, {"count": F.count(F.lit(1))})
+    placed = _placed(present.select(*by, value, tie), by, [F.col(value), F.col(tie)], "_pos", "count", **kw)
     picks = [
         F.max(F.when(F.col("_pos") - 1 == F.rint((F.col("count") - 1) * p), F.col(value))).alias(n) for n, p in probs.items()
     ]
@@ -142,11 +151,5 @@ def nearest_rank_quantiles(df: DataFrame, value: str, by: list[str], probs: dict
 def upper_median(df: DataFrame, value: str, by: list[str], tie: str = "ts_code", **kw) -> DataFrame:
     """Per group the element at index n // 2 of the ascending order."""
     present = df.where(F.col(value).isNotNull())
-    placed = positions(present.select(*by, value, tie), by, [F.col(value), F.col(tie)], "_pos", **kw)
-    placed = with_group_stats(placed, by, {"_n": F.count(F.lit(1))})
+    placed = _placed(present.select(*by, value, tie), by, [F.col(value), F.col(tie)], "_pos", "_n", **kw)
     return placed.where(F.col("_pos") - 1 == F.floor(F.col("_n") / 2)).select(*by, F.col(value).alias("median"))
-
-
-def bucket_estimate(rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
-    """How many tasks order a group of this many rows."""
-    return max(1, min(_MAX_CUTS, math.ceil(rows / rows_per_task)))
