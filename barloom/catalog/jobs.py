@@ -264,10 +264,20 @@ def _(spark, sf):
     return _r(run_backtest(spark, sf, freq="weekly").turnover)
 
 
-_SUMMARY_SQL = """, n AS (SELECT trade_date, long_short AS r, product(1.0::DOUBLE + long_short) OVER (ORDER BY trade_date) AS nav FROM returns),
+_DAMPED = ", damped AS (SELECT trade_date, " + ", ".join(f"{c} * 0.01::DOUBLE AS {c}" for c in ("G0", "G1", "G2", "long_short")) + " FROM returns)"
+
+
+def damped_run(spark, sf):
+    """A run with a hundredth of its daily returns: the given prices are noise, and their NAV would leave every scale."""
+    res = run_backtest(spark, sf)
+    res.returns = stage(res.returns.withColumns({c: F.col(c) * 0.01 for c in [*res.groups, "long_short"]}))
+    return res
+
+
+_SUMMARY_SQL = """, n AS (SELECT trade_date, long_short AS r, product(1.0::DOUBLE + long_short) OVER (ORDER BY trade_date) AS nav FROM damped),
   pk AS (SELECT *, greatest(1.0::DOUBLE, max(nav) OVER (ORDER BY trade_date)) AS peak FROM n),
   ls AS (SELECT count(*) AS n_days, product(1.0::DOUBLE + r) AS total, avg(r) AS m, stddev_samp(r) AS s, least(0.0::DOUBLE, min(nav / peak - 1.0::DOUBLE)) AS mdd FROM pk),
-  tp AS (SELECT avg(G0) / stddev_samp(G0) * sqrt(252.0::DOUBLE) AS sharpe FROM returns),
+  tp AS (SELECT avg(G0) / stddev_samp(G0) * sqrt(252.0::DOUBLE) AS sharpe FROM damped),
   su AS (SELECT avg(ic) AS ic_mean, avg(rank_ic) AS rank_ic_mean, avg(ic) / stddev_samp(ic) AS icir, avg(rank_ic) / stddev_samp(rank_ic) AS rank_icir FROM ic),
   tu AS (SELECT avg(turnover) AS avg_turnover, count(*) AS n_rebalance FROM turn)
   SELECT round(ic_mean, 6) AS ic_mean, round(rank_ic_mean, 6) AS rank_ic_mean, round(icir, 5) AS icir, round(rank_icir, 5) AS rank_icir, n_days,
@@ -277,9 +287,9 @@ _SUMMARY_SQL = """, n AS (SELECT trade_date, long_short AS r, product(1.0::DOUBL
   FROM ls, tp, su, tu"""
 
 
-@query("c5e_backtest_summary", with_views(_VIEWS, _SINGLE + _SUMMARY_SQL))
+@query("c5e_backtest_summary", with_views(_VIEWS, _SINGLE + _DAMPED + _SUMMARY_SQL))
 def _(spark, sf):
-    s = backtest.summary(run_backtest(spark, sf))
+    s = backtest.summary(damped_run(spark, sf))
     five = {"icir", "rank_icir", "sharpe", "calmar", "top_group_sharpe"}
     return s.withColumns({c: F.round(c, 5 if c in five else 6) for c, t in s.dtypes if t == "double"})
 
@@ -306,15 +316,6 @@ def _(spark, sf):
     return out.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-_DAMPED = ", damped AS (SELECT trade_date, " + ", ".join(f"{c} * 0.01::DOUBLE AS {c}" for c in ("G0", "G1", "G2", "long_short")) + " FROM returns)"
-
-
-def damped_returns(spark, sf):
-    """A hundredth of the run's daily returns: the given prices are noise, and their NAV would leave every scale."""
-    res = run_backtest(spark, sf)
-    return stage(res.returns.withColumns({c: F.col(c) * 0.01 for c in [*res.groups, "long_short"]})), res.groups
-
-
 _RETURNS_OF = _SINGLE + _DAMPED + """, closes AS (SELECT trade_date, close FROM index_m WHERE ts_code = '000300.SH'),
   f0 AS (SELECT min(trade_date) AS d0 FROM damped),
   basis AS (SELECT coalesce((SELECT max_by(close, trade_date) FROM closes, f0 WHERE trade_date <= d0),
@@ -332,9 +333,9 @@ _RETURNS_OF = _SINGLE + _DAMPED + """, closes AS (SELECT trade_date, close FROM
 
 @query("c8_nav_curves", with_views(_VIEWS + " index_m", _RETURNS_OF + "SELECT curve, trade_date, round(v, 5) AS value FROM curves"))
 def _(spark, sf):
-    r, groups = damped_returns(spark, sf)
+    res = damped_run(spark, sf)
     closes = index_m(spark, sf).where("ts_code = '000300.SH'")
-    return _r(detail.nav_curves(r, groups, closes), 5)
+    return _r(detail.nav_curves(res.returns, res.groups, closes), 5)
 
 
 @query(
@@ -349,8 +350,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    r, groups = damped_returns(spark, sf)
-    return _r(series.group_totals(r, groups), 5)
+    res = damped_run(spark, sf)
+    return _r(series.group_totals(res.returns, res.groups), 5)
 
 
 @query(
@@ -367,7 +368,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return _r(detail.yearly(damped_returns(spark, sf)[0]).drop("calmar"), 5)
+    return _r(detail.yearly(damped_run(spark, sf).returns).drop("calmar"), 5)
 
 
 # ── export gate, completeness ────────────────────────────────────────────

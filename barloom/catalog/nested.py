@@ -8,6 +8,7 @@ from barloom.catalog.joins import FACTORS_SQL, factors_long
 from barloom.catalog.registry import query
 from barloom.catalog.views import bars_m, landing, reports, table, with_views
 from barloom.operators import nested
+from barloom.session import stage
 
 DOC_SQL = """('{' || array_to_string(list_filter([
      CASE WHEN ordinal % 3 <> 0 THEN '"note":"n' || (ordinal % 7) || '"' END,
@@ -57,7 +58,7 @@ _COMBOS = [
 )
 def _(spark, sf):
     combos = spark.createDataFrame(_COMBOS, "combo string, items string")
-    out = nested.score_combos(factors_long(spark, sf), combos)
+    out = nested.score_combos(stage(factors_long(spark, sf)), combos)
     return out.select("combo", "trade_date", "ts_code", F.round("value", 6).alias("value"), "position")
 
 

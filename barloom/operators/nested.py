@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from barloom.operators import ordering
 from barloom.operators.sizing import small_side
+from barloom.session import stage
 
 ITEMS = "array<struct<factor_name:string,weight:double>>"
 
@@ -58,7 +59,7 @@ def score_combos(long: DataFrame, combos: DataFrame) -> DataFrame:
         F.sum(F.col("z") * F.col("weight")).alias("_t"), F.sum("weight").alias("_w")
     )
     out = total.where(F.col("_w") > 0).select("combo", "trade_date", "ts_code", (F.col("_t") / F.col("_w")).alias("value"))
-    return ordering.positions(out, ["combo", "trade_date"], [-F.col("value"), F.col("ts_code")])
+    return ordering.positions(stage(out), ["combo", "trade_date"], [-F.col("value"), F.col("ts_code")])
 
 
 def matrices_to_long(matrices: dict[str, DataFrame], index: str, present: str = "close") -> DataFrame:

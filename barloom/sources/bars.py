@@ -26,6 +26,16 @@ def _partitioned(base: T.StructType, *names: str) -> T.StructType:
     return T.StructType(base.fields + [T.StructField(n, T.StringType()) for n in names])
 
 
+def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """The table, or no rows where it does not exist yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def partitions(spark: SparkSession, path: str) -> DataFrame:
     """(dt, factor_name, path) of every data file, from the file listing alone: no file is opened, so the cost goes
     with the number of files. A table that does not exist yet has none."""
@@ -33,7 +43,9 @@ def partitions(spark: SparkSession, path: str) -> DataFrame:
         files = (
             spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
         )
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "dt string, factor_name string, path string")
     dt, name = F.regexp_extract("path", r"/dt=(\d{6})/", 1), F.regexp_extract("path", r"/factor_name=([^/]+)/", 1)
     return files.select(dt.alias("dt"), name.alias("factor_name"), "path").where(F.col("dt") != "")
@@ -46,7 +58,7 @@ class BarStore:
         self.spark, self.path = spark, f"{root.rstrip('/')}/kline_daily"
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(_partitioned(KLINE_DAILY.schema, "dt")).parquet(self.path)
+        return _read(self.spark, _partitioned(KLINE_DAILY.schema, "dt"), self.path)
 
     def months(self) -> DataFrame:
         """Months with a partition, ascending."""
@@ -80,7 +92,7 @@ class FactorStore:
         self.spark, self.path = spark, f"{root.rstrip('/')}/factor"
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(_partitioned(FACTOR.schema, "factor_name", "dt")).parquet(self.path)
+        return _read(self.spark, _partitioned(FACTOR.schema, "factor_name", "dt"), self.path)
 
     def read(self, name: str, start: str, end: str, codes: list[str] | DataFrame | None = None) -> DataFrame:
         """One series in the closed range; an unknown name or a bad range gives no rows."""

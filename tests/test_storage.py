@@ -56,7 +56,8 @@ def test_overwrite_touches_only_its_partitions(spark, store):
 
 def test_factor_store(spark, store):
     root, s = store
-    assert B.FactorStore(spark, scratch_path(spark, "none")).catalogue().isEmpty()
+    none = B.FactorStore(spark, scratch_path(spark, "none"))
+    assert none.catalogue().isEmpty() and none.read("x", "20240101", "20240201").isEmpty()
     m = factors.Momentum(2)
     sinks.write_factors(factors.compute_month(m, s, "202402"), root)
     f = B.FactorStore(spark, root)
