@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barloom.catalog.aggregates import _OPEN_KEYS, _PERIODS_SQL, _active_sql, active
 from barloom.catalog.joins import LISTED_SQL
 from barloom.catalog.registry import query
-from barloom.catalog.views import bars_d, bars_m, calendar, companies, reports, suspend, table, with_views, ymd
+from barloom.catalog.views import bars_d, calendar, companies, reports, suspend, table, with_views, ymd
 from barloom.operators import completeness, spine, universe
 from barloom.plans import dashboards as D
-from barloom.session import stage
 
 # Sources by line number of a shipment, and by report type of an order.
 _DAILY = {
@@ -330,7 +331,7 @@ def _named(sql: str, group: str, own: bool, counted, suffix: str) -> str:
     """The views of one group under their own names, so that several groups fit in one statement."""
     text = sql[1:].strip() + cells_sql(group, own, counted)
     for v in ("spine", "snaps", "cnt", "cfg", "known", "raw", "cells", "keys", "act_l", "act_s", "act", "pk"):
-        text = __import__("re").sub(rf"\b{v}\b(?!\.)", f"{v}_{suffix}", text)
+        text = re.sub(rf"\b{v}\b(?!\.)", f"{v}_{suffix}", text)
     return text
 
 

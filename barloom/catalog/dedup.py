@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from barloom.catalog.aggregates import LOG_SQL, missing_log
 from barloom.catalog.joins import FACTORS_SQL, LISTED_SQL, factors_long
 from barloom.catalog.registry import query
-from barloom.catalog.views import bars_d, bars_m, calendar, companies, index_m, landing, listing, reports, suspend, table, with_views
-from barloom.operators import dedup, gaps, profile, registry, spine, universe
+from barloom.catalog.views import bars_d, bars_m, companies, index_m, landing, listing, reports, table, with_views
+from barloom.operators import dedup, gaps, registry, spine
 from barloom.plans import completeness_jobs as jobs
 from barloom.plans import hot_table
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.aggregates import A6_SQL, LOG_SQL, active, missing_log
+from barloom.catalog.aggregates import LOG_SQL, missing_log
 from barloom.catalog.dedup import PERIODS_SQL, periods
 from barloom.catalog.joins import _GRID_SQL, FACTORS_SQL, LISTED_SQL, factors_long
 from barloom.catalog.nested import DOC_SQL, landed_reports
@@ -17,7 +17,7 @@ from barloom.catalog.scans import VENDOR_SQL, bar_root, vendor_wide
 from barloom.catalog.views import bars_d, bars_m, calendar, companies, index_m, landing, listing, reports, suspend, with_views
 from barloom.functions import rolling as ts
 from barloom.functions.per_code import apply_per_code
-from barloom.operators import completeness, dedup, gaps, merge, nested, ordering, portfolio, profile, series, spine, universe
+from barloom.operators import completeness, dedup, gaps, nested, ordering, profile, series, universe
 from barloom.plans import alphas, backtest, completeness_jobs, detail, export_gate, factors, loads, panel
 from barloom.session import scratch_path, stage
 from barloom.sources import bars as B

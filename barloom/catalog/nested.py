@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog.joins import FACTORS_SQL, factors_long
 from barloom.catalog.registry import query
-from barloom.catalog.views import bars_m, landing, reports, table, with_views
+from barloom.catalog.views import landing, reports, table, with_views
 from barloom.operators import nested
 from barloom.session import stage
 

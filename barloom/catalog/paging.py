@@ -8,7 +8,7 @@ from barloom.catalog.aggregates import A6_SQL, bar_snapshot
 from barloom.catalog.joins import FACTORS_SQL, LISTED_SQL, factors_long
 from barloom.catalog.registry import query
 from barloom.catalog.spines import PERIOD_SPINE, order_range
-from barloom.catalog.views import bars_d, bars_m, calendar, companies, landing, listing, reports, with_views
+from barloom.catalog.views import bars_d, bars_m, calendar, companies, landing, reports, with_views
 from barloom.operators import completeness, profile, spine
 from barloom.plans import completeness_jobs as jobs
 from barloom.plans import hot_table

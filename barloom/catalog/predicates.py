@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.registry import query
-from barloom.catalog.views import bars_d, bars_m, calendar, index_m, landing, listing, suspend, table, with_views
+from barloom.catalog.views import bars_d, bars_m, calendar, landing, listing, suspend, table, with_views
 from barloom.functions.scalars import limit_hit
 from barloom.operators import filters, gaps, spine, universe
 from barloom.sources import contracts

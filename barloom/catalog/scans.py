@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.registry import query
-from barloom.catalog.views import bars_d, bars_m, index_m, landing, reports, table, with_views
+from barloom.catalog.views import bars_d, bars_m, index_m, table, with_views
 from barloom.operators import merge
 from barloom.session import scratch_path
 from barloom.sources import bars as B

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.registry import query
-from barloom.catalog.views import bars_d, bars_m, calendar, index_m, landing, listing, table, with_views, ymd
+from barloom.catalog.views import bars_d, calendar, index_m, table, with_views, ymd
 from barloom.operators import spine
 
 
