@@ -202,7 +202,7 @@ _VIEWS = "bars_d listing calendar suspend"
 
 
 def run_backtest(spark, sf, strategy=None, freq="monthly"):
-    b = stage(bars_d(spark, sf))
+    b = stage(bars_d(spark, sf).select("ts_code", "trade_date", "close", "adj_factor", "up_limit", "down_limit", "vol"))
     c = F.col("close") * F.coalesce(F.col("adj_factor"), F.lit(1.0))
     wide = b.select(
         "ts_code",
