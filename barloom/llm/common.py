@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1
         a = batch.column(column)
         if not batch.num_rows:
             continue
-        sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(a), 0), dtype=np.int64)
+        sizes = np.array(pc.fill_null(pc.binary_length(a), 0), dtype=np.int64)
         piece = np.cumsum(sizes) // max_bytes
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):

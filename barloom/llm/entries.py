@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.common import table
+from barloom.llm.minhash_dedup import near_duplicates
 from barloom.llm.token_counts import token_counts
 
 
@@ -13,5 +14,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts,)}
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op4_token_counts, op7_minhash_near_dedup)}
 SQL: dict[str, str] = {}

@@ -19,6 +19,7 @@ from collections import Counter
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,9 +130,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, entries: int = TA
         count = _counter(path, shared.value)
         for b in in_slices(batches, "text"):
             n = pa.array([count(t) for t in texts_of(b.column("text"))], pa.int64())
-            size = pa.compute.fill_null(pa.compute.binary_length(b.column("text")), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), size, n, pa.compute.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+                [b.column("doc_id"), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
