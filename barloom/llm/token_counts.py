@@ -82,8 +82,11 @@ def frequent_table(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) ->
     Counted over at most SAMPLE_DOCS documents that a hash of the id picks, SAMPLE_CHARS characters in all; pre-tokens
     with NUL or of over 255 tokens stay out. At most `entries` rows.
     """
-    short = docs.where(F.length("text") <= SAMPLE_CHARS // SAMPLE_DOCS).select("doc_id", "text")
-    picked = short.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()  # bounded by both parameters
+    short = docs.where(F.length("text") <= SAMPLE_CHARS // SAMPLE_DOCS)
+    h = F.xxhash64("doc_id")
+    first = short.groupBy(F.pmod(h, F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min_by("doc_id", h).alias("id"))
+    ids = [r.id for r in first.select("id").collect()]  # SAMPLE_DOCS at most
+    picked = short.where(F.col("doc_id").isin(ids)).select("text").limit(SAMPLE_DOCS).collect() if ids else []
     seen = Counter(p for r in picked if not _OTHER.search(r.text) for p in _PRE.findall(r.text) if "\0" not in p)
     words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries]]
     kept = [(w, n) for w, n in zip(words, piece_lengths(path, words)) if n <= 255]
