@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm import quality_rules
 from barloom.llm.common import table
 from barloom.llm.lm_scoring import fold_scores
 from barloom.llm.minhash_dedup import near_duplicates
 from barloom.llm.token_counts import token_counts
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_scores(table(spark, sf_dir, "documents"))
 
@@ -23,5 +28,5 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_scoring, op4_token_counts, op7_minhash_near_dedup)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op4_token_counts, op7_minhash_near_dedup)}
+SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle()}
