@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import quality_rules
+from barloom.llm import mixing, quality_rules, url_filters
 from barloom.llm.common import table
 from barloom.llm.lm_scoring import fold_scores
 from barloom.llm.minhash_dedup import near_duplicates
@@ -20,6 +20,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_scores(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -28,5 +32,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op4_token_counts, op7_minhash_near_dedup)}
-SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle()}
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixture(table(spark, sf_dir, "documents")).select(*columns)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_url_filters, op4_token_counts, op7_minhash_near_dedup, op9_mix_sources)}
+SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op3_url_filters": url_filters.oracle()}
