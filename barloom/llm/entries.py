@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import mixing, quality_rules, url_filters
+from barloom.llm import embedding_dedup, mixing, quality_classifier, quality_rules, url_filters
 from barloom.llm.common import table
 from barloom.llm.lm_scoring import fold_scores
 from barloom.llm.minhash_dedup import near_duplicates
@@ -28,14 +28,34 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "size", "source_size", "target", "taken")
     return mixing.mixture(table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_url_filters, op4_token_counts, op7_minhash_near_dedup, op9_mix_sources)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_lm_scoring,
+        op3_url_filters,
+        op4_token_counts,
+        op6_embedding_near_dedup,
+        op7_minhash_near_dedup,
+        op8_quality_classifier,
+        op9_mix_sources,
+    )
+}
 SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op3_url_filters": url_filters.oracle()}
