@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import embedding_dedup, mixing, quality_classifier, quality_rules, url_filters
+from barloom.llm import embedding_dedup, license_scan, mixing, quality_classifier, quality_rules, sentencepiece_codec, url_filters
 from barloom.llm.common import table
 from barloom.llm.lm_scoring import fold_scores
 from barloom.llm.minhash_dedup import near_duplicates
@@ -28,6 +28,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -52,10 +60,16 @@ QUERIES = {
         op2_lm_scoring,
         op3_url_filters,
         op4_token_counts,
+        op5_license_scan,
         op6_embedding_near_dedup,
         op7_minhash_near_dedup,
         op8_quality_classifier,
         op9_mix_sources,
+        op10_sentencepiece,
     )
 }
-SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op3_url_filters": url_filters.oracle()}
+SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.oracle(),
+    "op3_url_filters": url_filters.oracle(),
+    "op5_license_scan": license_scan.oracle(),
+}
