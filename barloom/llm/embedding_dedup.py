@@ -14,7 +14,7 @@ the `probes` next likely ones of each table, those where a hash falls to the sec
 With the defaults a pair at a cosine of 0.95 is missed with a probability below 1e-3 (tests measure it), closer ones less.
 
 Defined cases: a vector that is null, empty, zero or has null or non-finite components has no links and is kept; vectors of
-different length never meet; repeated vectors link with each other; further columns are ignored; an empty table gives an
+different length never meet; repeated vectors link with each other, repeated rows too; further columns are ignored; an empty table gives an
 empty result. Ids are unique and not null.
 """
 
@@ -225,7 +225,7 @@ def near_duplicates(
     classes = stage(
         rows.where("ok").groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     )
-    reps = classes.join(vectors.select(F.col("vec_id").alias("rep"), v.alias("v")), "rep")
+    reps = classes.join(vectors.select(F.col("vec_id").alias("rep"), v.alias("v")), "rep").dropDuplicates(["rep"])
     coded = stage(_coded(reps, tables, per_table, probes))
     met = stage(_bucketed(coded, block))
     packs = max(1, -(-met.where("parts = 1").count() // PACK_ROWS))

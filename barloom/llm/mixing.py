@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK = 64
+# Size classes for each doubling of the size: a source has this many times log2 of its longest text at most.
+CLASSES = 16
 SEED = 20_240_601
 
 
@@ -38,7 +40,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def _size_class(size: Column) -> Column:
-    return F.when(size > 0, F.floor(F.log2(size) * 4)).otherwise(-1).cast("int")
+    return F.when(size > 0, F.floor(F.log2(size) * CLASSES)).otherwise(-1).cast("int")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -144,5 +146,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """`docs` with each row as often as the mix takes it, all columns kept. Ids are unique; were they not, a row would be
     taken as often as the most taken row of its id."""
     copies = mixture(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return taken.select(*docs.columns)
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    taken = rows.join(copies, "doc_id").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return taken.select("_row.*")

@@ -113,9 +113,9 @@ def seeds_of(found: DataFrame) -> DataFrame:
     per_host = found.where("rule is not null").groupBy("host").agg(
         F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b")
     )
-    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"all_{c}")), F.lit(0.0))
-    totals = per_host.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))  # one row
-    return per_host.join(F.broadcast(totals)).select("host", share("a").alias("trust"), share("b").alias("distrust"))
+    per_host = stage(per_host)
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), per_host.agg(F.sum(c)).scalar()), F.lit(0.0))
+    return per_host.select("host", share("a").alias("trust"), share("b").alias("distrust"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
