@@ -22,7 +22,6 @@ from barloom.catalog.views import (
     with_views,
     ymd,
 )
-from barloom.operators.sizing import small_side
 from barloom.operators import completeness, portfolio, profile, registry, series, spine, universe
 
 # ── counts ───────────────────────────────────────────────────────────────
@@ -199,16 +198,16 @@ def _(spark, sf):
 
 
 _STICKY_SQL = """& keys AS (SELECT DISTINCT trade_date AS date_key FROM landing),
-  act AS (SELECT trade_date AS date_key, count(*) AS n FROM landing WHERE source = 'purchase' AND value > 30 GROUP BY 1),
-  prev AS (SELECT trade_date AS date_key, least(count(*), 1) AS n FROM landing WHERE source = 'error' AND value > 30 GROUP BY 1)
+  act AS (SELECT trade_date AS date_key, count(*) AS n FROM landing WHERE source = 'purchase' GROUP BY 1),
+  prev AS (SELECT trade_date AS date_key, least(count(*), 1) AS n FROM landing WHERE source = 'error' GROUP BY 1)
 """
 
 
 def _sticky_inputs(spark, sf):
     la = landing(spark, sf)
     keys = la.select(F.col("trade_date").alias("date_key")).distinct()
-    actual = completeness.count_by_key(la.where("source = 'purchase' AND value > 30"), "trade_date")
-    prev = completeness.count_by_key(la.where("source = 'error' AND value > 30"), "trade_date").select(
+    actual = completeness.count_by_key(la.where("source = 'purchase'"), "trade_date")
+    prev = completeness.count_by_key(la.where("source = 'error'"), "trade_date").select(
         F.lit("purchases").alias("source_name"),
         "date_key",
         F.lit(1).cast("bigint").alias("period_stock_count"),
@@ -239,12 +238,12 @@ def _(spark, sf):
         + """, s AS (SELECT 'purchases' AS source_name, date_key, CAST(1 AS BIGINT) AS period_stock_count,
           CAST(coalesce(act.n, 0) AS BIGINT) AS resolved_count FROM keys LEFT JOIN act USING (date_key))
         SELECT source_name, date_key, period_stock_count, CASE WHEN date_key > '20240115' THEN 1 ELSE resolved_count END AS resolved_count
-        FROM s WHERE date_key > '20240115' OR date_key <= '20240120'""",
+        FROM s""",
     ),
 )
 def _(spark, sf):
     keys, actual, _prev = _sticky_inputs(spark, sf)
-    one = keys.where("date_key <= '20240120'").withColumn("expected", F.lit(1))
+    one = keys.withColumn("expected", F.lit(1))
     snap = completeness.snapshot("purchases", one, actual)
     return completeness.mark_pulled(snap, "purchases", keys.where("date_key > '20240115'"))
 
@@ -462,7 +461,7 @@ def _(spark, sf):
 
     cal = calendar(spark, sf)
     opens = spine.open_dates(cal)
-    days = small_side(backtest.holding_days(spine.last_of_period(opens, "monthly").select("trade_date"), opens))
+    days = backtest.holding_days(spine.last_of_period(opens, "monthly").select("trade_date"), opens)
     rets = backtest.daily_returns(bars_d(spark, sf))
     return _rounded(backtest.period_returns(rets, days).select("trade_date", "ts_code", "period_return"), 5)
 

@@ -32,13 +32,13 @@ def _(spark, sf):
     "u2_keep_last",
     with_views(
         "landing",
-        """SELECT ts_code, source, value, ordinal FROM landing WHERE source <> 'click'
-        QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY list_position(['view', 'signup', 'purchase', 'error'], source) DESC, ordinal DESC) = 1""",
+        """SELECT ts_code, source, value, ordinal FROM landing
+        QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY list_position(['click', 'view', 'signup', 'purchase', 'error'], source) DESC, ordinal DESC) = 1""",
     ),
 )
 def _(spark, sf):
     la = landing(spark, sf).select("ts_code", "source", "value", "ordinal")
-    pulls = dedup.union_pages([la.where(F.col("source") == s) for s in ("view", "signup", "purchase", "error")])
+    pulls = dedup.union_pages([la.where(F.col("source") == s) for s in ("click", "view", "signup", "purchase", "error")])
     last = dedup.first_by(pulls, ["ts_code"], [F.col("page_no"), F.col("ordinal")], last=True)
     return last.select("ts_code", "source", "value", "ordinal")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.catalog.aggregates import LOG_SQL, missing_log
@@ -22,6 +23,7 @@ from barloom.plans import alphas, backtest, completeness_jobs, detail, export_ga
 from barloom.session import scratch_path, stage
 from barloom.sources import bars as B
 from barloom.sources import sinks
+from barloom.sources.contracts import Contract
 
 # ── panel, factors, alphas ───────────────────────────────────────────────
 
@@ -510,26 +512,64 @@ def _(spark, sf):
 # ── loads ────────────────────────────────────────────────────────────────
 
 
+# The final announcement orders the versions otherwise than the first one does.
+F_ANN_SQL = "strftime(strptime(end_date, '%Y%m%d') + to_days(CAST(ordinal * 7 % 83 AS INTEGER)), '%Y%m%d')"
+
+
 @query(
     "c13_report_load",
     with_views(
         "reports companies",
-        f"""& li AS (SELECT r.* FROM reports r JOIN companies l ON l.ts_code = r.ts_code AND {LISTED_SQL.format(l='l', d='r.end_date')}),
+        f"""& li AS (SELECT r.*, {F_ANN_SQL} AS f_ann_date FROM reports r JOIN companies l ON l.ts_code = r.ts_code AND {LISTED_SQL.format(l='l', d='r.end_date')}),
         pk AS (SELECT *, {DOC_SQL} AS income_table FROM li
-           QUALIFY row_number() OVER (PARTITION BY ts_code, end_date, report_type ORDER BY (update_flag = '1') DESC, ann_date DESC, ordinal) = 1)
-        SELECT ts_code, end_date, report_type, total_revenue, income_table,
+           QUALIFY row_number() OVER (PARTITION BY ts_code, end_date ORDER BY (update_flag = '1') DESC, f_ann_date DESC, ordinal) = 1)
+        SELECT ts_code, end_date, f_ann_date, 'merge_now' AS report_type, total_revenue, income_table,
           CASE WHEN CAST(floor(total_revenue) AS BIGINT) % 5 = 0 THEN 'insert' WHEN CAST(floor(total_revenue) AS BIGINT) % 3 = 0 THEN 'update' ELSE 'skip' END AS diff_class FROM pk""",
     ),
 )
 def _(spark, sf):
-    model = ["ts_code", "end_date", "report_type", "ann_date", "update_flag", "total_revenue"]
-    landed = landed_reports(spark, sf)
-    stored = dedup.newest_version(landed).drop("ordinal")
+    model = ["ts_code", "end_date", "report_type", "ann_date", "f_ann_date", "update_flag", "total_revenue"]
+    final = F.date_add(F.to_date("end_date", "yyyyMMdd"), (F.col("ordinal") * 7 % 83).cast("int"))
+    landed = landed_reports(spark, sf).withColumns({"report_type": F.lit("1"), "f_ann_date": F.date_format(final, "yyyyMMdd")})
+    # What is stored is made by a window of its own, not by the operator under test.
+    order = [(F.col("update_flag") == "1").desc(), F.desc("f_ann_date"), F.asc("ordinal")]
+    first = F.row_number().over(Window.partitionBy("ts_code", "end_date").orderBy(*order))
+    stored = landed.withColumn("_i", first).where("_i = 1").drop("_i", "ordinal").withColumn("report_type", F.lit("merge_now"))
     stored = nested.pack_overflow(stored, model, "income_table")
     k = F.col("total_revenue").cast("long")
     stored = stored.where(k % 5 != 0).withColumn("total_revenue", F.when(k % 3 == 0, F.lit(0.0)).otherwise(F.col("total_revenue")))
     out = loads.load_reports(landed, stored, companies(spark, sf), model, "income_table")
-    return out.select("ts_code", "end_date", "report_type", "total_revenue", "income_table", "diff_class")
+    return out.select("ts_code", "end_date", "f_ann_date", "report_type", "total_revenue", "income_table", "diff_class")
+
+
+CLOSES = Contract("closes", ("ts_code", "trade_date"), "ts_code string, trade_date string, close double, vol double")
+
+
+@query(
+    "c14c_load_into",
+    with_views(
+        "bars_d listing",
+        f"""& li AS (SELECT b.ts_code, b.trade_date, b.close, b.vol FROM bars_d b JOIN listing l ON l.ts_code = b.ts_code AND {LISTED_SQL.format(l='l', d='b.trade_date')}),
+        st AS (SELECT ts_code, trade_date, CASE WHEN CAST(vol AS BIGINT) % 5 = 0 THEN close + 1 ELSE close END AS close, vol
+               FROM bars_d WHERE CAST(vol AS BIGINT) % 7 <> 0),
+        t AS (SELECT coalesce(li.ts_code, st.ts_code) AS ts_code, coalesce(li.trade_date, st.trade_date) AS trade_date,
+                coalesce(li.close, st.close) AS close, coalesce(li.vol, st.vol) AS vol
+              FROM st FULL JOIN li ON st.ts_code = li.ts_code AND st.trade_date = li.trade_date)
+        SELECT ts_code, trade_date, close, vol, substr(trade_date, 1, 6) AS dt, CAST(0 AS BIGINT) AS changed_again,
+          (SELECT count(*) FROM li WHERE CAST(vol AS BIGINT) % 7 = 0) AS inserted FROM t""",
+    ),
+)
+def _(spark, sf):
+    b = bars_d(spark, sf).select("ts_code", "trade_date", "close", "vol")
+    v = F.col("vol").cast("long")
+    path = scratch_path(spark, "closes")
+    loads.load_into(path, b.where(v % 7 != 0).withColumn("close", F.when(v % 5 == 0, F.col("close") + 1).otherwise(F.col("close"))), CLOSES)
+    landed = universe.keep_listed(b, listing(spark, sf), "trade_date")
+    first, again = loads.load_into(path, landed, CLOSES), loads.load_into(path, landed, CLOSES)
+    n = lambda d, where: F.coalesce(d.where(where).agg(F.sum("n_rows")).scalar(), F.lit(0))
+    return loads.read_stored(spark, path, CLOSES).withColumns(
+        {"changed_again": n(again, "diff_class != 'skip'"), "inserted": n(first, "diff_class = 'insert'")}
+    )
 
 
 @query(

@@ -380,14 +380,14 @@ _SOURCES = ["purchase", "signup", "click", "view", "error"]
     "j15_source_fallback",
     with_views(
         "landing",
-        f"""& r AS (SELECT *, list_position({_SOURCES}, source) AS rk FROM landing WHERE value > 5),
+        f"""& r AS (SELECT *, list_position({_SOURCES}, source) AS rk FROM landing),
         best AS (SELECT ts_code, trade_date, min(rk) AS rk FROM r GROUP BY 1, 2)
         SELECT r.ts_code, r.trade_date, r.source, r.ordinal FROM r JOIN best USING (ts_code, trade_date, rk)""",
     ),
 )
 def _(spark, sf):
     rank = F.array_position(F.array(*[F.lit(s) for s in _SOURCES]), F.col("source"))
-    r = landing(spark, sf).where("value > 5").withColumn("source_rank", rank)
+    r = landing(spark, sf).withColumn("source_rank", rank)
     return merge.fallback(r, ["ts_code", "trade_date"]).select("ts_code", "trade_date", "source", "ordinal")
 
 

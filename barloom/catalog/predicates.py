@@ -112,6 +112,28 @@ def _(spark, sf):
     return contracts.conform(raw, contracts.BLOCK_TRADE)
 
 
+@query(
+    "p11b_contract_normalised",
+    with_views(
+        "landing",
+        """SELECT ts_code, trade_date, CASE WHEN ordinal % 3 = 0 THEN '' ELSE source END AS buyer, '' AS seller,
+           CASE WHEN ordinal % 4 < 2 THEN NULL ELSE value END AS price, CAST(NULL AS DOUBLE) AS vol, CAST(NULL AS DOUBLE) AS amount
+        FROM landing WHERE ordinal % 97 <> 0""",
+    ),
+)
+def _(spark, sf):
+    """Dashed days, numbers as text among which nan and inf, and texts that stand for nothing."""
+    k = F.col("ordinal")
+    dashed = F.concat_ws("-", F.substring("trade_date", 1, 4), F.substring("trade_date", 5, 2), F.substring("trade_date", 7, 2))
+    raw = landing(spark, sf).select(
+        "ts_code",
+        F.when(k % 97 == 0, F.lit("2024-1")).when(k % 2 == 0, dashed).otherwise(F.col("trade_date")).alias("trade_date"),
+        F.when(k % 3 == 0, F.element_at(F.array(*map(F.lit, ("None", "nan", " ", "NULL"))), (k % 4 + 1).cast("int"))).otherwise(F.col("source")).alias("buyer"),
+        F.when(k % 4 == 0, F.lit("nan")).when(k % 4 == 1, F.lit("inf")).otherwise(F.col("value").cast("string")).alias("price"),
+    )
+    return contracts.conform(raw, contracts.BLOCK_TRADE)
+
+
 @query("p12_rename", "SELECT c_custkey AS ts_code, c_name AS name, c_acctbal AS amount FROM customer")
 def _(spark, sf):
     mapping = {"c_custkey": "ts_code", "c_name": "name", "c_acctbal": "amount", "c_missing": "x"}

@@ -118,9 +118,22 @@ def board(ts_code: Column) -> Column:
 
 # Vendor factor names by category.
 FUNDAMENTAL_FACTORS = (
-    "turnover_rate turnover_rate_f volume_ratio pe pe_ttm pb ps ps_ttm dv_ratio dv_ttm "
-    "total_share float_share free_share total_mv circ_mv"
-).split()
+    "turnover_rate",
+    "turnover_rate_f",
+    "volume_ratio",
+    "pe",
+    "pe_ttm",
+    "pb",
+    "ps",
+    "ps_ttm",
+    "dv_ratio",
+    "dv_ttm",
+    "total_share",
+    "float_share",
+    "free_share",
+    "total_mv",
+    "circ_mv",
+)
 STREAK_RENAMES = {
     "downdays": "down_streak",
     "updays": "up_streak",

@@ -28,9 +28,9 @@ def blank_text(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """As double; null where the text is no number."""
+    """As double; null where the text is no number, or none that is finite."""
     v = c.try_cast("double")
-    return F.when(~F.isnan(v), v)
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
 def ten_thousand_to_thousand(c: Column) -> Column:

@@ -27,9 +27,10 @@ def minute_key(period: str) -> list[str]:
     return ["ts_code", "trade_time"] if period.endswith("m") else ["ts_code", "trade_date"]
 
 
-def newest_version(reports: DataFrame, by_type: bool = True, ann: str = "ann_date", ordinal: str = "ordinal") -> DataFrame:
-    """Per code, period (and type) the row with update flag '1' before others, then the latest announcement, then
-    the earliest arrival."""
+def newest_version(reports: DataFrame, by_type: bool = True, ann: str | None = None, ordinal: str = "ordinal") -> DataFrame:
+    """Per code, period (and type) the row with update flag '1' before others, then the latest announcement (by
+    f_ann_date where the table has one, else ann_date, unless `ann` names it), then the earliest arrival."""
+    ann = ann or ("f_ann_date" if "f_ann_date" in reports.columns else "ann_date")
     keys = ["ts_code", "end_date"] + (["report_type"] if by_type else [])
     flag = (F.col("update_flag") == "1").cast("int")
     order = [F.coalesce(flag, F.lit(0)), F.coalesce(F.col(ann), F.lit("")), -F.col(ordinal)]

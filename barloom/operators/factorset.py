@@ -29,9 +29,8 @@ def attach_benchmark(panel: DataFrame, index_daily: DataFrame | None, benchmark:
     if index_daily is None:
         nothing = F.lit(None).cast("double")
         return panel.withColumns({"benchmark_open": nothing, "benchmark_close": nothing})
-    from barloom.operators.sizing import small_side
 
     bm = index_daily.where(F.col("ts_code") == benchmark).select(
         "trade_date", F.col("open").alias("benchmark_open"), F.col("close").alias("benchmark_close")
     )
-    return panel.join(small_side(bm), "trade_date", "left")
+    return panel.join(bm, "trade_date", "left")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bounds of a table slice.
-MAX_SLICE = 20_000
 # Longer value lists are joined instead of being written into the plan.
 IN_LIST = 500
 
@@ -40,11 +38,13 @@ def table_slice(
     codes: list[str] | None = None,
     groups: list[str] | None = None,
 ) -> DataFrame:
-    """First rows of the filtered table in key order, each with the number of all filtered rows."""
+    """First `limit` rows of the filtered table in key order, each with the number of all filtered rows."""
+    if limit < 1:
+        raise ValueError(f"a slice has one row at least: {limit}")
     out = where_between(df, "trade_date", start, end)
     if codes is not None:
         out = where_in(out, "ts_code", codes)
     if groups is not None:
         out = where_in(out, "group_id", groups)
     total = out.agg(F.count(F.lit(1))).scalar()
-    return out.orderBy(*order).limit(max(1, min(limit, MAX_SLICE))).withColumn("total_rows", total)
+    return out.orderBy(*order).limit(limit).withColumn("total_rows", total)

@@ -9,20 +9,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.operators.sizing import small_side
+from barloom.session import stage
 
 # Up to this many rows of one group are ordered by one task.
 ROWS_PER_TASK = 2_000_000
 _SAMPLES_PER_CUT = 32
-_MAX_CUTS = 4_096
+# Cuts of one group made at a time; where that leaves buckets too large, they are cut again.
+_CUTS_AT_ONCE = 256
+
+
+def join_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of the same name in which null meets null; the left side's columns and the right side's
+    other ones."""
+    ours = {c: f"_right_{i}" for i, c in enumerate(by)}
+    other = right.withColumnsRenamed(ours)
+    on = [F.col(c).eqNullSafe(F.col(r)) for c, r in ours.items()]
+    return left.join(other, on, how).drop(*ours.values())
+
+
+def _clean(c: Column) -> Column:
+    """-0.0 as 0.0, so that grouping, joining and sorting agree on it."""
+    return F.when(c == 0, F.abs(c)).otherwise(c)
 
 
 def with_group_stats(df: DataFrame, by: list[str], aggs: dict[str, Column]) -> DataFrame:
     """Attach per-group aggregates to every row: combined map-side, then joined back, instead of a window that
     would bring a whole group into one task."""
     stats = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()])
-    return df.join(small_side(stats), by, "left")
+    return join_by(df, stats, by, "left")
 
 
 def prefix_sum(
@@ -48,38 +64,38 @@ def prefix_sum(
         whole = F.sum("_w").over(Window.partitionBy(*by))
         return keyed.withColumns({out: F.sum("_w").over(before(by)) - F.col("_w"), total: whole}).drop(*keys, "_w")
 
-    cut_count = F.least(F.lit(_MAX_CUTS), F.ceil(F.col("_n") / rows_per_task)).cast("int")
+    cut_count = F.least(F.lit(_CUTS_AT_ONCE), F.ceil(F.col("_n") / rows_per_task)).cast("int")
     rate = F.least(F.lit(1.0), cut_count * _SAMPLES_PER_CUT / F.col("_n"))
-    large = small_side(sizes.where(F.col("_n") > rows_per_task))
     unit = F.pmod(F.xxhash64(*by, *keys), F.lit(1 << 30)) / float(1 << 30)
+    large = sizes.where(F.col("_n") > rows_per_task)
     cuts = (
-        keyed.join(large, by)
+        join_by(keyed.select(*by, *keys), large, by)
         .where(unit < rate)
         .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("_s"))
+        .agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("_s"))  # about _CUTS_AT_ONCE x _SAMPLES_PER_CUT
         .select(*by, F.filter("_s", lambda s, i: (i + 1) % _SAMPLES_PER_CUT == 0).alias("_cuts"))
     )
+    _b, start = f"_b{len(by)}", f"_start{len(by)}"
     here = F.struct(*keys)
-    bucketed = keyed.join(small_side(cuts), by, "left").withColumn(
-        "_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < here)), F.lit(0))
-    ).drop("_cuts")
-    # One row per (group, bucket): at most _MAX_CUTS + 1 per group.
-    w_bucket = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = (
-        bucketed.groupBy(*by, "_b")
-        .agg(F.sum("_w").alias("_bw"))
-        .select(
-            *by,
-            "_b",
-            (F.sum("_bw").over(w_bucket) - F.col("_bw")).alias("_start"),
-            F.sum("_bw").over(Window.partitionBy(*by)).alias(total),
-        )
-    )
-    return (
-        bucketed.join(small_side(starts), [*by, "_b"])
-        .withColumn(out, F.col("_start") + F.sum("_w").over(before([*by, "_b"])) - F.col("_w"))
-        .drop(*keys, "_w", "_b", "_start")
+    bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < here)), F.lit(0))
+    bucketed = stage(join_by(keyed, cuts, by, "left").withColumn(_b, bucket).drop("_cuts"))
+    # One row per (group, bucket).
+    w_bucket = Window.partitionBy(*by).orderBy(_b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_bucket = bucketed.groupBy(*by, _b).agg(F.sum("_w").alias("_bw"), F.count(F.lit(1)).alias("_bn"))
+    starts = per_bucket.select(
+        *by,
+        _b,
+        (F.sum("_bw").over(w_bucket) - F.col("_bw")).alias(start),
+        F.sum("_bw").over(Window.partitionBy(*by)).alias(total),
     )
+    placed = join_by(bucketed, starts, [*by, _b])
+    fullest = per_bucket.agg(F.max("_bn")).first()[0] or 0
+    if rows_per_task * 4 < fullest < biggest:
+        inside, whole = f"_inside{len(by)}", f"_whole{len(by)}"
+        inner = prefix_sum(placed.drop(*keys, "_w"), [*by, _b], order, weight, inside, rows_per_task, whole)
+        return inner.withColumn(out, F.col(start) + F.col(inside)).drop(inside, whole, _b, start)
+    inside = F.sum("_w").over(before([*by, _b])) - F.col("_w")
+    return placed.withColumn(out, F.col(start) + inside).drop(*keys, "_w", _b, start)
 
 
 def positions(df: DataFrame, by: list[str], order: list[Column], out: str = "position", **kw) -> DataFrame:
@@ -99,8 +115,23 @@ def average_rank(df: DataFrame, x: str, by: list[str], out: str, share: bool = F
     Groups that fit in a task are ranked by one window. Larger ones collapse equal values first, so that a value that
     many rows share is one row, order those, and give the ranks back by a join on the value.
     """
+    return average_ranks(df, {out: F.col(x)}, by, share, rows_per_task)
+
+
+def average_ranks(
+    df: DataFrame, ranks: dict[str, Column], by: list[str], share: bool = False, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """`average_rank` of several expressions over the same groups, whose size is taken once."""
     biggest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if biggest <= rows_per_task:
+    for i, (out, x) in enumerate(ranks.items()):
+        df = _average_rank(df.withColumn(f"_x{i}", x), f"_x{i}", by, out, share, biggest <= rows_per_task, rows_per_task).drop(f"_x{i}")
+    return df
+
+
+def _average_rank(df: DataFrame, x: str, by: list[str], out: str, share: bool, small: bool, rows_per_task: int) -> DataFrame:
+    if isinstance(df.schema[x].dataType, (T.DoubleType, T.FloatType)):
+        df = df.withColumn(x, _clean(F.col(x)))
+    if small:
         ordered = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
         ties = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
         rank = F.rank().over(ordered) + (ties - 1) / 2.0
@@ -114,7 +145,7 @@ def average_rank(df: DataFrame, x: str, by: list[str], out: str, share: bool = F
     if share:
         rank = rank / F.col("_total")
     ranked = ranked.select(*by, x, rank.alias(out))
-    return df.join(ranked, [*by, x], "left")
+    return join_by(df, ranked, [*by, x], "left")
 
 
 def quantile_groups(df: DataFrame, value: str, groups: int, by: list[str], tie: str = "ts_code", **kw) -> DataFrame:

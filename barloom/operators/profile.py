@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import delisted_name
-from barloom.operators.sizing import small_side
 
 
 def last_date_per_code(bars: DataFrame) -> DataFrame:
@@ -66,15 +65,13 @@ def delist_backfill(listing: DataFrame, bars: DataFrame, dry_run: bool = False)
 def last_quote(bars: DataFrame) -> DataFrame:
     """Last bar of each code, its previous close and the relative change.
 
-    The two newest bars are kept per code by aggregation: the newest, then the newest before it.
+    One reading: a code's two newest bars by row number, which Spark limits before the shuffle; the others never move.
     """
-    row = F.struct("trade_date", "close")
-    last = small_side(bars.groupBy("ts_code").agg(F.max_by(row, "trade_date").alias("_l")))
-    prev = (
-        bars.join(last, "ts_code")
-        .where(F.col("trade_date") < F.col("_l.trade_date"))
-        .groupBy("ts_code")
-        .agg(F.max_by("close", "trade_date").alias("pre_close"))
+    newest = Window.partitionBy("ts_code").orderBy(F.desc("trade_date"))
+    two = bars.select("ts_code", "trade_date", "close").withColumn("_i", F.row_number().over(newest)).where("_i <= 2")
+    pick = lambda c, i: F.max(F.when(F.col("_i") == i, F.col(c)))
+    quote = two.groupBy("ts_code").agg(
+        pick("trade_date", 1).alias("trade_date"), pick("close", 1).alias("close"), pick("close", 2).alias("pre_close")
     )
     change = F.when(F.col("pre_close") != 0, F.col("close") / F.col("pre_close") - 1.0)
-    return last.join(prev, "ts_code", "left").select("ts_code", "_l.trade_date", "_l.close", "pre_close").withColumn("change_pct", change)
+    return quote.withColumn("change_pct", change)

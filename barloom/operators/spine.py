@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.sizing import small_side
 
 # Fixed value: quarterly reports start with this year; before it only half-years are due.
 QUARTERLY_SINCE = "2005"
@@ -98,7 +97,7 @@ def nearest_open(keys: DataFrame, key: str, opens: DataFrame, out: str = "open_d
     run = Window.orderBy("_d").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     filled = days.unionByName(marks).groupBy("_d").agg(F.max("_open").alias("_open"))
     filled = filled.withColumn(out, F.last("_open", ignorenulls=True).over(run)).drop("_open")
-    days = small_side(filled.withColumnRenamed("_d", key))
+    days = filled.withColumnRenamed("_d", key)
     return keys.join(days, key, "left")
 
 

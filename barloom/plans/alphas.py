@@ -41,10 +41,7 @@ def with_ranks(panel: DataFrame, alphas: list[Alpha]) -> DataFrame:
     wanted = dict(r for a in alphas for r in a.ranks)
     if not wanted:
         return panel
-    out = panel.withColumns({f"_x_{n}": build() for n, build in wanted.items()})
-    for n in wanted:
-        out = ordering.average_rank(out, f"_x_{n}", ["trade_date"], n, share=True)
-    return out.drop(*[f"_x_{n}" for n in wanted])
+    return ordering.average_ranks(panel, {n: build() for n, build in wanted.items()}, ["trade_date"], share=True)
 
 
 def compute(panel: DataFrame, alphas: list[Alpha], month: str | None = None) -> DataFrame:

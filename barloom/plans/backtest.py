@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from barloom.functions.rolling import simple_return
 from barloom.functions.scalars import CostRates, adjusted, limit_hit
 from barloom.operators import ordering, portfolio, series, spine, universe, xsection
-from barloom.operators.sizing import small_side
 from barloom.session import stage
 
 # The limits of the quality warnings.
@@ -143,11 +142,11 @@ class Backtest:
     def rebalances(self) -> DataFrame:
         """(trade_date, rebalance_no, next_date) of the dates that open a period."""
         dates = spine.last_of_period(self.opens, self.freq).select("trade_date")
-        return small_side(numbered(dates).where(F.col("next_date").isNotNull()))
+        return numbered(dates).where(F.col("next_date").isNotNull())
 
     @cached_property
     def days(self) -> DataFrame:
-        return small_side(holding_days(spine.last_of_period(self.opens, self.freq).select("trade_date"), self.opens))
+        return holding_days(spine.last_of_period(self.opens, self.freq).select("trade_date"), self.opens)
 
     @cached_property
     def rets(self) -> DataFrame:
@@ -162,7 +161,7 @@ class Backtest:
     @cached_property
     def used(self) -> DataFrame:
         """Rebalances with a cross-section; a change after one without is no sale and no trade."""
-        return small_side(self.cross.select("trade_date", "rebalance_no").distinct())
+        return self.cross.select("trade_date", "rebalance_no").distinct()
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -20,7 +20,7 @@ def gate(per_day: DataFrame, exported: DataFrame, today: str, start: str, end: s
     judged = (F.col("month") != current) | (F.col("trade_date") < today)
     short = judged & (F.col("n") < PER_DAY_THRESHOLD * F.col("expected"))
     months = days.groupBy("month").agg(F.count_if(short).alias("short_days"))
-    have = exported.select(F.col("dt").alias("month"), F.lit(True).alias("_have"))
+    have = exported.select(F.col("dt").alias("month")).distinct().withColumn("_have", F.lit(True))
     due = months.join(have, "month", "left").where(F.col("_have").isNull() | (F.col("month") == current))
     decision = (
         F.when(F.col("short_days") == 0, F.lit("write"))
@@ -32,9 +32,8 @@ def gate(per_day: DataFrame, exported: DataFrame, today: str, start: str, end: s
 
 def export(bars: DataFrame, decisions: DataFrame, root: str) -> None:
     """Write the bars of the months that passed, all in one job."""
-    from barloom.operators.sizing import small_side
     from barloom.sources.sinks import write_bars
 
-    go = small_side(decisions.where(F.col("decision") != "skip").select("month"))
+    go = decisions.where(F.col("decision") != "skip").select("month")
     chosen = bars.withColumn("month", F.substring("trade_date", 1, 6)).join(go, "month", "left_semi")
     write_bars(chosen.drop("month"), root)

@@ -54,10 +54,10 @@ class Volatility:
 
 
 def compute_month(factor: Factor, store, month: str) -> DataFrame:
-    """Factor rows of one month: bars with the factor's look-back, computed, trimmed, in key order."""
+    """Factor rows of one month: bars with the factor's look-back, computed and trimmed; the sink orders them."""
     bars = store.read_month_with_window(month, factor.meta().window)
     rows = factor.compute(bars).where(F.substring("trade_date", 1, 6) == month)
-    return rows.select(F.lit(factor.meta().name).alias("factor_name"), "ts_code", "trade_date", "value").orderBy("trade_date", "ts_code")
+    return rows.select(F.lit(factor.meta().name).alias("factor_name"), "ts_code", "trade_date", "value")
 
 
 def months_to_compute(available: DataFrame, existing: DataFrame, start: str | None = None, end: str | None = None, force: bool = False) -> DataFrame:

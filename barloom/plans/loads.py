@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import dedup, merge, universe
 from barloom.operators.nested import pack_overflow
+from barloom.session import stage
+from barloom.sources.contracts import Contract, conform
+from barloom.sources.sinks import overwrite_partitions
 
 BAR_KEYS = ["ts_code", "trade_date"]
-REPORT_KEYS = ["ts_code", "end_date", "report_type"]
+# Keys of the statement tables and of the indicator table.
+STATEMENT_KEYS = ["ts_code", "end_date", "f_ann_date", "report_type", "update_flag"]
+INDICATOR_KEYS = ["ts_code", "end_date", "ann_date", "update_flag"]
 
 
 def load_bars(landed: DataFrame, stored: DataFrame, listing: DataFrame, in_scope=None) -> DataFrame:
@@ -22,16 +28,59 @@ def load_satellite(landed: DataFrame, stored: DataFrame, listing: DataFrame, col
     return merge.upsert(stored, universe.keep_listed(landed, listing, "trade_date"), BAR_KEYS, columns)
 
 
-def apply_diff(stored: DataFrame, classified: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored table after the inserts and updates."""
-    return merge.upsert(stored, classified.where(F.col("diff_class") != "skip").drop("diff_class"), keys)
+def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` itself, or an error that names some of the keys that occur more than once."""
+    doubled = dedup.key_conflicts(df, keys).limit(5).collect()
+    if doubled:
+        raise ValueError(f"more than one row for {keys}: " + "; ".join(str(tuple(r)[:-1]) for r in doubled))
+    return df
+
+
+def read_stored(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
+    """The stored table with its month `dt`; an empty one where nothing is stored yet."""
+    try:
+        return spark.read.schema(f"{contract.columns}, dt string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{contract.columns}, dt string")
+
+
+def load_into(path: str, incoming: DataFrame, contract: Contract) -> DataFrame:
+    """Load rows into the month-partitioned table at `path`: normalise, refuse doubled keys, compare with what is stored,
+    and write the months in which something changes, whole. Returns the number of rows by diff_class.
+
+    The new months are written aside before the stored ones are replaced, so the table may be its own source, and loading
+    the same rows again changes nothing.
+    """
+    spark, keys = incoming.sparkSession, list(contract.key)
+    month = F.substring(contract.day, 1, 6)
+    rows = require_unique(stage(conform(incoming, contract)), keys)
+    stored = read_stored(spark, path, contract)
+    classified = stage(merge.classify(rows, stored.drop("dt"), keys))
+    changes = classified.where(F.col("diff_class") != "skip").drop("diff_class")
+    touched = stage(changes.select(month.alias("dt")).distinct())  # months
+    old = stored.join(touched, "dt", "left_semi").drop("dt")
+    new = stage(merge.upsert(old, changes, keys).withColumn("dt", month))
+    if not touched.isEmpty():
+        overwrite_partitions(new, path, ["dt"], keys)
+        spark.catalog.refreshByPath(path)
+    return merge.diff_counts(classified)
+
+
+def newest_reports(landed: DataFrame, companies: DataFrame) -> DataFrame:
+    """Listed companies' reports, one version per key; every type is stored as one, so two types of one period are an
+    error, as is any other key that is left twice. A table without types is picked by period alone."""
+    typed = "report_type" in landed.columns
+    picked = dedup.newest_version(universe.keep_listed(landed, companies, "end_date"), by_type=typed).drop("ordinal")
+    group = ["ts_code", "end_date"] + ["report_type"] * typed
+    return require_unique(dedup.merge_types(picked) if typed else picked, group)
 
 
 def load_reports(landed: DataFrame, stored: DataFrame, companies: DataFrame, model: list[str], json_column: str) -> DataFrame:
-    """Landed reports with their diff_class: listed companies, one version per key, other columns packed as JSON, all
-    columns compared."""
-    listed = universe.keep_listed(landed, companies, "end_date")
-    picked = dedup.newest_version(listed).drop("ordinal")
-    packed = pack_overflow(picked, model, json_column)
-    compare = [c for c in packed.columns if c not in REPORT_KEYS]
-    return merge.classify(packed, stored, REPORT_KEYS, compare, json_columns=(json_column,))
+    """Landed reports with their diff_class: the newest version of each, other columns packed as JSON, matched by the
+    table's key, all columns compared."""
+    packed = pack_overflow(newest_reports(landed, companies), model, json_column)
+    keys = STATEMENT_KEYS if "report_type" in packed.columns else INDICATOR_KEYS
+    compare = [c for c in packed.columns if c not in keys]
+    return merge.classify(packed, stored, keys, compare, json_columns=(json_column,))

@@ -31,13 +31,16 @@ def build_session(master: str | None = None, app: str = "barloom", shuffle_parti
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors see: `spark.checkpoint.dir`, else the checkpoint folder in use.
 
-    Only where neither is set (tests, local runs) does a machine-local folder stand in.
+    Where neither is set, a machine-local folder stands in if the master is local, and elsewhere it is an error: what one
+    executor wrote to its own disk, the others could not read.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

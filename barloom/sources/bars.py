@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,11 +124,16 @@ def shift_month(month: str, by: int) -> str:
 
 
 def index_scan(spark: SparkSession, path: str | None, code: str) -> DataFrame:
-    """Daily bars of one index; without a table, no rows."""
+    """Daily bars of one index; without a table, or where its path does not exist, no rows."""
     schema = T.StructType.fromDDL("ts_code string, trade_date string, open double, close double")
     if path is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where(F.col("ts_code") == code)
+    try:
+        return spark.read.schema(schema).parquet(path).where(F.col("ts_code") == code)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def with_factor(bars: DataFrame, long: DataFrame, name: str) -> DataFrame:

@@ -8,31 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions import text
+
 
 @dataclass(frozen=True)
 class Contract:
-    """`columns` is a DDL list; text columns in the key default to '' when absent, everything else to null."""
+    """`columns` is a DDL list; text columns in the key default to '' when absent, everything else to null.
+
+    `dates` are the columns that hold days: they are stored as 8 digits. `day` is the one that a row must have.
+    """
 
     name: str
     key: tuple[str, ...]
     columns: str
     day: str = "trade_date"
+    dates: tuple[str, ...] = ("trade_date",)
 
     @property
     def schema(self) -> T.StructType:
         return T.StructType.fromDDL(self.columns)
 
 
-def _doubles(names: str) -> str:
-    return ", ".join(f"{n} double" for n in names.split())
-
-
 # Column names of the landed tables.
 KLINE_DAILY = Contract(
     "kline_daily",
     ("ts_code", "trade_date"),
     "ts_code string, trade_date string, "
-    + _doubles("open high low close pre_close change pct_chg vol amount adj_factor up_limit down_limit"),
+    "open double, high double, low double, close double, pre_close double, change double, pct_chg double, "
+    "vol double, amount double, adj_factor double, up_limit double, down_limit double",
 )
 FACTOR = Contract("factor", ("ts_code", "trade_date"), "ts_code string, trade_date string, value double")
 BLOCK_TRADE = Contract(
@@ -46,33 +49,52 @@ REPORT_INCOME = Contract(
     "ts_code string, ann_date string, f_ann_date string, end_date string, report_type string, update_flag string, "
     "total_revenue double, income_table string",
     "end_date",
+    ("ann_date", "f_ann_date", "end_date"),
 )
 SNAPSHOT = Contract(
     "completeness_snapshot",
     ("source_name", "date_key"),
     "source_name string, date_key string, period_stock_count bigint, resolved_count bigint",
     "date_key",
+    (),
 )
 LOG_MISSING = Contract(
     "log_missing",
     ("ts_code", "missing_entity", "missing_date"),
     "ts_code string, missing_entity string, missing_date string, try_count int, last_try_time timestamp",
     "missing_date",
+    ("missing_date",),
 )
 CONTRACTS = {c.name: c for c in (KLINE_DAILY, FACTOR, BLOCK_TRADE, REPORT_INCOME, SNAPSHOT, LOG_MISSING)}
 
 
 def conform(df: DataFrame, contract: Contract) -> DataFrame:
-    """The contract's columns in order and type; absent ones become null ('' in a text key), unknown ones go, rows
-    whose key date is not 8 characters go."""
+    """The contract's columns in order and type; absent ones become null ('' in a text key), unknown ones go.
+
+    Each is normalised by its kind first: days lose their dashes, numbers that are no finite number become null, texts
+    that stand for nothing become '' in the key and null elsewhere. Rows without a day go.
+    """
     cols: list[Column] = []
     for f in contract.schema.fields:
         if f.name in df.columns:
-            cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
+            cols.append(_normal(F.col(f.name), f, contract).alias(f.name))
         else:
             blank = F.lit("") if f.name in contract.key and isinstance(f.dataType, T.StringType) else F.lit(None)
             cols.append(blank.cast(f.dataType).alias(f.name))
-    return df.select(*cols).where(F.length(contract.day) == 8)
+    day = F.length(contract.day)
+    return df.select(*cols).where(day == 8 if contract.day in contract.dates else day > 0)
+
+
+def _normal(c: Column, f: T.StructField, contract: Contract) -> Column:
+    if f.name in contract.dates:
+        day = text.date_key(c)
+        return day if f.name in contract.key else F.when(day != "", day)
+    if isinstance(f.dataType, T.DoubleType):
+        return text.number(c)
+    if isinstance(f.dataType, T.StringType):
+        s = text.blank_text(c)
+        return s if f.name in contract.key else F.when(s != "", s)
+    return c.try_cast(f.dataType)
 
 
 def rename(df: DataFrame, mapping: dict[str, str], keep_rest: bool = True) -> DataFrame:

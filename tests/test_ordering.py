@@ -112,3 +112,26 @@ def test_turnover_and_cost(spark):
     t = {r.rebalance_no: r for r in portfolio.turnover_by_group(portfolio.holdings_delta(held)).collect()}
     assert t[1].turnover == pytest.approx(1.0)
     assert t[2].turnover == pytest.approx(1.0) and t[2].cost == pytest.approx(0.0008)
+
+
+@pytest.mark.parametrize("cuts", [256, 3])
+@pytest.mark.parametrize("size", SIZES)
+def test_null_groups_and_odd_values_at_every_size(spark, monkeypatch, size, cuts):
+    """Null keys, nulls, NaN, both zeros and ties give the same whether a group is cut, cut again, or not."""
+    monkeypatch.setattr(ordering, "_CUTS_AT_ONCE", cuts)
+    odd = [None, float("nan"), 0.0, -0.0, 1.0, 1.0, float("inf")]
+    rows = [(None if i % 2 else "d", f"c{i:03d}", odd[i % 7] if i % 3 else float(i)) for i in range(240)]
+    df = spark.createDataFrame(rows, "trade_date string, ts_code string, x double").repartition(3)
+    text = lambda rs: sorted(str(tuple(r)) for r in rs.collect())
+    whole, cut = 10_000_000, size
+    by, key = ["trade_date"], [F.col("x") + 0.0, F.col("ts_code")]
+    for f in (
+        lambda n: ordering.positions(df.where("x is not null"), by, key, rows_per_task=n),
+        lambda n: ordering.average_rank(df, "x", by, "r", rows_per_task=n),
+        lambda n: ordering.quantile_groups(df, "x", 5, by, rows_per_task=n),
+        lambda n: ordering.upper_median(df, "x", by, rows_per_task=n),
+    ):
+        assert text(f(whole)) == text(f(cut))
+    assert ordering.average_rank(df, "x", by, "r", rows_per_task=size).where("trade_date is null and r is not null").count() > 90
+    stats = ordering.with_group_stats(df, by, {"n": F.count(F.lit(1))})
+    assert {r.n for r in stats.collect()} == {120}

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import factorset
-from barloom.plans import alphas, factors, hot_table, panel
+from barloom import session
+from barloom.operators import factorset, filters
+from barloom.plans import alphas, factors, hot_table, loads, panel
 from barloom.session import scratch_path
 from barloom.sources import bars as B
 from barloom.sources import contracts, sinks
@@ -77,9 +78,62 @@ def test_hot_table_keeps_the_last_dates(spark, store):
 
 
 def test_contract_projection(spark):
-    df = spark.createDataFrame([("A", "20240101", "x"), ("B", "2024", "1.5")], "ts_code string, trade_date string, price string")
+    rows = [("A", "20240101", "x"), ("B", "2024", "1.5"), ("C", "2024-01-05", "inf"), ("D", None, "1"), (" nan ", "20240102 09:30", "-2.5")]
+    df = spark.createDataFrame(rows, "ts_code string, trade_date string, price string")
     got = contracts.conform(df, contracts.BLOCK_TRADE).collect()
-    assert [tuple(r) for r in got] == [("A", "20240101", "", "", None, None, None)]
+    want = [("A", "20240101", None), ("C", "20240105", None), ("", "20240102", -2.5)]
+    assert [tuple(r) for r in got] == [(c, d, "", "", p, None, None) for c, d, p in want]
+
+
+CLOSES = contracts.Contract("closes", ("ts_code", "trade_date"), "ts_code string, trade_date string, close double")
+
+
+def test_load_into_a_stored_table(spark):
+    path, cols = scratch_path(spark, "closes"), "ts_code string, trade_date string, close double"
+    counts = lambda rows: {r.diff_class: r.n_rows for r in loads.load_into(path, spark.createDataFrame(rows, cols), CLOSES).collect()}
+    stored = lambda: sorted(map(tuple, loads.read_stored(spark, path, CLOSES).collect()))
+    assert counts([("A", "2024-01-02", 1.0), ("A", "20240201", 2.0)]) == {"insert": 2}
+    change = [("A", "20240102", 1.5), ("B", "20240103", None), ("A", "20240201", 2.0), ("C", "bad", 1.0)]
+    assert counts(change) == {"update": 1, "insert": 1, "skip": 1}
+    want = [("A", "20240102", 1.5, "202401"), ("A", "20240201", 2.0, "202402"), ("B", "20240103", None, "202401")]
+    assert stored() == want
+    assert counts(change) == {"skip": 3} and stored() == want
+    with pytest.raises(ValueError, match="more than one row"):
+        counts([("A", "20240102", 1.0), ("A", "2024-01-02", 2.0)])
+    assert loads.load_into(path, spark.createDataFrame(stored(), cols + ", dt string"), CLOSES).collect()[0].diff_class == "skip"
+
+
+def test_report_types_of_one_period_are_an_error(spark):
+    firms = spark.createDataFrame([("A", "20000101", None)], "ts_code string, list_date string, delist_date string")
+    rows = [("A", "20231231", "20240401", "20240301", "1", "1", 1), ("A", "20231231", "20240301", "20240501", "1", "1", 2)]
+    cols = "ts_code string, end_date string, f_ann_date string, ann_date string, report_type string, update_flag string, ordinal long"
+    got = loads.newest_reports(spark.createDataFrame(rows, cols), firms).collect()
+    assert [(r.f_ann_date, r.report_type) for r in got] == [("20240401", "merge_now")]
+    with pytest.raises(ValueError, match="more than one row"):
+        loads.newest_reports(spark.createDataFrame([rows[0], (*rows[1][:4], "4", "1", 2)], cols), firms)
+
+
+def test_slices_are_what_was_asked(spark):
+    df = spark.range(25_000).select(F.lit("20240101").alias("trade_date"), F.col("id").cast("string").alias("ts_code"))
+    assert filters.table_slice(df, 24_000, ["ts_code"]).count() == 24_000
+    with pytest.raises(ValueError):
+        filters.table_slice(df, 0, ["ts_code"])
+
+
+def test_no_machine_local_folder_off_a_local_master(spark, monkeypatch):
+    class Context:
+        master = "yarn"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_root(Session)
 
 
 def test_length_check(spark):
@@ -93,6 +147,7 @@ def test_no_index_gives_null_columns(spark, store):
     p = panel.build(store[1].table())
     assert p.where("benchmark_close is not null").isEmpty()
     assert B.index_scan(spark, None, "x").isEmpty()
+    assert B.index_scan(spark, scratch_path(spark, "absent"), "x").isEmpty()
 
 
 def test_bad_alpha_text_is_an_error(store):
