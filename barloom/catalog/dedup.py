@@ -198,8 +198,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     b = bars_m(spark, sf)
-    expected = gaps.expected_grid(listing(spark, sf), b.select("trade_date"), keep_delist_day=True, need_list_date=True)
-    missing = gaps.missing_keys(expected, b.where("vol > 100"), ["ts_code", "trade_date"])
+    have = b.where("vol > 100")
+    missing = gaps.missing_days(listing(spark, sf), b.select("trade_date"), have, keep_delist_day=True, need_list_date=True)
     return gaps.missing_span(missing, ["ts_code"], "trade_date")
 
 
@@ -286,8 +286,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     known = companies(spark, sf).where(F.coalesce(F.col("list_date"), F.lit("")) != "")
-    due = gaps.expected_grid(known, periods(spark), day="end_date")
-    return gaps.missing_keys(due, reports(spark, sf).where("report_type IN ('1', '2')"), ["ts_code", "end_date"])
+    return gaps.missing_days(known, periods(spark), reports(spark, sf).where("report_type IN ('1', '2')"), day="end_date")
 
 
 @query(

@@ -208,7 +208,14 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return gaps.missing_keys(_grid(spark, sf), bars_d(spark, sf), ["ts_code", "trade_date"])
+    return gaps.missing_days(
+        listing(spark, sf),
+        spine.open_dates(calendar(spark, sf)),
+        bars_d(spark, sf),
+        "19970101",
+        "19981231",
+        universe.full_day_suspended(suspend(spark, sf)),
+    )
 
 
 # ── reports ──────────────────────────────────────────────────────────────

@@ -210,8 +210,7 @@ def _(spark, sf):
     life = b.select("ts_code").distinct().withColumns(
         {"list_date": F.lit("00000000"), "delist_date": F.lit(None).cast("string")}
     )
-    expected = gaps.expected_grid(life, days)
-    missing = gaps.missing_keys(expected, b.where(F.col("close") > 1500), ["ts_code", "trade_date"])
+    missing = gaps.missing_days(life, days, b.where(F.col("close") > 1500))
     return gaps.merge_consecutive(missing, days)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +14,23 @@ def sorted_days(days: DataFrame, col: str = "trade_date"):
     return days.agg(F.sort_array(F.collect_set(col))).scalar()
 
 
-def expected_grid(listing: DataFrame, opens: DataFrame, start: str | None = None, end: str | None = None, suspended: DataFrame | None = None, day: str = "trade_date", keep_delist_day: bool = False, need_list_date: bool = False) -> DataFrame:
-    """Open days of each code within its life span, less its all-day suspensions.
+def missing_days(
+    listing: DataFrame,
+    opens: DataFrame,
+    have: DataFrame | None,
+    start: str | None = None,
+    end: str | None = None,
+    suspended: DataFrame | None = None,
+    day: str = "trade_date",
+    keep_delist_day: bool = False,
+    need_list_date: bool = False,
+) -> DataFrame:
+    """Open days of each code within its life span that it neither has (`have`: ts_code and the day) nor was suspended on.
 
     `keep_delist_day` counts the delisting day as a listed one; `need_list_date` leaves out codes without a list_date.
 
-    The calendar is one array literal for all codes, so codes are expanded in place: no cross join, no range join,
-    and the codes are not shuffled.
+    The calendar is one array for all codes, and what a code has is one set of days, bounded by the calendar: only the
+    difference is exploded, so the grid of all codes and days is neither shuffled nor written out.
     """
     lo = F.coalesce(F.col("list_date"), F.lit(""))
     hi = F.coalesce(F.col("delist_date"), F.lit(""))
@@ -28,14 +40,22 @@ def expected_grid(listing: DataFrame, opens: DataFrame, start: str | None = None
         opens = opens.where(F.col(day) <= end)
     if need_list_date:
         listing = listing.where(lo != "")
-    with_days = listing.select("ts_code", lo.alias("_lo"), hi.alias("_hi"), sorted_days(opens, day).alias("_days"))
     alive = lambda d: (d >= F.col("_lo")) & (
         (F.col("_hi") == "") | (d <= F.col("_hi") if keep_delist_day else d < F.col("_hi"))
     )
-    grid = with_days.select("ts_code", F.explode(F.filter("_days", alive)).alias(day))
-    if suspended is not None:
-        grid = grid.join(suspended.select("ts_code", day).distinct(), ["ts_code", day], "left_anti")
-    return grid
+    due = listing.select("ts_code", lo.alias("_lo"), hi.alias("_hi"), sorted_days(opens, day).alias("_days"))
+    due = due.select("ts_code", F.filter("_days", alive).alias("_due"))
+    known = [x.select("ts_code", day) for x in (have, suspended) if x is not None]
+    if known:
+        seen = reduce(DataFrame.unionByName, known).groupBy("ts_code").agg(F.collect_set(day).alias("_seen"))
+        due = due.join(seen, "ts_code", "left")
+        due = due.withColumn("_due", F.when(F.col("_seen").isNull(), F.col("_due")).otherwise(F.array_except("_due", "_seen")))
+    return due.select("ts_code", F.explode("_due").alias(day))
+
+
+def expected_grid(listing: DataFrame, opens: DataFrame, start: str | None = None, end: str | None = None, suspended: DataFrame | None = None, **options) -> DataFrame:
+    """Open days of each code within its life span, less its all-day suspensions; options as for `missing_days`."""
+    return missing_days(listing, opens, None, start, end, suspended, **options)
 
 
 def missing_keys(expected: DataFrame, resolved: DataFrame, keys: list[str]) -> DataFrame:

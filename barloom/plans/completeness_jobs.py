@@ -59,31 +59,24 @@ def completeness_cycle(stored: DataFrame, source: str, expected: DataFrame, tabl
 def bar_check(listing: DataFrame, calendar: DataFrame, suspended: DataFrame, bars: DataFrame, start: str, end: str) -> DataFrame:
     """Missing ranges of every code in one job: the expected grid less the stored bars, neighbours merged."""
     opens = spine.open_dates(calendar, start, end)
-    expected = gaps.expected_grid(listing, opens, start, end, suspended)
-    missing = gaps.missing_keys(expected, bars, ["ts_code", "trade_date"])
+    missing = gaps.missing_days(listing, opens, bars, start, end, suspended)
     return gaps.merge_consecutive(missing, opens)
 
 
 def bar_check_registry(log: DataFrame, listing: DataFrame, calendar: DataFrame, suspended: DataFrame, bars: DataFrame, start: str, end: str, at) -> DataFrame:
     """The registry after a bar check: missed keys counted, resolved ones gone."""
     opens = spine.open_dates(calendar, start, end)
-    expected = gaps.expected_grid(listing, opens, start, end, suspended)
-    missing = gaps.missing_keys(expected, bars, ["ts_code", "trade_date"])
+    missing = gaps.missing_days(listing, opens, bars, start, end, suspended)
     entity = F.lit("kline_daily").alias("missing_entity")
     as_keys = lambda d: d.select("ts_code", entity, F.col("trade_date").alias("missing_date"))
     return registry.forget_resolved(registry.record_missing(log, as_keys(missing), at), as_keys(bars))
 
 
-def expected_periods(companies: DataFrame, periods: DataFrame, start: str) -> DataFrame:
-    """Due report periods of every company from max(start, list_date) on."""
+def report_check(companies: DataFrame, periods: DataFrame, reports: DataFrame, start: str) -> DataFrame:
+    """Missing report periods of every company, due from max(start, list_date) on: (ts_code, end_date)."""
     born = F.greatest(F.lit(start), F.coalesce(F.col("list_date"), F.lit("")))
     life = companies.select("ts_code", born.alias("list_date"), F.lit(None).cast("string").alias("delist_date"))
-    return gaps.expected_grid(life, periods, day="end_date")
-
-
-def report_check(companies: DataFrame, periods: DataFrame, reports: DataFrame, start: str) -> DataFrame:
-    """Missing report periods of every company: (ts_code, end_date)."""
-    return gaps.missing_keys(expected_periods(companies, periods, start), reports, ["ts_code", "end_date"])
+    return gaps.missing_days(life, periods, reports, day="end_date")
 
 
 def report_check_summary(companies: DataFrame, periods: DataFrame, reports: DataFrame, start: str) -> DataFrame:
@@ -106,4 +99,4 @@ def missing_periods_since_first(companies: DataFrame, periods: DataFrame, report
         F.lit(None).cast("string").alias("delist_date"),
     )
     due = periods.where(F.col("end_date").between(start, end))
-    return gaps.missing_keys(gaps.expected_grid(life, due, day="end_date"), seen, ["ts_code", "end_date"])
+    return gaps.missing_days(life, due, seen, day="end_date")

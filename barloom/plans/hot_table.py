@@ -21,6 +21,6 @@ def retain(rows: DataFrame, recent: DataFrame) -> DataFrame:
 def build(long: DataFrame, bars: DataFrame, names: list[str], n: int) -> DataFrame:
     """Every factor of the recent dates side by side; NaN is stored as null."""
     recent = recent_dates(bars, n)
-    rows = retain(long, recent).join(F.broadcast(recent), "trade_date", "left_semi")  # n rows
+    rows = retain(long, recent).join(recent, "trade_date", "left_semi")
     clean = F.when(~F.isnan("value"), F.col("value"))
     return factorset.wide(rows.withColumn("value", clean), names)
