@@ -17,6 +17,7 @@ columns are ignored; an empty table gives an empty result. A text that itself ho
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 
 import ahocorasick
@@ -34,8 +35,9 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 
-CACHE_UNITS = 600_000
-CACHE_PAIRS = 1_000_000
+# Units in each of the two generations.
+CACHE_UNITS = 250_000
+CACHE_PAIRS = 400_000
 SLICE_BYTES = 4 << 20
 
 
@@ -84,9 +86,15 @@ class PieceModel:
             self.automaton.add_word(p, (i, len(p)))
         if self.usable:
             self.automaton.make_automaton()
+        self._halves: dict[int, tuple[int, int] | None] = {}
         self._whole: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._cache: dict[str, bytes] = {}
+        self._ordered: dict[int, bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self._sizes = [len(p) for p in pieces]
+        for i in self.usable.values() if kind == BPE else ():
+            self._is_whole(i)
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         blank = SPACE.encode()
         self.surface = [
             bytes([int(p[3:5], 16)]) if t == BYTE else p.encode().replace(blank, b" ") if t == NORMAL else b" \xe2\x81\x87 " if t == UNKNOWN else b""
@@ -127,7 +135,11 @@ class PieceModel:
 
     def merges(self, text: str) -> list[str]:
         """The merges' encoding of a short text: the best-scored neighbours first, the leftmost of equals."""
-        parts = list(text)
+        return self._merged(text)[0]
+
+    def _merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The same, and the last two parts that were merged."""
+        parts, last = list(text), None
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -135,58 +147,117 @@ class PieceModel:
                 if j is not None and (best is None or self.scores[j] > best):
                     best, at = self.scores[j], i
             if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                return parts, last
+            last = parts[at], parts[at + 1]
+            parts[at : at + 2] = ["".join(last)]
 
     def _is_whole(self, i: int) -> bool:
-        if i not in self._whole:
-            self._whole[i] = len(self.merges(self.pieces[i])) == 1
-        return self._whole[i]
-
-    def _are_neighbours(self, i: int, j: int) -> bool:
-        found = self._pairs.get((i, j))
+        """Whether the merges make the piece out of its own text."""
+        found = self._whole.get(i)
         if found is None:
-            if len(self._pairs) >= CACHE_PAIRS:
-                self._pairs.clear()
-            a, b = self.pieces[i], self.pieces[j]
-            found = self._pairs[i, j] = self.merges(a + b) == [a, b]
+            parts, last = self._merged(self.pieces[i])
+            found = self._whole[i] = len(parts) == 1
+            ids = tuple(self.usable.get(p, -1) for p in last) if found and last else None
+            self._halves[i] = ids
+            # Where parts were made before what they are in, by score, the order of merges is that of their scores.
+            self._ordered[i] = found and (ids is None or min(ids) >= 0 and all(self._is_before(h, i) for h in ids))
         return found
 
-    def _path(self, text: str) -> list[tuple[int, int, int]]:
-        """(from, to, piece) along the best path; piece -1 is a character that no piece covers."""
-        n = len(text)
-        last: list[int | None] = [None] * (n + 1)
-        start, best = [0] * (n + 1), [0.0] * (n + 1)
+    def _is_before(self, part: int, whole: int) -> bool:
+        return self._is_whole(part) and self._ordered[part] and (self._halves[part] is None or self.scores[part] > self.scores[whole])
+
+    def _are_neighbours(self, i: int, j: int) -> bool:
+        """Whether the merges leave pieces i and j as they are when they stand next to each other.
+
+        Followed back from the end: the merge that was made last on either side of the border is undone, and had a merge
+        across the border been better than it, that would have been made instead.
+        """
+        if not self._is_whole(j):
+            return False
+        if not (self._ordered[i] and self._ordered[j]):
+            a, b = self.pieces[i], self.pieces[j]
+            return self.merges(a + b) == [a, b]
+        pieces, scores, halves = self.pieces, self.scores, self._halves
+        if pieces[i] + pieces[j] in self.usable:
+            return False
+        while True:
+            left, right = halves[i], halves[j]
+            if left is None and right is None:
+                return True
+            if right is None or (left is not None and scores[i] < scores[j]):
+                made, i, first = scores[i], left[1], False
+            else:
+                made, j, first = scores[j], right[0], True  # a merge across the border is to the left of it
+            across = self.usable.get(pieces[i] + pieces[j])
+            if across is not None and (scores[across] > made or (first and scores[across] == made)):
+                return False
+
+    def _merge_path(self, text: str) -> list[int]:
+        """At each position the last piece of the merges' encoding up to there; -1 after a character without a piece."""
+        last: list[int | None] = [None] * (len(text) + 1)
         last[0] = -1
-        reached, bpe = 0, self.kind == BPE
+        pairs, wide, whole = self._pairs, len(self.pieces), self._whole
+        for end, (i, size) in self.automaton.iter(text) if self.usable else ():
+            if last[end + 1] is not None:
+                continue
+            before = last[end + 1 - size]
+            if before is None:  # all pieces that end there have been tried
+                before = last[end + 1 - size] = -1
+            if before == -1:
+                fits = whole[i]
+            else:
+                key = before * wide + i
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) >= CACHE_PAIRS:
+                        pairs.clear()
+                    fits = pairs[key] = self._are_neighbours(before, i)
+            if fits:
+                last[end + 1] = i
+        return [-1 if p is None else p for p in last] if None in last else last
+
+    def _score_path(self, text: str) -> list[int]:
+        """At each position the last piece of the path of the largest sum of scores; -1 as above."""
+        n = len(text)
+        last, best = [-1] * (n + 1), [0.0] + [-np.inf] * n
+        reached = 0
 
         def close(upto: int) -> None:
             nonlocal reached
             for k in range(reached + 1, upto + 1):
                 score = best[k - 1] + self.lowest
-                if last[k] is None or (not bpe and score > best[k] and text[k - 1] not in self.usable):
-                    last[k], start[k], best[k] = -1, k - 1, score
+                if score > best[k] and text[k - 1] not in self.usable:
+                    last[k], best[k] = -1, score
             reached = upto
 
         for end, (i, size) in self.automaton.iter(text) if self.usable else ():
             close(end)
-            at, k = end + 1 - size, end + 1
-            if bpe:
-                if last[k] is None and (self._is_whole(i) if last[at] == -1 else self._are_neighbours(last[at], i)):
-                    last[k], start[k] = i, at
-            else:
-                score = best[at] + self.scores[i]
-                if last[k] is None or score > best[k]:
-                    last[k], start[k], best[k] = i, at, score
+            score = best[end + 1 - size] + self.scores[i]
+            if score > best[end + 1]:
+                last[end + 1], best[end + 1] = i, score
         close(n)
-        out, k = [], n
+        return last
+
+    def _path(self, text: str) -> list[tuple[int, int, int]]:
+        """(from, to, piece) along the best path; piece -1 is a character that no piece covers."""
+        last = self._merge_path(text) if self.kind == BPE else self._score_path(text)
+        out, k = [], len(text)
         while k:
-            out.append((start[k], k, last[k]))
-            k = start[k]
+            p = last[k]
+            start = k - (len(self.pieces[p]) if p >= 0 else 1)
+            out.append((start, k, p))
+            k = start
         return out[::-1]
 
     def encode_unit(self, text: str) -> list[int]:
-        out: list[int] = []
+        if self.kind == BPE:
+            last, out, k = self._merge_path(text), [], len(text)
+            while k and last[k] >= 0:
+                out.append(last[k])
+                k -= self._sizes[last[k]]
+            if not k:
+                return out[::-1]
+        out = []
         before = 0
         for lo, hi, piece in self._path(text):
             if piece >= 0:
@@ -199,25 +270,26 @@ class PieceModel:
         return out
 
     def encode_bytes(self, text: str) -> bytes:
-        """The ids of a text as little-endian 32-bit integers."""
+        """The ids of a text as 32-bit integers."""
         normal = self.normal(text)
         if not self.by_unit or not (self.bytes or self.unknown < 0):
-            return np.array(self.encode_unit(normal), "<i4").tobytes()
+            return array("i", self.encode_unit(normal)).tobytes()
         units = _UNIT.findall(normal)
-        known = self._cache
-        found = list(map(known.get, units))
+        found = list(map(self._young.get, units))
         if None in found:
-            new = {u for u, f in zip(units, found) if f is None}
-            got = {u: np.array(self.encode_unit(u), "<i4").tobytes() for u in new}
-            if len(known) + len(got) > CACHE_UNITS:
-                known.clear()
-            if len(got) <= CACHE_UNITS:
-                known.update(got)
-            found = [got[u] if f is None else f for u, f in zip(units, found)]
+            new = {}
+            for u in {u for u, f in zip(units, found) if f is None}:
+                kept = self._old.get(u)
+                new[u] = array("i", self.encode_unit(u)).tobytes() if kept is None else kept
+            if len(self._young) + len(new) > CACHE_UNITS:
+                self._old, self._young = self._young, {}
+            if len(new) <= CACHE_UNITS:
+                self._young.update(new)
+            found = [new[u] if f is None else f for u, f in zip(units, found)]
         return b"".join(found)
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """UTF-8 of the pieces, without the blank that encoding put before the text."""
@@ -244,7 +316,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             texts = texts_of(b.column("text"))
             parts = [m.encode_bytes(t) for t in texts]
             sizes = [len(p) // 4 for p in parts]
-            ids = np.frombuffer(b"".join(parts), "<i4")
+            ids = np.frombuffer(b"".join(parts), np.int32)
             at = np.cumsum([0, *sizes])
             restored = [m.decode_bytes(ids[x:y].tolist()) == t.encode() for x, y, t in zip(at, at[1:], texts)]
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
