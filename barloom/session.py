@@ -46,9 +46,24 @@ def shared_root(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def application_root(spark: SparkSession) -> str:
+    """This application's folder in the shared one. The driver removes it when it ends."""
+    root = f"{shared_root(spark)}/barloom-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _ROOTS.add(root)
+    return root
+
+
+_ROOTS: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder; all of one application's paths are under one folder."""
-    return f"{shared_root(spark)}/barloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+    """A new, unused path in this application's folder."""
+    return f"{application_root(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -1,5 +1,10 @@
 """Scans, sinks and the incremental jobs on a store of their own."""
 
+import os
+import subprocess
+import sys
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +166,22 @@ def test_wide_and_long_are_inverse(spark):
     back = factorset.long(factorset.wide(df, ["f", "g"]), ["f", "g"])
     assert sorted(map(tuple, back.select("ts_code", "trade_date", "factor_name", "value").collect())) == rows
     assert [r.ts_code for r in factorset.cross_section(df, ["f", "g"]).collect()] == ["A"]
+
+
+def test_staged_tables_go_with_the_application(tmp_path):
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "from barloom.session import stage\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.checkpoint.dir', sys.argv[2]).getOrCreate()\n"
+        "assert stage(spark.range(3)).count() == 3\n"
+        "import os; assert any(d.startswith('barloom-') for d in os.listdir(sys.argv[2]))\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code, root, str(tmp_path)], check=True, timeout=120)
+    left = lambda: [d for d in os.listdir(tmp_path) if d.startswith("barloom-")]
+    for _ in range(100):  # the JVM ends a moment after Python
+        if not left():
+            break
+        time.sleep(0.2)
+    assert not left()
