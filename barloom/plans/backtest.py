@@ -112,11 +112,17 @@ def period_returns(rets: DataFrame, days: DataFrame) -> DataFrame:
     return r.groupBy("trade_date", "rebalance_no", "ts_code").agg((F.product(F.lit(1.0) + F.col("ret")) - 1.0).alias("period_return"))
 
 
+# Columns that a run reads of the bars.
+BAR_COLUMNS = ("ts_code", "trade_date", "close", "adj_factor", "up_limit", "down_limit")
+
+
 class Backtest:
     """One run. Each output is planned when it is asked for; what several outputs read is staged once.
 
     `factors` is wide: ts_code, trade_date and the strategy's factor columns. The first day of the range has no
     return, the last rebalance date closes the last period, and a date without a cross-section holds nothing.
+
+    A range that is none, missing columns, fewer than two rebalances and no bars in the range are errors.
     """
 
     def __init__(
@@ -132,11 +138,21 @@ class Backtest:
         freq: str = "monthly",
         rates: CostRates = CostRates(),
     ) -> None:
+        if not start or not end or start > end:
+            raise ValueError(f"no such range: {start!r} to {end!r}")
+        for what, frame, need in (("bars", bars, BAR_COLUMNS), ("factors", factors, ("ts_code", "trade_date", *strategy.factors))):
+            absent = [c for c in need if c not in frame.columns]
+            if absent:
+                raise ValueError(f"{what} lack the columns {absent}")
         self.factors, self.listing, self.suspend = factors, listing, suspend
         self.strategy, self.freq, self.rates = strategy, freq, rates
         self.bars = bars.where(F.col("trade_date").between(start, end))
         self.opens = stage(spine.open_dates(calendar, start, end))
         self.groups = [f"G{i}" for i in range(strategy.n_groups)]
+        if spine.last_of_period(self.opens, freq).limit(2).count() < 2:
+            raise ValueError(f"fewer than two rebalances from {start} to {end}")
+        if self.bars.isEmpty():
+            raise ValueError(f"no bars from {start} to {end}")
 
     @cached_property
     def rebalances(self) -> DataFrame:

@@ -156,3 +156,22 @@ def test_weights_sum_to_one(both):
 def test_summary_is_one_row(both):
     s = backtest.summary(both[0], {"strategy": "single_factor_f"}).collect()
     assert len(s) == 1 and s[0].strategy == "single_factor_f" and s[0].n_rebalance == len(both[1]["turnover"])
+
+
+def test_bad_inputs_are_errors(market):
+    frames = market[-1]
+    run = lambda start="20240101", end="20240630", **other: backtest.Backtest(
+        **{**frames, **other}, strategy=backtest.SingleFactor("f", N_GROUPS), start=start, end=end
+    )
+    with pytest.raises(ValueError, match="no such range"):
+        run("20240201", "20240101")
+    with pytest.raises(ValueError, match="no such range"):
+        run("", "20240101")
+    with pytest.raises(ValueError, match="lack the columns"):
+        run(bars=frames["bars"].drop("up_limit"))
+    with pytest.raises(ValueError, match="lack the columns"):
+        run(factors=frames["factors"].drop("f"))
+    with pytest.raises(ValueError, match="two rebalances"):
+        run("20240101", "20240120")
+    with pytest.raises(ValueError, match="no bars"):
+        run(bars=frames["bars"].limit(0))
