@@ -36,7 +36,10 @@ DAMPING = 0.85
 ROUNDS = 12
 # Rounds between two cuts of the lineage.
 STAGE_EVERY = 4
-# Scores are compared to this many digits, so that the order of sums does not decide.
+# Distrust counts as above trust if it is by this share of the trust, so that the order of sums does not decide. A share,
+# since scores shrink as the table grows.
+MARGIN = 1e-9
+# The SQL compares to this many digits instead, which is the same on tables without scores below them.
 DIGITS = 9
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
@@ -118,13 +121,16 @@ def seeds_of(found: DataFrame) -> DataFrame:
     return per_host.select("host", share("a").alias("trust"), share("b").alias("distrust"))
 
 
+def blocked() -> Column:
+    """Whether a host's distrust is above its trust, at any scale of the two."""
+    return F.col("distrust") > F.col("trust") * (1 + MARGIN)
+
+
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule (null where none fits) and verdict of every page."""
     found = stage(matched(pages, rules))
     ranked = propagate(host_edges(pages), stage(seeds_of(found)))
-    judged = ranked.select(
-        "host", F.when(F.round(F.col("distrust") - F.col("trust"), DIGITS) > 0, "block").otherwise("allow").alias("of_host")
-    )
+    judged = ranked.select("host", F.when(blocked(), "block").otherwise("allow").alias("of_host"))
     verdict = F.coalesce("verdict", "of_host", F.lit("allow"))
     return found.join(judged, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 

@@ -116,6 +116,21 @@ def test_distrust_follows_links_back(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block"}
 
 
+def test_url_verdicts_do_not_depend_on_the_size_of_the_table(spark):
+    """A link farm around one blocked page, with and without a million blocked pages that have nothing to do with it."""
+    rows = [(-1, "http://bad.com/de/1", ""), (-2, "http://good.com/fr/1", '<a href="http://liked.net/">x</a>'), (-3, "http://liked.net/a", "")]
+    rows += [(i, f"http://farm{i}.net/a", '<a href="http://bad.com/">x</a>') for i in range(1_000)]
+    small = spark.createDataFrame([(*r, "x", 1.0) for r in rows], PAGES)
+    more = spark.range(1_000_000).select(
+        (F.col("id") + 10_000).alias("page_id"), F.lit("http://other.com/de/x").alias("url"), F.lit("").alias("html"),
+        F.lit("x").alias("host"), F.lit(1.0).alias("trust"),
+    )
+    want = {r[0]: "allow" if r[0] in (-2, -3) else "block" for r in rows}
+    for pages in (small, small.unionByName(more)):
+        got = url_filters.filter_urls(pages).where("page_id < 10000").collect()
+        assert {r.page_id: r.verdict for r in got} == want
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = SF.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
