@@ -9,7 +9,7 @@ Edges are the links that a page's html has to other hosts, one per page and host
 domain it is part of (down to two labels), since one owner stands behind both.
 
 Host graphs are aggregates of all pages, and each iteration is one equi-join on the host and one aggregate; nothing is
-collected, and a host with a third of all pages is summed map-side.
+collected but the largest change of a score, which ends the rounds once it is small, and a host with a third of all pages is summed map-side.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; null html has no
 links; a host that no seed reaches is allowed; repeated rows count as pages of their own; further columns are ignored; an
@@ -33,6 +33,12 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
+# Rounds go on until none of the last STAGE_EVERY has changed a host's score by more than this share of it. A host that is
+# reached for the first time changes by all of it, so chains are followed to their ends.
+TOLERANCE = 1e-4
+# Scores below this count as unchanged: they have no digits left to settle.
+LEAST = 1e-300
+# The SQL writes out this many rounds, which is the same on tables without longer chains or closer ties.
 ROUNDS = 12
 # Rounds between two cuts of the lineage.
 STAGE_EVERY = 4
@@ -82,7 +88,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def _change(now: DataFrame, before: DataFrame) -> float:
+    """The largest change of a score as a share of it, over all hosts; one row leaves the executors."""
+    old = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+    share = lambda new, was: F.when(F.col(new) > LEAST, F.abs(F.col(new) - F.col(was)) / F.col(new)).otherwise(0.0)
+    return now.join(old, "host").agg(F.max(F.greatest(share("trust", "t"), share("distrust", "d")))).first()[0] or 0.0
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) of all hosts of `edges` (src, dst, weight) and `seeds` (host, trust, distrust); each seed
     column sums to 1, or to 0 where there are none. Mass of a host without edges onward is not passed on."""
     outward = edges.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -96,19 +109,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     base = stage(hosts.join(seeds, "host", "left").select("host", zero("trust").alias("trust0"), zero("distrust").alias("distrust0")))
     now = base.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
-    for i in range(1, rounds + 1):
-        moved = (
-            flows.join(now, flows.src == now.host)
-            .groupBy("dst")
-            .agg(F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
-        )
-        new = lambda seed, flow: F.col(seed) * (1 - damping) + zero(flow) * damping
-        now = base.join(moved, base.host == moved.dst, "left").select(
-            "host", new("trust0", "t").alias("trust"), new("distrust0", "d").alias("distrust")
-        )
-        if i % STAGE_EVERY == 0 or i == rounds:
-            now = stage(now)
-    return now
+    while True:
+        before = now
+        for _ in range(STAGE_EVERY):
+            moved = (
+                flows.join(now, flows.src == now.host)
+                .groupBy("dst")
+                .agg(F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
+            )
+            new = lambda seed, flow: F.col(seed) * (1 - damping) + zero(flow) * damping
+            now = base.join(moved, base.host == moved.dst, "left").select(
+                "host", new("trust0", "t").alias("trust"), new("distrust0", "d").alias("distrust")
+            )
+        now = stage(now)
+        if _change(now, before) <= tolerance:
+            return now
 
 
 def seeds_of(found: DataFrame) -> DataFrame:

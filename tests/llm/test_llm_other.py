@@ -131,6 +131,13 @@ def test_url_verdicts_do_not_depend_on_the_size_of_the_table(spark):
         assert {r.page_id: r.verdict for r in got} == want
 
 
+def test_distrust_follows_chains_to_their_end(spark):
+    """Thirty hosts, each linking to the one before; the first links to a blocked one."""
+    rows = [(0, "http://h0.com/de/1", "")] + [(i, f"http://h{i}.com/a", f'<a href="http://h{i - 1}.com/">x</a>') for i in range(1, 31)]
+    pages = spark.createDataFrame([(*r, "x", 1.0) for r in rows], PAGES)
+    assert {r.verdict for r in url_filters.filter_urls(pages).collect()} == {"block"}
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = SF.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
