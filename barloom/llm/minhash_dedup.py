@@ -14,7 +14,9 @@ about 2 x (1 - 0.8 ** rows) ** halves, 4e-4 with the defaults.
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing and stays; a text with fewer than
 `words` words has one shingle; of equal texts the smallest id stays; further columns are ignored by `near_duplicates` and
-kept by `drop_near_duplicates`; an empty table gives an empty result. Ids are unique and not null.
+kept by `drop_near_duplicates`; an empty table gives an empty result. Repeated rows are one document: `near_duplicates` gives
+each of them the same answer, `drop_near_duplicates` keeps one. Different texts have different ids; rows with a null id link
+with nothing and stay.
 """
 
 from __future__ import annotations
@@ -186,6 +188,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves:
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each group, all columns kept."""
+    """`docs` with one document of each group, all columns kept. Of rows with the same id and text one stays; rows with a
+    null id all stay."""
     gone = near_duplicates(docs, **options).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Texts move only where an id repeats; else this table is empty.
+    again = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"))
+    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return once.unionByName(repeated)

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import license_scan, lm_scoring, minhash_dedup, mixing, quality_rules, sentencepiece_codec, token_counts
 from barloom.llm.components import components
@@ -225,6 +226,13 @@ def test_near_duplicates_against_brute_force(spark, odd):
             assert all((r.component_id, r.n_shingles, r.kept) == (want[r.doc_id], sizes[r.doc_id], want[r.doc_id] == r.doc_id) for r in got)
 
 
+def test_one_of_repeated_rows_stays(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a")] * 3 + [(2, text, "a")] * 2 + [(3, "another text", "a"), (4, None, "a"), (4, None, "a"), (None, "no id", "a"), (None, "no id", "a")]
+    got = minhash_dedup.drop_near_duplicates(documents(spark, rows).withColumn("rep", F.lit(1)))
+    assert collections.Counter(r.doc_id for r in got.collect()) == {1: 1, 3: 1, 4: 1, None: 2}
+
+
 def test_candidates_hold_pairs_at_the_threshold():
     """Recall of the tensored tables on pairs of sets at a similarity of 0.8."""
     rng = np.random.default_rng(1)
