@@ -15,7 +15,7 @@ Neither the trie nor the word counts are broadcast or held in one task, since bo
 
 Defined cases: a null text is empty; an empty text has one token, the end, and the probability of the end mark at the start;
 repeated rows are scored row by row; without training documents the baseline is 0 and every symbol equally likely; further
-columns are ignored; an empty table gives an empty result. Ids are not null.
+columns are ignored; an empty table gives an empty result; a row with a null id is in no fold, so it is learnt from.
 """
 
 from __future__ import annotations
@@ -151,8 +151,8 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_
     dealt = docs.select(
         "doc_id",
         F.col("text").cast("binary").alias("text"),
-        held_out.alias("held_out"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int").alias("block"),
     )
     counted = stage(dealt.groupBy("block").applyInArrow(_count_block, "block int, gram long, word binary, n long"))
     grams, words = counted.where("gram is not null"), counted.where("word is not null")

@@ -34,9 +34,9 @@ SEED = 20_240_601
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words of the whole text)."""
+    """doc_id, source, size (words of the whole text) and key, null where the id tells a row from all others."""
     n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
-    return docs.select("doc_id", "source", n.cast("long").alias("size"))
+    return docs.select("doc_id", "source", n.cast("long").alias("size"), F.lit(None).cast("long").alias("key"))
 
 
 def _size_class(size: Column) -> Column:
@@ -72,18 +72,18 @@ def _uniform(*of: Column) -> Column:
 def _reduce(units: DataFrame, by: list[str], level: int) -> DataFrame:
     """One row per group: `done`, its rounded documents with their extra copy, and the residual `c`."""
     first = F.col("units")[0]
-    none = F.expr("cast(array() as array<struct<id: bigint, size: bigint, copy: int>>)")
+    none = F.expr("cast(array() as array<struct<id: bigint, key: bigint, size: bigint, copy: int>>)")
     start = F.struct(first.alias("c"), none.alias("done"))
 
     def settled(x: Column, copy: int) -> Column:
-        return F.struct(x["id"].alias("id"), x["size"].alias("size"), F.lit(copy).alias("copy"))
+        return F.struct(x["id"].alias("id"), x["key"].alias("key"), x["size"].alias("size"), F.lit(copy).alias("copy"))
 
     def carried(x: Column, p: Column) -> Column:
-        return F.struct(x["size"].alias("size"), x["id"].alias("id"), p.alias("p"))
+        return F.struct(x["size"].alias("size"), x["id"].alias("id"), x["key"].alias("key"), p.alias("p"))
 
     def pair(state: Column, x: Column) -> Column:
         c, done = state["c"], state["done"]
-        s, u = c["p"] + x["p"], _uniform(c["id"], x["id"], F.lit(level))
+        s, u = c["p"] + x["p"], _uniform(c["id"], c["key"], x["id"], x["key"], F.lit(level))
         to = lambda stays, p, goes, copy: F.struct(
             carried(stays, p).alias("c"), F.array_append(done, settled(goes, copy)).alias("done")
         )
@@ -91,14 +91,19 @@ def _reduce(units: DataFrame, by: list[str], level: int) -> DataFrame:
         above = F.when(u * (2 - s) < 1 - x["p"], to(x, s - 1, c, 1)).otherwise(to(c, s - 1, x, 1))
         return F.when(s < 1, below).otherwise(above)
 
-    grouped = units.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("size", "id", "p"))).alias("units"))
+    grouped = units.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("size", "id", "key", "p"))).alias("units"))
     rest = F.slice("units", F.lit(2), F.greatest(F.size("units") - 1, F.lit(0)))
     return grouped.withColumn("r", F.aggregate(rest, start, pair)).select(*by, "r.c", "r.done")
 
 
 def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every document."""
-    rows = stage(sized(docs).withColumn("cls", _size_class(F.col("size"))))
+    return _rounded(sized(docs), block).drop("key")
+
+
+def _rounded(sizes: DataFrame, block: int) -> DataFrame:
+    """`mixture` of the rows of `sized`, with their keys. A null key leaves a hash as it is without."""
+    rows = stage(sizes.withColumn("cls", _size_class(F.col("size"))))
     classes = rows.groupBy("source", "cls").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     sources = stage(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size"))))
     plan = stage(
@@ -112,13 +117,13 @@ def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     placed = (
         rows.alias("r")
         .join(plan.alias("p"), F.expr("r.source <=> p.source and r.cls = p.cls"))
-        .select("doc_id", "size", "r.cls", "sid", "parts", rate.alias("rate"))
-        .select("doc_id", "size", "cls", "sid", "parts", whole.alias("whole"), (F.col("rate") - whole).alias("p"))
+        .select("doc_id", "key", "size", "r.cls", "sid", "parts", rate.alias("rate"))
+        .select("doc_id", "key", "size", "cls", "sid", "parts", whole.alias("whole"), (F.col("rate") - whole).alias("p"))
     )
     fractional = (F.col("size") > 0) & (F.col("p") > 0)
-    settled = [placed.where(~fractional).select("sid", F.col("doc_id").alias("id"), "size", F.lit(0).alias("copy"))]
+    settled = [placed.where(~fractional).select("sid", F.col("doc_id").alias("id"), "key", "size", F.lit(0).alias("copy"))]
     units = placed.where(fractional).select(
-        "sid", "cls", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), F.col("doc_id").alias("id"), "size", "p"
+        "sid", "cls", F.pmod(F.xxhash64("doc_id", "key"), "parts").alias("part"), F.col("doc_id").alias("id"), "key", "size", "p"
     )
     level, widths = 0, []
     while True:
@@ -129,23 +134,32 @@ def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             break
         widths.append(widest if not widths else -(-widths[-1] // block))
         part = F.floor(F.col("part") / block)
-        units = step.select("sid", "cls", part.alias("part"), "c.id", "c.size", "c.p")
+        units = step.select("sid", "cls", part.alias("part"), "c.id", "c.key", "c.size", "c.p")
         level += 1
-    last = F.when(_uniform(F.col("c.id"), F.lit(-1)) < F.col("c.p"), 1).otherwise(0)
-    settled.append(step.select("sid", "c.id", "c.size", last.alias("copy")))
+    last = F.when(_uniform(F.col("c.id"), F.col("c.key"), F.lit(-1)) < F.col("c.p"), 1).otherwise(0)
+    settled.append(step.select("sid", "c.id", "c.key", "c.size", last.alias("copy")))
     every = reduce(DataFrame.unionByName, settled)
     copies = (F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0) + F.col("copy")).cast("long")
     return (
         every.join(sources, "sid")
         .withColumn("copies", copies)
-        .select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(F.col("id").alias("doc_id"), "key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with each row as often as the mix takes it, all columns kept. Ids are unique; were they not, a row would be
-    taken as often as the most taken row of its id."""
-    copies = mixture(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    taken = rows.join(copies, "doc_id").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """`docs` with each row as often as the mix takes it, all columns kept. Rows whose id is null or repeated get a key of
+    their own in a staged table, which is empty where there are none."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    again = stage(counts.where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_again")))
+    same = F.expr("doc_id <=> _again")
+    alone = rows.join(again, same, "left_anti")
+    shared = stage(rows.join(again, same, "left_semi").withColumn("_key", F.monotonically_increasing_id()))
+    keyed = shared.select("doc_id", "source", "text", "_key")
+    sizes = sized(alone).unionByName(sized(keyed.withColumn("doc_id", F.struct("doc_id", "_key"))).select("doc_id.doc_id", "source", "size", F.col("doc_id._key").alias("key")))
+    copies = stage(_rounded(sizes, block).where("copies > 0").select("doc_id", "key", F.col("copies").alias("_copies")))
+    mine = alone.join(copies.where("key is null").drop("key"), "doc_id").select("_row", "_copies")
+    theirs = shared.join(copies.where("key is not null").select(F.col("key").alias("_key"), "_copies"), "_key").select("_row", "_copies")
+    taken = mine.unionByName(theirs).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return taken.select("_row.*")

@@ -297,6 +297,21 @@ def test_mixture(spark, odd, block):
     assert copies == collections.Counter({r.doc_id: r.copies for r in got if r.copies and r.size})
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    rows = [(None, f"n{i} " * 20, "a") for i in range(150)] + [(7, f"r{i} " * 20, "a") for i in range(150)] + [(100 + i, "w " * 20, "b") for i in range(600)]
+    taken = mixing.mix(documents(spark, rows)).collect()
+    got = collections.Counter(r.source for r in taken for _ in r.text.split())
+    want = iterated_targets({"a": 6_000, "b": 12_000})
+    assert all(abs(got[s] - want[s]) <= 60 for s in want)
+    assert set(collections.Counter(r.text for r in taken if r.source == "a").values()) == {2} and len({r.text for r in taken}) == 301
+
+
+def test_scores_of_null_ids(spark):
+    rows = [(None, "only here", "s"), (None, "twice", "s"), (1, "twice", "s")]
+    got = lm_scoring.fold_scores(documents(spark, rows)).collect()
+    assert [(r.held_out, r.n_tokens, r.n_known) for r in got if r.doc_id is None and r.n_tokens == 3] == [(False, 3, 3)] and len(got) == 3
+
+
 def test_pieces_as_the_library(spark, odd):
     import sentencepiece
 
