@@ -46,6 +46,11 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
 
+def broadcast_few(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, which is a staged table of narrow rows, marked for broadcast where it holds `rows` rows at most; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python texts of an Arrow column, null as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -16,7 +16,7 @@ Defined cases: a null text, or one without words, has an empty set, links with n
 `words` words has one shingle; of equal texts the smallest id stays; further columns are ignored by `near_duplicates` and
 kept by `drop_near_duplicates`; an empty table gives an empty result. Repeated rows are one document: `near_duplicates` gives
 each of them the same answer, `drop_near_duplicates` keeps one. Different texts have different ids; rows with a null id link
-with nothing and stay.
+with nothing, have no component and stay.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bytes_of, in_slices, session_of
+from barloom.llm.common import broadcast_few, bytes_of, in_slices, session_of
 from barloom.llm.components import components
 from barloom.llm.shingles import mix, shingle_sets
 from barloom.session import stage
@@ -103,9 +103,8 @@ def _sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             held = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("cluster"), held], ["id", "cluster", "set"])
 
-    few = members.limit(PICK_ROWS + 1).count() <= PICK_ROWS
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    picked = texts.join(F.broadcast(members) if few else members, "id")
+    picked = texts.join(broadcast_few(members, PICK_ROWS), "id")
     return picked.mapInArrow(run, "id long, cluster long, set array<long>")
 
 
@@ -181,19 +180,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves:
     links = confirmed_links(stage(_sets_of(docs, stage(clusters), words)), percent, block)
     found = components(links).withColumnRenamed("id", "rep")
     reached = classes.join(found, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("reached"))
-    component = F.coalesce("reached", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("reached", "doc_id"))
     return sig.select("doc_id", "n_shingles", "d1", "d2").join(reached, ["d1", "d2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one document of each group, all columns kept. Of rows with the same id and text one stays; rows with a
-    null id all stay."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # Texts move only where an id repeats; else this table is empty.
-    again = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"))
-    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return once.unionByName(repeated)
+    null id all stay.
+
+    The ids that go, and those that occur more than once, are one narrow staged table; the texts pass a single anti join
+    with it, and where it is small they are not shuffled at all. Only rows whose id repeats are looked at once more."""
+    found = near_duplicates(docs, **options).where("doc_id is not null").groupBy("doc_id")
+    marked = found.agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    apart = stage(marked.where("not _kept or _n > 1"))
+    once = docs.join(broadcast_few(apart.select("doc_id"), PICK_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    again = apart.where("_kept").select("doc_id")
+    if not again.limit(1).count():
+        return once
+    repeated = docs.join(broadcast_few(again, PICK_ROWS), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated.select(*docs.columns))

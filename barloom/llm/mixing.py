@@ -21,13 +21,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD
+from barloom.llm.common import WORD, broadcast_few
 from barloom.session import stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK = 64
+# Copies of this many documents are broadcast to the texts: 16 bytes each.
+COPY_ROWS = 500_000
 # Size classes for each doubling of the size: a source has this many times log2 of its longest text at most.
 CLASSES = 16
 SEED = 20_240_601
@@ -96,9 +98,25 @@ def _reduce(units: DataFrame, by: list[str], level: int) -> DataFrame:
     return grouped.withColumn("r", F.aggregate(rest, start, pair)).select(*by, "r.c", "r.done")
 
 
+def _apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose id is their own, and in a staged table those whose id is null or repeated with a `_key` each; None
+    where there are none. Without keys, all rows of such an id would meet in one block."""
+    counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    again = stage(counts.where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_again")))
+    if not again.limit(1).count():
+        return rows, None
+    same, few = F.expr("doc_id <=> _again"), broadcast_few(again, COPY_ROWS)
+    keyed = rows.join(few, same, "left_semi").withColumn("_key", F.monotonically_increasing_id())
+    return rows.join(few, same, "left_anti"), stage(keyed)
+
+
 def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every document."""
-    return _rounded(sized(docs), block).drop("key")
+    alone, shared = _apart(sized(docs).drop("key"))
+    sizes = alone.withColumn("key", F.lit(None).cast("long"))
+    if shared is not None:
+        sizes = sizes.unionByName(shared.withColumnRenamed("_key", "key"))
+    return _rounded(sizes, block).drop("key")
 
 
 def _rounded(sizes: DataFrame, block: int) -> DataFrame:
@@ -148,18 +166,18 @@ def _rounded(sizes: DataFrame, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """`docs` with each row as often as the mix takes it, all columns kept. Rows whose id is null or repeated get a key of
-    their own in a staged table, which is empty where there are none."""
+    """`docs` with each row as often as the mix takes it, all columns kept. The copies are a narrow staged table: the texts
+    meet it in one join, and are not shuffled where it is small."""
     rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    again = stage(counts.where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_again")))
-    same = F.expr("doc_id <=> _again")
-    alone = rows.join(again, same, "left_anti")
-    shared = stage(rows.join(again, same, "left_semi").withColumn("_key", F.monotonically_increasing_id()))
-    keyed = shared.select("doc_id", "source", "text", "_key")
-    sizes = sized(alone).unionByName(sized(keyed.withColumn("doc_id", F.struct("doc_id", "_key"))).select("doc_id.doc_id", "source", "size", F.col("doc_id._key").alias("key")))
+    alone, shared = _apart(rows)
+    sizes = sized(alone)
+    if shared is not None:
+        keyed = sized(shared.select("source", "text", F.struct("doc_id", "_key").alias("doc_id")))
+        sizes = sizes.unionByName(keyed.select("doc_id.doc_id", "source", "size", F.col("doc_id._key").alias("key")))
     copies = stage(_rounded(sizes, block).where("copies > 0").select("doc_id", "key", F.col("copies").alias("_copies")))
-    mine = alone.join(copies.where("key is null").drop("key"), "doc_id").select("_row", "_copies")
-    theirs = shared.join(copies.where("key is not null").select(F.col("key").alias("_key"), "_copies"), "_key").select("_row", "_copies")
-    taken = mine.unionByName(theirs).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return taken.select("_row.*")
+    mine = broadcast_few(copies.where("key is null").drop("key"), COPY_ROWS)
+    taken = alone.join(mine, "doc_id").select("_row", "_copies")
+    if shared is not None:
+        theirs = copies.where("key is not null").select(F.col("key").alias("_key"), "_copies")
+        taken = taken.unionByName(shared.join(theirs, "_key").select("_row", "_copies"))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")

@@ -186,6 +186,14 @@ def test_licence_places(spark, odd):
     assert (got[4].labels, got[4].score) == ("", 0.0)
 
 
+def test_licence_rows_of_one_id_and_of_none(spark):
+    said = "Released under the MIT License"
+    rows = [(None, said, "s"), (None, "nothing", "s"), (5, said, "s"), (5, "apache license, apache license", "s"), (5, said, "s")]
+    rows += [(None, f"{said} no {i}", "s") for i in range(200)]
+    got = collections.Counter((r.doc_id, r.n_base, r.base_labels) for r in license_scan.scanned(documents(spark, rows)).collect())
+    assert got == {(None, 1, "mit"): 201, (None, 0, ""): 1, (5, 1, "mit"): 2, (5, 2, "apache"): 1}
+
+
 def brute_components(texts, n, percent):
     """component of each id: texts is {id: text}."""
     sets = {}
@@ -233,6 +241,15 @@ def test_one_of_repeated_rows_stays(spark):
     assert collections.Counter(r.doc_id for r in got.collect()) == {1: 1, 3: 1, 4: 1, None: 2}
 
 
+def test_near_duplicates_without_ids(spark):
+    text = "one two three four five six seven eight"
+    docs = documents(spark, [(None, text, "s"), (None, text, "s"), (5, text, "s"), (6, text, "s")])
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect())
+    assert got == [(0, 4, None, True), (0, 4, None, True), (5, 4, 5, True), (6, 4, 5, False)]
+    kept = minhash_dedup.drop_near_duplicates(docs).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 5]
+
+
 def test_candidates_hold_pairs_at_the_threshold():
     """Recall of the tensored tables on pairs of sets at a similarity of 0.8."""
     rng = np.random.default_rng(1)
@@ -306,6 +323,15 @@ def test_mix_of_null_and_repeated_ids(spark):
     assert set(collections.Counter(r.text for r in taken if r.source == "a").values()) == {2} and len({r.text for r in taken}) == 301
 
 
+def test_mixture_of_one_id(spark):
+    rows = [(None if i % 3 else 7, "w " * 20, "a") for i in range(3_000)] + [(100 + i, "w " * 20, "b") for i in range(3_000)]
+    got = mixing.mixture(documents(spark, rows)).collect()
+    taken, want = collections.Counter(), iterated_targets({"a": 60_000, "b": 60_000})
+    for r in got:
+        taken[r.source] += r.taken
+    assert len(got) == 6_000 and all(abs(taken[s] - want[s]) <= 60 for s in want)
+
+
 def test_scores_of_null_ids(spark):
     rows = [(None, "only here", "s"), (None, "twice", "s"), (1, "twice", "s")]
     got = lm_scoring.fold_scores(documents(spark, rows)).collect()
