@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # A word is a run of anything but ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,9 @@ def session_of(df: DataFrame) -> SparkSession:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    # Smaller batches than Spark's own default, which is left alone where it was changed: texts are long.
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "8m")
     return spark
 
 
@@ -73,3 +77,4 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()  # workers are used again

@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import embedding_dedup, license_scan, mixing, quality_classifier, quality_rules, sentencepiece_codec, url_filters
+from barloom.llm import (
+    centroid_clustering,
+    embedding_dedup,
+    exact_topk,
+    license_scan,
+    mixing,
+    periodic_runs,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    url_filters,
+)
 from barloom.llm.common import table
 from barloom.llm.lm_scoring import fold_scores
 from barloom.llm.minhash_dedup import near_duplicates
@@ -53,6 +64,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.looped_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.digested(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,10 +89,15 @@ QUERIES = {
         op8_quality_classifier,
         op9_mix_sources,
         op10_sentencepiece,
+        op11_exact_topk,
+        op12_periodic_runs,
+        op13_centroid_clustering,
     )
 }
 SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle(),
     "op3_url_filters": url_filters.oracle(),
     "op5_license_scan": license_scan.oracle(),
+    "op11_exact_topk": exact_topk.oracle(),
+    "op13_centroid_clustering": centroid_clustering.oracle(),
 }

@@ -31,7 +31,7 @@ from barloom.llm.components import components
 from barloom.llm.shingles import mix, shingle_sets
 from barloom.session import stage
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 # Ids of this many clustered documents are broadcast to pick their texts: 16 bytes each.
 PICK_ROWS = 500_000
 

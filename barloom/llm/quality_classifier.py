@@ -31,7 +31,7 @@ RANK = 64
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 GRAM = 4
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _ROWS = 512
 
 
