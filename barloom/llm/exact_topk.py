@@ -9,8 +9,9 @@ survivors are compacted: by whole matrix products while most survive, pair by pa
 What a query needs is the score of its k-th best candidate so far. Slabs are searched in rounds, each over four times as
 many as all before it, and the best k of a round set the need of the next. So a query is compared with all candidates, but
 only some tens of rows a round reach the shuffle for it, and the number of rounds is the logarithm of the number of slabs.
-In the early rounds, which have few slabs, the queries are dealt to several tasks, each with a copy of the slab; a round
-never sends more than about one copy of all candidates, and a query goes to each slab once.
+In rounds of few slabs the queries are dealt to several tasks, each with a copy of the slab. A query goes to each slab once,
+so what is sent grows with queries times slabs: as the contract's queries grow with the table, a slab holds as many candidates
+as a task's memory allows (`slab`, a byte a number where that is enough).
 
 Components are integers and scores exact. Ties go to the smaller id; a slab is in order of id, so beyond k ties nothing of
 the slab is kept however many vectors are equal.
@@ -36,7 +37,7 @@ from barloom.session import stage
 SCALE = 64
 EVERY = 20
 K = 20
-SLAB = 65_536
+SLAB = 1 << 20
 BLOCK_NUMBERS = 1 << 17
 LEAST_SLAB = 4_096
 DIMS = 16
@@ -58,31 +59,29 @@ def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     )
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest type that holds them."""
+    most = int(np.abs(x).max(initial=0))
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32) if most <= np.iinfo(t).max))
+
+
 class Slab:
-    """Candidates in order of id, in vertical layout."""
+    """Candidates in order of id, in vertical layout: a row of `x` is a dimension, those of most mass first."""
 
     def __init__(self, row: np.ndarray, vec_id: np.ndarray, null: np.ndarray, x: np.ndarray):
         order = np.lexsort((row, vec_id, null))
-        self.row, self.vec_id, self.null, x = row[order], vec_id[order], null[order], x[order]
-        self.largest = float(np.abs(x).max(initial=0))
-        self.by_mass = np.argsort(-(x.astype(np.float64) ** 2).sum(axis=0), kind="stable")
-        self.x = x[:, self.by_mass]
+        self.row, self.vec_id, self.null = row[order], vec_id[order], null[order]
+        self.largest = float(np.abs(x.astype(np.int32)).max(initial=0))
+        mass = [np.square(x[:, d].astype(np.float64)).sum() for d in range(x.shape[1])]
+        self.by_mass = np.argsort(-np.array(mass), kind="stable")
+        self.x = np.ascontiguousarray(x[order].T[self.by_mass])
         self.cuts = list(range(0, x.shape[1], DIMS)) or [0]
-        self._layouts: dict = {}
-
-    def layout(self, kind: type) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Blocks of dimensions (dimensions, candidates), lengths of what remains after each, and the rows."""
-        if kind not in self._layouts:
-            rows = self.x.astype(kind)
-            blocks = [np.ascontiguousarray(rows[:, c : c + DIMS].T) for c in self.cuts]
-            self._layouts[kind] = blocks, remaining(self.x, self.cuts), rows
-        return self._layouts[kind]
 
 
 def remaining(x: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
-    """Per cut the length of each row's dimensions behind that block."""
-    square = x.astype(np.float64) ** 2
-    return [np.sqrt(square[:, c + DIMS :].sum(axis=1)) for c in cuts]
+    """Per cut the length of each vector (a column of x) in the dimensions behind that block."""
+    square = np.square(x.astype(np.float64))
+    return [np.sqrt(square[c + DIMS :].sum(axis=0)) for c in cuts]
 
 
 def _best(owner: np.ndarray, score: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -93,59 +92,64 @@ def _best(owner: np.ndarray, score: np.ndarray, at: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(order)) - first < k]
 
 
+def _survivors(mine: np.ndarray, block: np.ndarray, q_tails: list, tails: list, cuts: list[int], least: np.ndarray, k: int):
+    """(query, candidate, score) of the pairs that reach `least`, of which more than the k + 1 best of a query may go
+    missing if all pairs stay in view to the end."""
+    part, pairs = np.zeros((len(mine), block.shape[1]), block.dtype), None
+    for i, c in enumerate(cuts):
+        if pairs is None:
+            part += mine[:, c : c + DIMS] @ block[c : c + DIMS]
+            alive = part + np.outer(q_tails[i], tails[i]) >= least[:, None]
+            if alive.mean() <= _SPARSE:
+                pairs = np.nonzero(alive)
+                score = part[pairs]
+        else:
+            x, y = pairs
+            score = score + np.einsum("ij,ji->i", mine[x, c : c + DIMS], block[c : c + DIMS, y])
+            stays = score + q_tails[i][x] * tails[i][y] >= least[x]
+            pairs, score = (x[stays], y[stays]), score[stays]
+    if pairs is None:
+        n = block.shape[1]
+        if n > k + 1:  # the (k + 1)-th of this block, as one of them may be the query itself
+            kth = np.partition(part, n - k - 1, axis=1)[:, n - k - 1]
+            pairs = np.nonzero((part >= kth[:, None]) & (part >= least[:, None]))
+        else:
+            pairs = np.nonzero(np.ones(part.shape, bool))
+        score = part[pairs]
+    return *pairs, score.astype(np.int64)
+
+
 def search(slab: Slab, row: np.ndarray, q: np.ndarray, need: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) of the k best candidates of each query that score `need` or more; the query's own row is
     none. Queries and candidates are places in q and in the slab."""
-    reach = slab.largest * float(np.abs(q).max(initial=0)) * max(q.shape[1], 1)
+    reach = slab.largest * float(np.abs(q.astype(np.int64)).max(initial=0)) * max(q.shape[1], 1)
     kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64
+    bounds = np.float32 if kind is np.float32 else np.float64
     slack = 4 + 1e-12 * reach
-    blocks, tails, rows = slab.layout(kind)
     q = q[:, slab.by_mass]
-    q_tails, q = remaining(q, slab.cuts), q.astype(kind)
-    n, out = len(slab.row), []
-    for a in range(0, len(q), _QUERIES):
-        mine, own, floor = q[a : a + _QUERIES], row[a : a + _QUERIES], need[a : a + _QUERIES].copy()
-        m = len(mine)
-        top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for lo in range(0, n, _CANDIDATES):
-            hi = min(n, lo + _CANDIDATES)
-            least = np.where(floor == _NONE, -np.inf, floor.astype(np.float64) - slack)[:, None]
-            part = np.zeros((m, hi - lo), kind)
-            pairs = None
-            for i, c in enumerate(slab.cuts):
-                if pairs is None:
-                    part += mine[:, c : c + DIMS] @ blocks[i][:, lo:hi]
-                    bound = np.outer(q_tails[i][a : a + m] * (1 + 1e-5), tails[i][lo:hi]).astype(np.float32 if kind is np.float32 else np.float64)
-                    alive = part + bound >= least
-                    if alive.mean() <= _SPARSE:
-                        pairs = np.nonzero(alive)
-                        score = part[pairs]
-                else:
-                    x, y = pairs
-                    score = score + np.einsum("ij,ij->i", mine[x, c : c + DIMS], rows[lo + y, c : c + DIMS])
-                    stays = score + q_tails[i][a + x] * (1 + 1e-5) * tails[i][lo + y] >= least[x, 0]
-                    pairs, score = (x[stays], y[stays]), score[stays]
-            if pairs is None:
-                if hi - lo > k + 1:  # the (k + 1)-th of this block, as one of them may be the query itself
-                    kth = np.partition(part, hi - lo - k - 1, axis=1)[:, hi - lo - k - 1]
-                    pairs = np.nonzero(part >= np.maximum(kth.astype(np.float64), least[:, 0])[:, None])
-                else:
-                    pairs = np.nonzero(np.ones(part.shape, bool))
-                score = part[pairs]
-            x, y, score = pairs[0], pairs[1] + lo, score.astype(np.int64)
-            stays = (score >= floor[x]) & (own[x] != slab.row[y])
+    q_tails, q = [(t * (1 + 1e-5)).astype(bounds) for t in remaining(q.T, slab.cuts)], q.astype(kind)
+    chunks = [slice(a, a + _QUERIES) for a in range(0, len(q), _QUERIES)]
+    empty = np.zeros(0, np.int64)
+    tops, floor, n = [(empty, empty, empty)] * len(chunks), need.copy(), len(slab.row)
+    for lo in range(0, n, _CANDIDATES):
+        block = slab.x[:, lo : lo + _CANDIDATES].astype(kind)
+        tails = [t.astype(bounds) for t in remaining(block, slab.cuts)]
+        for i, at in enumerate(chunks):
+            least = np.where(floor[at] == _NONE, -np.inf, floor[at].astype(np.float64) - slack).astype(bounds)
+            x, y, score = _survivors(q[at], block, [t[at] for t in q_tails], tails, slab.cuts, least, k)
+            stays = (score >= floor[at][x]) & (row[at][x] != slab.row[y + lo])
             if not stays.any():
                 continue
-            x, y, score = (np.concatenate([old, new[stays]]) for old, new in zip(top, (x, y, score)))
+            x, y, score = (np.concatenate([old, new[stays]]) for old, new in zip(tops[i], (x, y + lo, score)))
             kept = _best(x, score, y, k)
-            top = x, y, score = x[kept], y[kept], score[kept]
-            count = np.bincount(x, minlength=m)
+            tops[i] = x, y, score = x[kept], y[kept], score[kept]
+            count = np.bincount(x, minlength=len(q[at]))
             full = np.flatnonzero(count == k)
-            ends = np.cumsum(count) - 1
+            kth = score[np.cumsum(count)[full] - 1]
             # Later candidates of the slab have larger ids, so they must beat the k-th and not tie with it.
-            floor[full] = np.maximum(floor[full], score[ends[full]] + 1)
-        out.append((top[0] + a, top[1], top[2]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+            floor[at.start + full] = np.maximum(floor[at.start + full], kth + 1)
+    found = [(x + at.start, y, score) for at, (x, y, score) in zip(chunks, tops)]
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 _MEMBER = "array<struct<row: bigint, vec_id: bigint, v: array<int>, need: bigint>>"
@@ -156,7 +160,7 @@ def _members(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """row, vec_id, whether it is null, the matrix, and need of a list of members."""
     row, vec_id, v, need = column.flatten().flatten()
     ids = vec_id.fill_null(0).to_numpy(zero_copy_only=False)
-    x = v.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(row), -1)
+    x = narrow(v.flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1))
     return row.to_numpy(), ids, vec_id.is_null().to_numpy(zero_copy_only=False), x, need.fill_null(_NONE).to_numpy(zero_copy_only=False)
 
 
@@ -193,7 +197,10 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
     asks = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
     width = F.greatest(F.lit(16), F.floor(F.lit(BLOCK_NUMBERS) / F.greatest(F.col("dim"), F.lit(1))))
     tasks = 2 * spark.sparkContext.defaultParallelism
-    slabs = F.greatest(F.ceil(F.col("n") / slab), F.least(F.lit(tasks), F.ceil(F.col("n") / least_slab)))
+    # Tasks are slabs times shares of the queries. Sent rows (candidates for each share, queries for each slab) are fewest
+    # where both are as many.
+    even = F.ceil(F.sqrt(tasks * F.col("n") / F.col("asked")))
+    slabs = F.greatest(F.ceil(F.col("n") / slab), F.least(even, F.ceil(F.col("n") / least_slab)))
     per_dim = whole.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(asks).alias("asked")).where("asked > 0")
     plan = stage(
         per_dim.withColumn("slabs", slabs.cast("int"))
@@ -213,7 +220,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
     for r in range(rounds):
         share = lambda i: F.ceil(F.col("slabs") / 4 ** (rounds - 1 - i)).cast("int") if i >= 0 else F.lit(0)
         now = plan.select("dim", share(r - 1).alias("lo"), share(r).alias("hi"), "slabs", "q_blocks").where("lo < hi")
-        deal = F.least("q_blocks", F.ceil(F.col("slabs") / (F.col("hi") - F.col("lo")))).cast("int")
+        deal = F.least("q_blocks", F.ceil(F.lit(tasks) / (F.col("hi") - F.col("lo")))).cast("int")
         now = now.select("dim", "lo", "hi", deal.alias("deal"))
         needs = best.groupBy(F.col("q").alias("row")).agg(F.min("score").alias("need"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k).drop("_n")
         asked = queries.join(needs, "row", "left").groupBy("dim", "block")
@@ -223,7 +230,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
         sought = sought.withColumn("dealt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
         parts = [x.select("dim", "slab", "dealt", F.lit(kind).alias("kind"), F.col("block").cast("long").alias("block"), F.col("members").cast(_MEMBER).alias("members"))
                  for kind, x in ((0, sought), (1, asked))]
-        both = parts[0].unionByName(parts[1]).repartition(2 * (widest[1] or 1), "dim", "slab", "dealt")
+        both = parts[0].unionByName(parts[1]).repartition(2 * max(tasks, widest[1] or 1), "dim", "slab", "dealt")
         found = both.sortWithinPartitions("dim", "slab", "dealt", "kind", "block").mapInArrow(_searched(k), _FOUND)
         order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "row")
         ranked = best.select(*found.columns).unionByName(found).withColumn("rank", F.row_number().over(order))
