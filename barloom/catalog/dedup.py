@@ -8,7 +8,7 @@ from barloom.catalog.aggregates import LOG_SQL, missing_log
 from barloom.catalog.joins import FACTORS_SQL, LISTED_SQL, factors_long
 from barloom.catalog.registry import query
 from barloom.catalog.views import bars_d, bars_m, companies, index_m, landing, listing, reports, table, with_views
-from barloom.operators import dedup, gaps, registry, spine
+from barloom.operators import daybits, dedup, gaps, registry, spine
 from barloom.plans import completeness_jobs as jobs
 from barloom.plans import hot_table
 
@@ -199,8 +199,7 @@ def _(spark, sf):
 def _(spark, sf):
     b = bars_m(spark, sf)
     have = b.where("vol > 100")
-    missing = gaps.missing_days(listing(spark, sf), b.select("trade_date"), have, keep_delist_day=True, need_list_date=True)
-    return gaps.missing_span(missing, ["ts_code"], "trade_date")
+    return gaps.missing_spans(listing(spark, sf), b.select("trade_date"), have, keep_delist_day=True, need_list_date=True)
 
 
 @query(
@@ -213,9 +212,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     b = bars_d(spark, sf).where(F.col("adj_factor").isNotNull())
-    return b.groupBy("ts_code").agg(
-        F.count(F.lit(1)).alias("n_days"), F.array_join(F.sort_array(F.collect_set("trade_date")), ",").alias("days")
-    )
+    found = daybits.listed(daybits.dated(b, "ts_code", "trade_date"), "ts_code")
+    return found.select("ts_code", "n_days", F.array_join("days", ",").alias("days"))
 
 
 _SEEN_SQL = """seen AS (SELECT DISTINCT ts_code, 'kline_daily' AS missing_entity, missing_date FROM

@@ -491,8 +491,7 @@ _REPORT_CHECK = f"""& {PERIODS_SQL},
     with_views("reports companies", _REPORT_CHECK + "SELECT ts_code, min(end_date) AS first_missing, max(end_date) AS last_missing, count(*) AS n_missing FROM miss GROUP BY 1"),
 )
 def _(spark, sf):
-    m = completeness_jobs.report_check(companies(spark, sf), periods(spark), reports(spark, sf), "19900101")
-    return gaps.missing_span(m, ["ts_code"], "end_date")
+    return completeness_jobs.report_check_spans(companies(spark, sf), periods(spark), reports(spark, sf), "19900101")
 
 
 @query(

@@ -12,10 +12,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. Its files' footers are looked at once a process; queries read many tables many times."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # ── codes ────────────────────────────────────────────────────────────────
@@ -172,13 +180,12 @@ LISTING = f"""listing AS MATERIALIZED (
 
 
 def calendar(spark: SparkSession, sf: str) -> DataFrame:
-    """Bounded by days, not by rows: the shipments collapse to distinct days before the shuffle."""
-    days = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    spine = days.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi")).alias("d")
-    )
-    is_open = F.col("n").isNotNull() & F.dayofweek("d").between(2, 6)
-    return spine.join(days, "d", "left").select(
+    """One reading of the shipments, which collapse to distinct days before the shuffle; the rest is one row of days."""
+    days = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
+    row = days.agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.collect_set("d").alias("seen"))
+    spine = row.select("seen", F.explode(F.sequence("lo", "hi")).alias("d"))
+    is_open = F.array_contains("seen", F.col("d")) & F.dayofweek("d").between(2, 6)
+    return spine.select(
         F.lit("SSE").alias("exchange"),
         ymd(F.col("d")).alias("cal_date"),
         F.when(is_open, F.lit("1")).otherwise(F.lit("0")).alias("is_open"),

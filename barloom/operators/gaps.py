@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators import daybits
 
 
-def sorted_days(days: DataFrame, col: str = "trade_date"):
-    """The distinct days as one sorted array (a scalar; bounded by the calendar)."""
-    return days.agg(F.sort_array(F.collect_set(col))).scalar()
-
-
-def missing_days(
+def missing_words(
     listing: DataFrame,
     opens: DataFrame,
     have: DataFrame | None,
@@ -24,13 +18,14 @@ def missing_days(
     day: str = "trade_date",
     keep_delist_day: bool = False,
     need_list_date: bool = False,
-) -> DataFrame:
-    """Open days of each code within its life span that it neither has (`have`: ts_code and the day) nor was suspended on.
+) -> tuple[DataFrame, daybits.Calendar]:
+    """Bitmaps (ts_code, word, bits) of the open days of each code within its life span that it neither has (`have`: ts_code
+    and the day) nor was suspended on, and the calendar that numbers them.
 
     `keep_delist_day` counts the delisting day as a listed one; `need_list_date` leaves out codes without a list_date.
 
-    The calendar is one array for all codes, and what a code has is one set of days, bounded by the calendar: only the
-    difference is exploded, so the grid of all codes and days is neither shuffled nor written out.
+    A life span is two numbers of the calendar and becomes some words of mask; what a code has is a bit a row that map-side
+    combining collapses. The grid of all codes and days is never made.
     """
     lo = F.coalesce(F.col("list_date"), F.lit(""))
     hi = F.coalesce(F.col("delist_date"), F.lit(""))
@@ -40,21 +35,35 @@ def missing_days(
         opens = opens.where(F.col(day) <= end)
     if need_list_date:
         listing = listing.where(lo != "")
-    alive = lambda d: (d >= F.col("_lo")) & (
-        (F.col("_hi") == "") | (d <= F.col("_hi") if keep_delist_day else d < F.col("_hi"))
-    )
-    due = listing.select("ts_code", lo.alias("_lo"), hi.alias("_hi"), sorted_days(opens, day).alias("_days"))
-    due = due.select("ts_code", F.filter("_days", alive).alias("_due"))
-    known = [x.select("ts_code", day) for x in (have, suspended) if x is not None]
-    if known:
-        seen = reduce(DataFrame.unionByName, known).groupBy("ts_code").agg(F.collect_set(day).alias("_seen"))
-        due = due.join(seen, "ts_code", "left")
-        due = due.withColumn("_due", F.when(F.col("_seen").isNull(), F.col("_due")).otherwise(F.array_except("_due", "_seen")))
-    return due.select("ts_code", F.explode("_due").alias(day))
+    days = daybits.Calendar.of(opens, day)
+    listing = listing.select("ts_code", lo.alias("_lo"), hi.alias("_hi"), days.days.alias("_days"))
+    all_days, lo, hi = F.col("_days"), F.col("_lo"), F.col("_hi")
+    # The day after is the first one later than `hi`: nothing lies between a text and itself with a NUL behind it.
+    upto = daybits.before(all_days, F.concat(hi, F.lit("\0")) if keep_delist_day else hi)
+    spans = listing.select("ts_code", daybits.before(all_days, lo).alias("a"), F.when(hi == "", F.size(all_days)).otherwise(upto).alias("b"))
+    known = [daybits.held(x, days, "ts_code", day) for x in (have, suspended) if x is not None]
+    return daybits.without(daybits.spanned(spans, "ts_code"), known, "ts_code"), days
+
+
+def missing_days(listing: DataFrame, opens: DataFrame, have: DataFrame | None, start: str | None = None, end: str | None = None, suspended: DataFrame | None = None, day: str = "trade_date", **options) -> DataFrame:
+    """`missing_words` as rows (ts_code, day)."""
+    words, days = missing_words(listing, opens, have, start, end, suspended, day, **options)
+    return daybits.unpacked(words, days, "ts_code", day)
+
+
+def missing_ranges(*args, **options) -> DataFrame:
+    """`missing_words` as (ts_code, gap_start, gap_end, n_days): missing days that are neighbours in the open calendar are
+    one range."""
+    return daybits.runs_of(*missing_words(*args, **options), "ts_code")
+
+
+def missing_spans(*args, **options) -> DataFrame:
+    """`missing_words` as (ts_code, first_missing, last_missing, n_missing)."""
+    return daybits.spans_of(*missing_words(*args, **options), "ts_code")
 
 
 def expected_grid(listing: DataFrame, opens: DataFrame, start: str | None = None, end: str | None = None, suspended: DataFrame | None = None, **options) -> DataFrame:
-    """Open days of each code within its life span, less its all-day suspensions; options as for `missing_days`."""
+    """Open days of each code within its life span, less its all-day suspensions; options as for `missing_words`."""
     return missing_days(listing, opens, None, start, end, suspended, **options)
 
 

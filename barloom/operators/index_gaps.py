@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.gaps import missing_keys, missing_span
+from barloom.operators.gaps import missing_keys, missing_spans
 
 
 def _expand(spine: DataFrame, codes: list[str], key: str) -> DataFrame:
@@ -27,6 +27,6 @@ def missing_months(codes: list[str], stored: DataFrame, months: DataFrame) -> Da
 
 
 def missing_days(codes: list[str], stored: DataFrame, opens: DataFrame) -> DataFrame:
-    """First and last open day each code lacks."""
-    gone = missing_keys(_expand(opens, codes, "trade_date"), stored, ["ts_code", "trade_date"])
-    return missing_span(gone, ["ts_code"], "trade_date")
+    """First and last open day each code lacks, and how many it lacks."""
+    life = opens.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in codes])).alias("ts_code"))
+    return missing_spans(life.withColumns({"list_date": F.lit(""), "delist_date": F.lit("")}), opens, stored)
