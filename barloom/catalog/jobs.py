@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.catalog.aggregates import LOG_SQL, missing_log
@@ -18,8 +19,8 @@ from barloom.catalog.scans import VENDOR_SQL, bar_root, vendor_wide
 from barloom.catalog.views import bars_d, bars_m, calendar, companies, index_m, landing, listing, reports, suspend, with_views
 from barloom.functions import rolling as ts
 from barloom.functions.per_code import apply_per_code
-from barloom.operators import completeness, dedup, gaps, nested, ordering, profile, series, universe
-from barloom.plans import alphas, backtest, completeness_jobs, detail, export_gate, factors, loads, panel
+from barloom.operators import completeness, dedup, merge, nested, ordering, profile, series, universe
+from barloom.plans import alphas, backtest, completeness_jobs, detail, export_gate, factors, loads, panel, upkeep
 from barloom.session import scratch_path, stage
 from barloom.sources import bars as B
 from barloom.sources import sinks
@@ -443,6 +444,51 @@ def _(spark, sf):
     return completeness_jobs.gap_keys(empty, "events", expected, actual, "20240105", "20240125", 0.92)
 
 
+# A load of the landing's other two thirds into a table that holds the first, with some keys deleted.
+_UPKEEP_SQL = """& st AS (SELECT ts_code, trade_date, max(value) AS v FROM landing WHERE ordinal % 3 = 0 GROUP BY 1, 2),
+  inc AS (SELECT ts_code, trade_date, max(value) AS v FROM landing WHERE ordinal % 3 <> 0 GROUP BY 1, 2),
+  fin AS (SELECT * FROM inc UNION ALL SELECT * FROM st ANTI JOIN inc USING (ts_code, trade_date) WHERE CAST(floor(v * 100) AS BIGINT) % 7 <> 1),
+  ex AS (SELECT trade_date AS date_key, count(DISTINCT ts_code) AS n FROM landing GROUP BY 1),
+  act AS (SELECT trade_date AS date_key, count(*) AS n, count(*) FILTER (v > 12) AS large FROM fin GROUP BY 1)
+"""
+
+
+def _upkeep(spark, sf):
+    la = landing(spark, sf)
+    held = lambda rows: rows.groupBy("ts_code", "trade_date").agg(F.max("value").alias("v"))
+    keys = ["ts_code", "trade_date"]
+    stored, incoming = held(la.where("ordinal % 3 = 0")), held(la.where("ordinal % 3 <> 0"))
+    deleted = stored.where(F.floor(F.col("v") * 100) % 7 == 1)
+    due = la.groupBy(F.col("trade_date").alias("date_key")).agg(F.countDistinct("ts_code").alias("expected"))
+    market = upkeep.Market(listing(spark, sf), calendar(spark, sf), spark.range(0).select(F.lit("").alias("end_date")), suspend(spark, sf))
+    sources = [
+        upkeep.Source("rows", "trade_date", "custom", custom=lambda _listing, _keys: due),
+        upkeep.Source("large", "trade_date", "custom", custom=lambda _listing, _keys: due, counts=F.col("v") > 12),
+    ]
+    span = ("00000000", "99999999")
+    count = lambda table: reduce(DataFrame.unionByName, [upkeep.recounted(s, table, market, *span) for s in sources])
+    classified = merge.classify(incoming, stored, keys)
+    changes = upkeep.count_changes(upkeep.signed_changes(classified, stored, keys, deleted), sources)
+    after = merge.upsert(merge.join_keys(stored, deleted, keys, "left_anti"), incoming, keys)
+    return upkeep.kept_up(count(stored), changes, upkeep.all_expected(sources, market, *span)), count(after)
+
+
+@query(
+    "c20_snapshot_upkeep",
+    with_views(
+        "landing",
+        _UPKEEP_SQL
+        + """SELECT 'rows' AS source_name, date_key, ex.n AS period_stock_count, coalesce(act.n, 0) AS resolved_count, coalesce(act.n, 0) AS recounted
+          FROM ex LEFT JOIN act USING (date_key)
+        UNION ALL SELECT 'large', date_key, ex.n, coalesce(large, 0), coalesce(large, 0) FROM ex LEFT JOIN act USING (date_key)""",
+    ),
+)
+def _(spark, sf):
+    kept, counted = _upkeep(spark, sf)
+    again = counted.select("source_name", "date_key", F.col("resolved_count").alias("recounted"))
+    return kept.join(again, upkeep.KEYS, "full")
+
+
 @query(
     "c11_bar_check",
     with_views(

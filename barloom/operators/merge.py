@@ -37,6 +37,24 @@ def same_value(a: Column, b: Column, dtype: T.DataType, as_json: bool = False) -
     return x.eqNullSafe(y)
 
 
+def _key(c: str, dtype: T.DataType) -> Column:
+    """A key as it is matched: a null text is a blank one."""
+    return F.coalesce(F.col(c), F.lit("")) if isinstance(dtype, T.StringType) else F.col(c)
+
+
+def _same(c: str, dtype: T.DataType, other: str) -> Column:
+    """Whether a key equals the column `other`, which is already matched as by `_key`."""
+    return _key(c, dtype) == F.col(other) if isinstance(dtype, T.StringType) else F.col(c).eqNullSafe(F.col(other))
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """`left` joined with the distinct keys of `right`, semi or anti, null keys matching null keys."""
+    types = {f.name: f.dataType for f in left.schema.fields}
+    other = right.select(*[_key(k, types[k]).alias(f"_k_{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [_same(k, types[k], f"_k_{k}") for k in keys])
+    return left.join(other, same, how)
+
+
 def classify(
     incoming: DataFrame,
     existing: DataFrame,
@@ -46,17 +64,20 @@ def classify(
     in_scope: Column | None = None,
 ) -> DataFrame:
     """Incoming rows with diff_class: insert (new key), update (a compared column differs) or skip (equal, or out of
-    the load's scope). Compares the supplied columns, or `compare`."""
+    the load's scope). Compares the supplied columns, or `compare`. Null keys match null keys, and blank ones."""
     columns = compare or [c for c in incoming.columns if c not in keys and c in existing.columns]
     types = {f.name: f.dataType for f in existing.schema.fields}
-    old = existing.select(*keys, F.lit(True).alias("_found"), *[F.col(c).alias(f"_old_{c}") for c in columns])
+    old = existing.select(
+        *[_key(k, types[k]).alias(f"_k_{k}") for k in keys], F.lit(True).alias("_found"), *[F.col(c).alias(f"_old_{c}") for c in columns]
+    )
+    same = reduce(lambda a, b: a & b, [_same(k, types[k], f"_k_{k}") for k in keys])
     checks = [same_value(F.col(f"_old_{c}"), F.col(c), types[c], c in json_columns) for c in columns]
     equal = reduce(lambda a, b: a & b, checks, F.lit(True))
     cls = F.when(F.col("_found").isNull(), F.lit("insert")).when(equal, F.lit("skip")).otherwise(F.lit("update"))
     if in_scope is not None:
         cls = F.when(F.coalesce(in_scope, F.lit(False)), cls).otherwise(F.lit("skip"))
-    out = incoming.join(old, keys, "left").withColumn("diff_class", cls)
-    return out.drop("_found", *[f"_old_{c}" for c in columns])
+    out = incoming.join(old, same, "left").withColumn("diff_class", cls)
+    return out.select(*incoming.columns, "diff_class")
 
 
 def diff_counts(classified: DataFrame) -> DataFrame:
@@ -64,20 +85,23 @@ def diff_counts(classified: DataFrame) -> DataFrame:
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
-    """Target after insert-or-update on the keys: one full-outer join on unique keys.
+    """Target after insert-or-update on the keys: one full-outer join. Null keys match null keys, and blank ones.
 
-    With `update`, a conflict overwrites those columns only; a new row has null in the others.
+    With `update`, a conflict overwrites those columns only; a new row has null in the others. Of incoming rows with one
+    key the greatest counts, as one row, so a target row is never multiplied.
     """
+    types = {f.name: f.dataType for f in target.schema.fields}
     columns = [c for c in target.columns if c not in keys]
     changed = [c for c in (update or columns) if c in incoming.columns]
-    new = incoming.select(*keys, F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in changed])
-    joined = target.join(new, keys, "full")
-    return joined.select(
-        *keys,
-        *[
-            (F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)) if c in changed else F.col(c)).alias(c)
-            for c in columns
-        ],
+    matched = [f"_k_{k}" for k in keys]
+    new = incoming.select(*[_key(k, types[k]).alias(m) for k, m in zip(keys, matched)], F.struct(*keys, *changed).alias("_new"))
+    new = new.groupBy(*matched).agg(F.max("_new").alias("_new"))
+    same = reduce(lambda a, b: a & b, [_same(k, types[k], m) for k, m in zip(keys, matched)])
+    old = target.select(*target.columns, F.lit(True).alias("_old"))
+    come, stays = F.col("_new").isNotNull(), F.col("_old")
+    return old.join(new, same, "full").select(
+        *[F.when(stays, F.col(k)).otherwise(F.col(f"_new.{k}")).alias(k) for k in keys],
+        *[(F.when(come, F.col(f"_new.{c}")).otherwise(F.col(c)) if c in changed else F.col(c)).alias(c) for c in columns],
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import completeness, daybits, gaps, merge, registry, spine, universe
+from barloom.plans import upkeep
 
 
 def bar_completeness(bars: DataFrame, listing: DataFrame, calendar: DataFrame, suspend: DataFrame) -> DataFrame:
@@ -48,12 +49,14 @@ def gap_keys(stored: DataFrame, source: str, expected: DataFrame, actual: DataFr
 def completeness_cycle(stored: DataFrame, source: str, expected: DataFrame, table: DataFrame, landed: DataFrame, keys: list[str], day: str, threshold: float = completeness.THRESHOLD) -> DataFrame:
     """Snapshot, find the gaps, load the landed rows of the gap keys, snapshot again.
 
-    Loading is an insert of the keys that the table lacks. Returns the snapshots afterwards.
+    Loading is an insert of the keys that the table lacks. Returns the snapshots afterwards: the table is counted once, and
+    the rows that were loaded are added to its counts.
     """
     before = refresh(stored, source, expected, completeness.count_by_key(table, day))
-    gaps_ = completeness.below_ratio(before.where(F.col("source_name") == source), threshold).select(F.col("date_key").alias(day))
-    filled = merge.insert_absent(table, landed.join(gaps_, day, "left_semi"), keys)
-    return refresh(before, source, expected, completeness.count_by_key(filled, day))
+    short = completeness.below_ratio(before.where(F.col("source_name") == source), threshold).select(F.col("date_key").alias(day))
+    loaded = merge.join_keys(landed.join(short, day, "left_semi"), table, keys, "left_anti")
+    changes = completeness.count_by_key(loaded, day).select(F.lit(source).alias("source_name"), "date_key", F.col("resolved_count").alias("change"))
+    return upkeep.kept_up(before, changes, expected.select(F.lit(source).alias("source_name"), "date_key", "expected"))
 
 
 def bar_check(listing: DataFrame, calendar: DataFrame, suspended: DataFrame, bars: DataFrame, start: str, end: str) -> DataFrame:
