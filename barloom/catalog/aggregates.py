@@ -16,6 +16,9 @@ from barloom.catalog.views import (
     index_m,
     landing,
     listing,
+    Market,
+    market,
+    report_quarters,
     reports,
     suspend,
     table,
@@ -70,9 +73,13 @@ def _active_sql(keys: str, name: str = "act") -> str:
 """
 
 
-def active(spark, sf, keys):
+def active(m: Market, keys):
     """Active counts of the listing over the given keys."""
-    return universe.active_counts(listing(spark, sf), keys, spine.open_dates(calendar(spark, sf)), suspend(spark, sf))
+    return universe.active_counts(m.listing, keys, spine.open_dates(m.calendar), m.suspend)
+
+
+def open_keys(m: Market):
+    return spine.open_dates(m.calendar).select(F.col("trade_date").alias("date_key"))
 
 
 _ALL_DAYS = "keys AS (SELECT cal_date AS date_key FROM calendar)"
@@ -81,7 +88,8 @@ _OPEN_KEYS = "keys AS (SELECT cal_date AS date_key FROM calendar WHERE is_open =
 
 @query("a3_active_counts", with_views("listing suspend calendar", "& " + _ALL_DAYS + _active_sql("keys") + "SELECT * FROM act"))
 def _(spark, sf):
-    return active(spark, sf, calendar(spark, sf).select(F.col("cal_date").alias("date_key")))
+    m = market(spark, sf)
+    return active(m, m.calendar.select(F.col("cal_date").alias("date_key")))
 
 
 @query(
@@ -98,9 +106,19 @@ def _(spark, sf):
     return universe.listed_counts(listing(spark, sf), days, "trade_date", skip_b=False, survivors_only=True)
 
 
+# Report periods from the quarter of the first order to the year end after the last one.
 _PERIODS_SQL = """SELECT p AS date_key FROM (SELECT strftime(last_day(CAST(d AS DATE)), '%Y%m%d') AS p FROM
-   (SELECT unnest(generate_series(TIMESTAMP '1995-03-01', TIMESTAMP '2001-12-01', INTERVAL 3 MONTH)) AS d))
-   WHERE p BETWEEN '19950101' AND '20011231' AND (p >= '2005' OR substr(p, 5) IN ('0630', '1231'))"""
+   (SELECT unnest(generate_series(date_trunc('quarter', lo) + INTERVAL 2 MONTH, date_trunc('year', hi) + INTERVAL 11 MONTH, INTERVAL 3 MONTH)) AS d
+    FROM (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders)))
+   WHERE p >= '2005' OR substr(p, 5) IN ('0630', '1231')"""
+# What each statement adds to a period's count, over `report_quarters`.
+STATEMENTS = {n: F.col(f"n{t}") for n, t in zip(("income", "balance", "cashflow", "indicator"), "1234")}
+
+
+def due_periods(spark, sf):
+    d = F.to_date("o_orderdate")
+    span = table(spark, sf, "orders").agg(ymd(F.min(F.trunc(d, "quarter"))).alias("s"), F.concat(F.date_format(F.max(d), "yyyy"), F.lit("1231")).alias("e"))
+    return spine.report_periods_of(span)
 
 
 @query(
@@ -113,9 +131,8 @@ _PERIODS_SQL = """SELECT p AS date_key FROM (SELECT strftime(last_day(CAST(d AS
     ),
 )
 def _(spark, sf):
-    opens = spine.open_dates(calendar(spark, sf)).select(F.col("trade_date").alias("date_key"))
-    periods = spine.report_periods(spark, "19950101", "20011231").select(F.col("end_date").alias("date_key"))
-    return active(spark, sf, opens.union(periods).distinct())
+    m = market(spark, sf)
+    return active(m, open_keys(m).union(due_periods(spark, sf).select(F.col("end_date").alias("date_key"))).distinct())
 
 
 @query(
@@ -128,11 +145,9 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    opens = spine.open_dates(calendar(spark, sf))
-    counts = active(spark, sf, opens.select(F.col("trade_date").alias("date_key")))
-    p = spine.report_periods(spark, "19950101", "20011231").select(F.col("end_date").alias("day"))
-    p = p.union(spark.range(1).select(F.lit("19900101")))
-    return universe.denominators(p, "day", counts, opens)
+    m = market(spark, sf)
+    p = due_periods(spark, sf).select(F.col("end_date").alias("day")).union(spark.range(1).select(F.lit("19900101")))
+    return universe.denominators(p, "day", active(m, open_keys(m)), spine.open_dates(m.calendar))
 
 
 A6_SQL = (
@@ -148,7 +163,8 @@ A6_SQL = (
 def bar_snapshot(spark, sf):
     from barloom.plans.completeness_jobs import bar_completeness
 
-    return bar_completeness(bars_d(spark, sf), listing(spark, sf), calendar(spark, sf), suspend(spark, sf))
+    m = market(spark, sf, bars=True)
+    return bar_completeness(m.bars, m.listing, m.calendar, m.suspend)
 
 
 @query("a6_bar_completeness", with_views("listing suspend calendar bars_d", A6_SQL + "SELECT * FROM snap"))
@@ -177,9 +193,8 @@ _A7_PERIODS = "per AS (SELECT date_key AS end_date FROM (" + _PERIODS_SQL + "))"
 def _(spark, sf):
     from barloom.plans.completeness_jobs import report_completeness
 
-    r = reports(spark, sf)
-    tables = {n: r.where(F.col("report_type") == t) for n, t in zip(("income", "balance", "cashflow", "indicator"), "1234")}
-    return report_completeness(tables, companies(spark, sf), spine.report_periods(spark, "19950101", "20011231"))
+    q = report_quarters(spark, sf)
+    return report_completeness(completeness.period_counts(q, STATEMENTS), companies(spark, sf, q), due_periods(spark, sf))
 
 
 @query(
@@ -192,9 +207,9 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    opens = spine.open_dates(calendar(spark, sf)).select(F.col("trade_date").alias("date_key"))
-    expected = active(spark, sf, opens).select("date_key", F.col("trading_count").alias("expected"))
-    return completeness.snapshot("kline_daily", expected, completeness.count_by_key(bars_d(spark, sf), "trade_date"))
+    m = market(spark, sf, bars=True)
+    expected = active(m, open_keys(m)).select("date_key", F.col("trading_count").alias("expected"))
+    return completeness.snapshot("kline_daily", expected, completeness.count_by_key(m.bars, "trade_date"))
 
 
 _STICKY_SQL = """& keys AS (SELECT DISTINCT trade_date AS date_key FROM landing),

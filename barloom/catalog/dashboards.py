@@ -6,16 +6,28 @@ import re
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.aggregates import _OPEN_KEYS, _PERIODS_SQL, _active_sql, active
+from barloom.catalog.aggregates import _OPEN_KEYS, _PERIODS_SQL, STATEMENTS, _active_sql, active, due_periods, open_keys
 from barloom.catalog.joins import LISTED_SQL
 from barloom.catalog.registry import query
-from barloom.catalog.views import bars_d, calendar, companies, reports, suspend, table, with_views, ymd
+from barloom.catalog.views import (
+    REPORT_TYPES,
+    SOURCE_CLASSES,
+    bars_d,
+    calendar,
+    companies,
+    market,
+    report_quarters,
+    source_class,
+    table,
+    with_views,
+    ymd,
+)
 from barloom.operators import completeness, spine, universe
 from barloom.plans import dashboards as D
 
-# Sources by line number of a shipment, and by report type of an order.
+# Every line is a row of one of its group's sources, by its class.
 _DAILY = {
-    "market_trade_date": [c.key for c in D.GROUPS["market_trade_date"].columns][:7],
+    "market_trade_date": [c.key for c in D.GROUPS["market_trade_date"].columns],
     "financial_ann_date": [c.key for c in D.GROUPS["financial_ann_date"].columns],
     "kline_trade_date": ["kline_stock_factor"],
     "index_trade_date": ["index_daily"],
@@ -24,20 +36,29 @@ _DAILY = {
 }
 
 
-def snapshots_d(spark, sf, group: str):
-    """Daily snapshots: lines per ship day and line number; line numbers stand for the group's sources."""
-    names = _DAILY[group]
-    li = table(spark, sf, "lineitem").where(F.col("l_linenumber") <= len(names))
-    g = li.groupBy(F.to_date("l_shipdate").alias("d"), "l_linenumber").agg(F.count(F.lit(1)).alias("resolved_count"))
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("l_linenumber").cast("int"))
-    return g.select(
-        name.alias("source_name"), ymd(F.col("d")).alias("date_key"), F.lit(3).cast("bigint").alias("period_stock_count"), "resolved_count"
+def _dealt(days, names: list[str]):
+    """(d, source_name, resolved_count) of rows (d, s0...) that count a day's lines by class."""
+    classes = F.array(*[F.struct(F.lit(names[i % len(names)]).alias("source_name"), F.col(f"s{i}").alias("n")) for i in range(SOURCE_CLASSES)])
+    rows = days.select("d", F.explode(classes).alias("c")).select("d", "c.*").where("n > 0")
+    return rows.groupBy("d", "source_name").agg(F.sum("n").alias("resolved_count"))
+
+
+def snapshots_d(spark, sf, group: str, m=None):
+    """Daily snapshots of a group's sources, from the lines or from the days of a `Market`."""
+    if m is None:
+        by = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("d"))
+        per_day = by.agg(*[F.count_if(source_class() == i).alias(f"s{i}") for i in range(SOURCE_CLASSES)])
+    else:
+        per_day = m.days.groupBy("d").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(SOURCE_CLASSES)])
+    return _dealt(per_day, _DAILY[group]).select(
+        "source_name", ymd(F.col("d")).alias("date_key"), F.lit(3).cast("bigint").alias("period_stock_count"), "resolved_count"
     )
 
 
 def snapshots_d_sql(group: str) -> str:
-    return f"""snaps AS (SELECT ({_DAILY[group]})[l_linenumber] AS source_name, strftime(CAST(l_shipdate AS DATE), '%Y%m%d') AS date_key,
-      CAST(3 AS BIGINT) AS period_stock_count, count(*) AS resolved_count FROM lineitem WHERE l_linenumber <= {len(_DAILY[group])} GROUP BY 1, 2)"""
+    names = _DAILY[group]
+    return f"""snaps AS (SELECT ({names})[(l_orderkey + l_linenumber) % {SOURCE_CLASSES} % {len(names)} + 1] AS source_name,
+      strftime(CAST(l_shipdate AS DATE), '%Y%m%d') AS date_key, CAST(3 AS BIGINT) AS period_stock_count, count(*) AS resolved_count FROM lineitem GROUP BY 1, 2)"""
 
 
 _PERIOD_SOURCES = ["financial_forecast", "financial_express", "financial_audit", "financial_disclosure_date", "financial_fina_mainbz"]
@@ -86,16 +107,14 @@ PERIOD_SQL = f"""& pk AS ({_PERIODS_SQL}),
 
 
 def period_cells(spark, sf):
-    r = reports(spark, sf)
-    keys = spine.report_periods(spark, "19950101", "20011231").select(F.col("end_date").alias("date_key"))
-    sp = universe.listed_counts(companies(spark, sf), keys).withColumnRenamed("listed_count", "period_stock_count")
-    tables = {n: r.where(F.col("report_type") == t) for n, t in zip(("income", "balance", "cashflow", "indicator"), "1234")}
-    counts = completeness.merge_period_counts(tables, companies(spark, sf)).select(
-        F.col("end_date").alias("date_key"), *[F.col(f"{n}_count").alias(f"report_{n}") for n in tables]
-    )
-    name = F.element_at(F.array(*[F.lit(n) for n in _PERIOD_SOURCES]), F.col("report_type").cast("int"))
-    snaps = r.where("update_flag = '1' AND end_date > '1997'").groupBy(name.alias("source_name"), F.col("end_date").alias("date_key")).agg(
-        F.lit(500).cast("bigint").alias("period_stock_count"), F.count(F.lit(1)).alias("resolved_count")
+    q = report_quarters(spark, sf)
+    keys = due_periods(spark, sf).select(F.col("end_date").alias("date_key"))
+    sp = universe.listed_counts(companies(spark, sf, q), keys).withColumnRenamed("listed_count", "period_stock_count")
+    counts = completeness.period_counts(q, STATEMENTS).select(F.col("end_date").alias("date_key"), *[F.col(f"{n}_count").alias(f"report_{n}") for n in STATEMENTS])
+    updated = q.where("end_date > '1997'").groupBy("end_date").agg(*[F.sum(f"u{t}").alias(f"u{t}") for t in REPORT_TYPES])
+    each = F.array(*[F.struct(F.lit(n).alias("source_name"), F.col(f"u{t}").alias("n")) for n, t in zip(_PERIOD_SOURCES, REPORT_TYPES)])
+    snaps = updated.select("end_date", F.explode(each).alias("s")).where("s.n > 0").select(
+        "s.source_name", F.col("end_date").alias("date_key"), F.lit(500).cast("bigint").alias("period_stock_count"), F.col("s.n").alias("resolved_count")
     )
     return D.cells(D.GROUPS["financial_report_period"], sp, snaps, counts)
 
@@ -116,11 +135,10 @@ ANN_SQL = (
 
 
 def ann_cells(spark, sf):
-    opens = spine.open_dates(calendar(spark, sf))
-    counts = active(spark, sf, opens.select(F.col("trade_date").alias("date_key")))
-    days = calendar(spark, sf).where("cal_date >= '19960101'").select(F.col("cal_date").alias("date_key"))
-    sp = universe.denominators(days, "date_key", counts, opens, "listed_count").withColumnRenamed("expected", "period_stock_count")
-    return D.cells(D.GROUPS["financial_ann_date"], sp, snapshots_d(spark, sf, "financial_ann_date"))
+    m = market(spark, sf)
+    days = m.calendar.where("cal_date >= '19960101'").select(F.col("cal_date").alias("date_key"))
+    sp = universe.denominators(days, "date_key", active(m, open_keys(m)), spine.open_dates(m.calendar), "listed_count")
+    return D.cells(D.GROUPS["financial_ann_date"], sp.withColumnRenamed("expected", "period_stock_count"), snapshots_d(spark, sf, "financial_ann_date", m))
 
 
 @query("a33b_grid_ann_dates", with_views("listing suspend calendar", ANN_SQL + cells_sql("financial_ann_date", False, None) + _CELL_OUT))
@@ -132,9 +150,8 @@ def _open_spine_sql() -> str:
     return "& " + _OPEN_KEYS + _active_sql("keys") + ", spine AS (SELECT date_key, trading_count AS period_stock_count FROM act)\n"
 
 
-def open_spine(spark, sf):
-    keys = spine.open_dates(calendar(spark, sf)).select(F.col("trade_date").alias("date_key"))
-    return active(spark, sf, keys).select("date_key", F.col("trading_count").alias("period_stock_count"))
+def open_spine(m):
+    return active(m, open_keys(m)).select("date_key", F.col("trading_count").alias("period_stock_count"))
 
 
 BARS_SQL = _open_spine_sql() + f""", {snapshots_d_sql('kline_trade_date')},
@@ -143,33 +160,32 @@ BARS_SQL = _open_spine_sql() + f""", {snapshots_d_sql('kline_trade_date')},
 """
 
 
-def bar_cells(spark, sf):
-    b = completeness.bar_counts(bars_d(spark, sf)).select(
+def bar_cells(m):
+    b = completeness.bar_counts(m.bars).select(
         F.col("trade_date").alias("date_key"),
         F.col("kline_daily_count").alias("kline_daily"),
         F.col("kline_adj_factor_count").alias("kline_adj_factor"),
         F.col("kline_stk_limit_count").alias("kline_stk_limit"),
     )
-    return D.cells(D.GROUPS["kline_trade_date"], open_spine(spark, sf), snapshots_d(spark, sf, "kline_trade_date"), b)
+    return D.cells(D.GROUPS["kline_trade_date"], open_spine(m), snapshots_d(None, None, "kline_trade_date", m), b)
 
 
 @query("a33c_grid_bars", with_views("listing suspend calendar bars_d", BARS_SQL + cells_sql("kline_trade_date", False, "cnt") + _CELL_OUT))
 def _(spark, sf):
-    return _out(bar_cells(spark, sf))
+    return _out(bar_cells(market(spark, sf, bars=True)))
 
 
 _KEY_SPINE = "spine AS (SELECT cal_date AS date_key FROM calendar WHERE is_open = '1')"
 MARKET_SQL = f"& {_KEY_SPINE}, {snapshots_d_sql('market_trade_date')}\n"
 
 
-def market_cells(spark, sf):
-    keys = spine.open_dates(calendar(spark, sf)).select(F.col("trade_date").alias("date_key"))
-    return D.cells(D.GROUPS["market_trade_date"], keys, snapshots_d(spark, sf, "market_trade_date"))
+def market_cells(m):
+    return D.cells(D.GROUPS["market_trade_date"], open_keys(m), snapshots_d(None, None, "market_trade_date", m))
 
 
 @query("a33d_grid_market", with_views("calendar", MARKET_SQL + cells_sql("market_trade_date", True, None) + _CELL_OUT))
 def _(spark, sf):
-    return _out(market_cells(spark, sf))
+    return _out(market_cells(market(spark, sf)))
 
 
 BASIC_SQL = _open_spine_sql() + f""", {snapshots_d_sql('stock_basic_trade_date')},
@@ -178,14 +194,14 @@ BASIC_SQL = _open_spine_sql() + f""", {snapshots_d_sql('stock_basic_trade_date')
 """
 
 
-def basic_cells(spark, sf):
-    n = suspend(spark, sf).groupBy(F.col("trade_date").alias("date_key")).agg(F.count(F.lit(1)).alias("stock_suspend"))
-    return D.cells(D.GROUPS["stock_basic_trade_date"], open_spine(spark, sf), snapshots_d(spark, sf, "stock_basic_trade_date"), n)
+def basic_cells(m):
+    n = m.suspend.groupBy(F.col("trade_date").alias("date_key")).agg(F.count(F.lit(1)).alias("stock_suspend"))
+    return D.cells(D.GROUPS["stock_basic_trade_date"], open_spine(m), snapshots_d(None, None, "stock_basic_trade_date", m), n)
 
 
 @query("a33e_grid_basic", with_views("listing suspend calendar", BASIC_SQL + cells_sql("stock_basic_trade_date", False, "cnt") + _CELL_OUT))
 def _(spark, sf):
-    return _out(basic_cells(spark, sf))
+    return _out(basic_cells(market(spark, sf)))
 
 
 @query(
@@ -193,8 +209,8 @@ def _(spark, sf):
     with_views("calendar", f"& {_KEY_SPINE}, {snapshots_d_sql('index_trade_date')}\n" + cells_sql("index_trade_date", True, None) + _CELL_OUT),
 )
 def _(spark, sf):
-    keys = spine.open_dates(calendar(spark, sf)).select(F.col("trade_date").alias("date_key"))
-    return _out(D.cells(D.GROUPS["index_trade_date"], keys, snapshots_d(spark, sf, "index_trade_date")))
+    m = market(spark, sf)
+    return _out(D.cells(D.GROUPS["index_trade_date"], open_keys(m), snapshots_d(spark, sf, "index_trade_date", m)))
 
 
 @query(
@@ -210,8 +226,9 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    months = calendar(spark, sf).select(F.substring("cal_date", 1, 6).alias("date_key")).distinct()
-    best = D.best_of_month(snapshots_d(spark, sf, "index_month"))
+    m = market(spark, sf)
+    months = m.calendar.select(F.substring("cal_date", 1, 6).alias("date_key")).distinct()
+    best = D.best_of_month(snapshots_d(spark, sf, "index_month", m))
     return _out(D.cells(D.GROUPS["index_month"], months, best))
 
 
@@ -247,7 +264,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    r = D.rows(market_cells(spark, sf), D.GROUPS["market_trade_date"])
+    r = D.rows(market_cells(market(spark, sf)), D.GROUPS["market_trade_date"])
     return r.select("date_key", F.round("market_moneyflow", 6).alias("market_moneyflow"), "row_complete")
 
 
@@ -261,10 +278,9 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    keys = spine.open_dates(calendar(spark, sf)).select(F.col("trade_date").alias("date_key"))
-    page = spine.page_of(keys, "date_key", 3, 20)
-    g = D.GROUPS["market_trade_date"]
-    return D.rows(D.cells(g, page, snapshots_d(spark, sf, "market_trade_date")), g).select("date_key", "row_complete")
+    m, g = market(spark, sf), D.GROUPS["market_trade_date"]
+    page = spine.page_of(open_keys(m), "date_key", 3, 20)
+    return D.rows(D.cells(g, page, snapshots_d(spark, sf, "market_trade_date", m)), g).select("date_key", "row_complete")
 
 
 _SUMMARY = """, rws AS (SELECT group_id, date_key, coalesce(bool_and(is_complete) FILTER (has_snapshot), false) AS ok FROM cells GROUP BY 1, 2),
@@ -284,7 +300,7 @@ def _rounded_summary(df):
 
 @query("a35_group_health", with_views("calendar", MARKET_SQL + cells_sql("market_trade_date", True, None) + _SUMMARY))
 def _(spark, sf):
-    return _rounded_summary(completeness.group_summary(market_cells(spark, sf)))
+    return _rounded_summary(completeness.group_summary(market_cells(market(spark, sf))))
 
 
 @query(
@@ -324,7 +340,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return D.gaps(market_cells(spark, sf), 20).select("date_key", "column_key", F.round("ratio", 6).alias("ratio"))
+    return D.gaps(market_cells(market(spark, sf)), 20).select("date_key", "column_key", F.round("ratio", 6).alias("ratio"))
 
 
 def _named(sql: str, group: str, own: bool, counted, suffix: str) -> str:
@@ -353,5 +369,6 @@ def _named(sql: str, group: str, own: bool, counted, suffix: str) -> str:
     ),
 )
 def _(spark, sf):
-    groups = [period_cells(spark, sf), bar_cells(spark, sf), market_cells(spark, sf), basic_cells(spark, sf)]
+    m = market(spark, sf, bars=True)
+    groups = [period_cells(spark, sf), bar_cells(m), market_cells(m), basic_cells(m)]
     return _rounded_summary(D.overview(groups))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.aggregates import LOG_SQL, missing_log
+from barloom.catalog.aggregates import _PERIODS_SQL, LOG_SQL, due_periods, missing_log
 from barloom.catalog.joins import FACTORS_SQL, LISTED_SQL, factors_long
 from barloom.catalog.registry import query
 from barloom.catalog.views import bars_d, bars_m, companies, index_m, landing, listing, reports, table, with_views
@@ -111,13 +111,7 @@ def _(spark, sf):
     return dedup.first_by(la, dedup.minute_key("1d"), [F.col("ordinal")])
 
 
-PERIODS_SQL = """per AS (SELECT p AS end_date FROM (SELECT strftime(last_day(CAST(d AS DATE)), '%Y%m%d') AS p FROM
-   (SELECT unnest(generate_series(TIMESTAMP '1995-03-01', TIMESTAMP '2001-12-01', INTERVAL 3 MONTH)) AS d))
-   WHERE p BETWEEN '19950101' AND '20011231' AND (p >= '2005' OR substr(p, 5) IN ('0630', '1231')))"""
-
-
-def periods(spark):
-    return spine.report_periods(spark, "19950101", "20011231")
+PERIODS_SQL = f"per AS (SELECT date_key AS end_date FROM ({_PERIODS_SQL}))"
 
 
 @query(
@@ -130,7 +124,7 @@ def periods(spark):
     ),
 )
 def _(spark, sf):
-    return jobs.report_check(companies(spark, sf), periods(spark), reports(spark, sf), "19960101")
+    return jobs.report_check(companies(spark, sf), due_periods(spark, sf), reports(spark, sf), "19960101")
 
 
 @query(
@@ -145,7 +139,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return jobs.missing_periods_since_first(companies(spark, sf), periods(spark), reports(spark, sf), "19960101", "20001231")
+    return jobs.missing_periods_since_first(companies(spark, sf), due_periods(spark, sf), reports(spark, sf), "19960101", "20001231")
 
 
 @query(
@@ -284,7 +278,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     known = companies(spark, sf).where(F.coalesce(F.col("list_date"), F.lit("")) != "")
-    return gaps.missing_days(known, periods(spark), reports(spark, sf).where("report_type IN ('1', '2')"), day="end_date")
+    return gaps.missing_days(known, due_periods(spark, sf), reports(spark, sf).where("report_type IN ('1', '2')"), day="end_date")
 
 
 @query(

@@ -8,15 +8,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.catalog.aggregates import LOG_SQL, missing_log
-from barloom.catalog.dedup import PERIODS_SQL, periods
+from barloom.catalog.aggregates import LOG_SQL, due_periods, missing_log
+from barloom.catalog.dedup import PERIODS_SQL
 from barloom.catalog.joins import _GRID_SQL, FACTORS_SQL, LISTED_SQL, factors_long
 from barloom.catalog.nested import DOC_SQL, landed_reports
 from barloom.catalog.predicates import FULL_DAY_SQL, LIMIT_SQL
 from barloom.catalog.registry import query
 from barloom.catalog.scalars import ADJ_SQL, DIRECTIONAL_SQL
 from barloom.catalog.scans import VENDOR_SQL, bar_root, vendor_wide
-from barloom.catalog.views import bars_d, bars_m, calendar, companies, index_m, landing, listing, reports, suspend, with_views
+from barloom.catalog.views import bars_d, bars_m, calendar, companies, index_m, landing, listing, market, reports, suspend, with_views
 from barloom.functions import rolling as ts
 from barloom.functions.per_code import apply_per_code
 from barloom.operators import completeness, dedup, merge, nested, ordering, profile, series, universe
@@ -501,8 +501,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    halted = universe.full_day_suspended(suspend(spark, sf))
-    return completeness_jobs.bar_check(listing(spark, sf), calendar(spark, sf), halted, bars_d(spark, sf), "19970101", "19981231")
+    m = market(spark, sf, bars=True)
+    return completeness_jobs.bar_check(m.listing, m.calendar, universe.full_day_suspended(m.suspend), m.bars)
 
 
 @query(
@@ -518,9 +518,9 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    halted = universe.full_day_suspended(suspend(spark, sf))
+    m = market(spark, sf, bars=True)
     out = completeness_jobs.bar_check_registry(
-        missing_log(spark, sf), listing(spark, sf), calendar(spark, sf), halted, bars_d(spark, sf), "19970101", "19981231",
+        missing_log(spark, sf), m.listing, m.calendar, universe.full_day_suspended(m.suspend), m.bars, None, None,
         F.lit("2024-02-01").cast("timestamp_ntz"),
     )
     return out.select("ts_code", "missing_date", "try_count")
@@ -537,7 +537,7 @@ _REPORT_CHECK = f"""& {PERIODS_SQL},
     with_views("reports companies", _REPORT_CHECK + "SELECT ts_code, min(end_date) AS first_missing, max(end_date) AS last_missing, count(*) AS n_missing FROM miss GROUP BY 1"),
 )
 def _(spark, sf):
-    return completeness_jobs.report_check_spans(companies(spark, sf), periods(spark), reports(spark, sf), "19900101")
+    return completeness_jobs.report_check_spans(companies(spark, sf), due_periods(spark, sf), reports(spark, sf), "19900101")
 
 
 @query(
@@ -551,7 +551,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return completeness_jobs.report_check_summary(companies(spark, sf), periods(spark), reports(spark, sf), "19900101")
+    return completeness_jobs.report_check_summary(companies(spark, sf), due_periods(spark, sf), reports(spark, sf), "19900101")
 
 
 # ── loads ────────────────────────────────────────────────────────────────

@@ -15,6 +15,8 @@ from barloom.catalog.views import (
     index_m,
     landing,
     listing,
+    market,
+    report_quarters,
     reports,
     suspend,
     table,
@@ -167,7 +169,7 @@ def _(spark, sf):
     return b.join(universe.full_day_suspended(suspend(spark, sf)), ["ts_code", "trade_date"], "left_anti")
 
 
-_GRID_SQL = f"""& opens AS (SELECT cal_date AS trade_date FROM calendar WHERE is_open = '1' AND cal_date BETWEEN '19970101' AND '19981231'),
+_GRID_SQL = f"""& opens AS (SELECT cal_date AS trade_date FROM calendar WHERE is_open = '1'),
   grid AS (SELECT l.ts_code, o.trade_date FROM listing l JOIN opens o
      ON coalesce(l.list_date, '') <= o.trade_date AND (coalesce(l.delist_date, '') = '' OR l.delist_date > o.trade_date)
      WHERE NOT EXISTS (SELECT 1 FROM suspend s WHERE s.ts_code = l.ts_code AND s.trade_date = o.trade_date AND {FULL_DAY_SQL}))
@@ -175,13 +177,8 @@ _GRID_SQL = f"""& opens AS (SELECT cal_date AS trade_date FROM calendar WHERE is
 
 
 def _grid(spark, sf):
-    return gaps.expected_grid(
-        listing(spark, sf),
-        spine.open_dates(calendar(spark, sf)),
-        "19970101",
-        "19981231",
-        universe.full_day_suspended(suspend(spark, sf)),
-    )
+    m = market(spark, sf)
+    return gaps.expected_grid(m.listing, spine.open_dates(m.calendar), suspended=universe.full_day_suspended(m.suspend))
 
 
 @query("j9_expected_grid", with_views("listing calendar suspend", _GRID_SQL + "SELECT * FROM grid"))
@@ -194,10 +191,9 @@ def _(spark, sf):
     with_views("listing calendar suspend", _GRID_SQL + "SELECT * FROM grid WHERE ts_code LIKE '%000000000012.SH'"),
 )
 def _(spark, sf):
-    one = listing(spark, sf).where(F.col("ts_code").endswith("000000000012.SH"))
-    return gaps.expected_grid(
-        one, spine.open_dates(calendar(spark, sf)), "19970101", "19981231", universe.full_day_suspended(suspend(spark, sf))
-    )
+    m = market(spark, sf)
+    one = m.listing.where(F.col("ts_code").endswith("000000000012.SH"))
+    return gaps.expected_grid(one, spine.open_dates(m.calendar), suspended=universe.full_day_suspended(m.suspend))
 
 
 @query(
@@ -208,14 +204,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return gaps.missing_days(
-        listing(spark, sf),
-        spine.open_dates(calendar(spark, sf)),
-        bars_d(spark, sf),
-        "19970101",
-        "19981231",
-        universe.full_day_suspended(suspend(spark, sf)),
-    )
+    m = market(spark, sf, bars=True)
+    return gaps.missing_days(m.listing, spine.open_dates(m.calendar), m.bars, suspended=universe.full_day_suspended(m.suspend))
 
 
 # ── reports ──────────────────────────────────────────────────────────────
@@ -230,11 +220,11 @@ PERIOD_MERGE_SQL = f"""& per AS (SELECT end_date, count(*) FILTER (report_type =
 
 @query("j10_period_merge", with_views("reports companies", PERIOD_MERGE_SQL + "SELECT per.*, listed_count FROM per JOIN lc USING (end_date)"))
 def _(spark, sf):
-    from barloom.operators.completeness import merge_period_counts
+    from barloom.operators.completeness import period_counts, with_listed_count
 
-    r = reports(spark, sf)
-    tables = {n: r.where(F.col("report_type") == t) for n, t in zip(("income", "balance", "cashflow", "indicator"), "1234")}
-    return merge_period_counts(tables, companies(spark, sf))
+    q = report_quarters(spark, sf)
+    statements = {n: F.col(f"n{t}") for n, t in zip(("income", "balance", "cashflow", "indicator"), "1234")}
+    return with_listed_count(period_counts(q, statements), companies(spark, sf, q))
 
 
 # ── load ─────────────────────────────────────────────────────────────────
@@ -414,10 +404,9 @@ _NAV_SQL = """& closes AS (SELECT trade_date, close FROM index_m WHERE ts_code =
 
 
 def _navs(spark, sf):
-    b = bars_m(spark, sf)
     closes = index_m(spark, sf).where((F.col("ts_code") == "000300.SH") & (F.substring("trade_date", 5, 2) != "05"))
-    dates = b.where(F.col("trade_date") >= "19960501").select("trade_date").distinct()
-    r = b.groupBy("trade_date").agg((F.round(F.avg(F.col("close") / F.col("open") - 1.0), 8) * 0.01).alias("r"))
+    r = stage(bars_m(spark, sf).groupBy("trade_date").agg((F.round(F.avg(F.col("close") / F.col("open") - 1.0), 8) * 0.01).alias("r")))
+    dates = r.where(F.col("trade_date") >= "19960501").select("trade_date")
     return series.nav(r, "r").select("trade_date", F.col("nav").alias("value")), series.benchmark_nav(dates, closes)
 
 

@@ -8,7 +8,7 @@ from barloom.catalog.aggregates import A6_SQL, bar_snapshot
 from barloom.catalog.joins import FACTORS_SQL, LISTED_SQL, factors_long
 from barloom.catalog.registry import query
 from barloom.catalog.spines import PERIOD_SPINE, order_range
-from barloom.catalog.views import bars_d, bars_m, calendar, companies, landing, reports, with_views
+from barloom.catalog.views import bars_d, bars_m, calendar, companies, landing, report_quarters, reports, with_views
 from barloom.operators import completeness, profile, spine
 from barloom.plans import completeness_jobs as jobs
 from barloom.plans import hot_table
@@ -29,7 +29,7 @@ def _page_sql(key: str, page: int, size: int, src: str) -> str:
 
 @query("l2_page_periods", PERIOD_SPINE + _page_sql("end_date", 2, 4, "per"))
 def _(spark, sf):
-    return spine.newest_first_page(spine.report_periods(spark, *order_range(spark, sf)), "end_date", 2, 4)
+    return spine.newest_first_page(spine.report_periods_of(order_range(spark, sf)), "end_date", 2, 4)
 
 
 _SPAN = "b AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders)"
@@ -41,7 +41,7 @@ _SPAN = "b AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate
     + _page_sql("month", 3, 12, "m"),
 )
 def _(spark, sf):
-    return spine.newest_first_page(spine.months(spark, *order_range(spark, sf)), "month", 3, 12)
+    return spine.newest_first_page(spine.months_of(order_range(spark, sf)), "month", 3, 12)
 
 
 @query("l2c_page_open_dates", with_views("calendar", _page_sql("cal_date", 3, 50, "calendar WHERE is_open = '1'").replace("cal_date) AS lo", "cal_date) AS lo")))
@@ -55,7 +55,7 @@ def _(spark, sf):
     + _page_sql("date_key", 2, 31, "d"),
 )
 def _(spark, sf):
-    return spine.newest_first_page(spine.calendar_days(spark, *order_range(spark, sf)), "date_key", 2, 31)
+    return spine.newest_first_page(spine.calendar_days_of(order_range(spark, sf)), "date_key", 2, 31)
 
 
 @query(
@@ -101,10 +101,10 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    r = reports(spark, sf)
+    q = report_quarters(spark, sf)
     due = spine.report_periods(spark, "19960101", "20001231")
-    counts = jobs.report_completeness({"income": r.where("report_type = '1'")}, companies(spark, sf), due)
-    counts = counts.join(r.select("end_date").distinct(), "end_date", "left_semi")
+    counts = jobs.report_completeness(completeness.period_counts(q, {"income": F.col("n1")}), companies(spark, sf, q), due)
+    counts = counts.join(q.select("end_date").distinct(), "end_date", "left_semi")
     return completeness.below_share(counts, "income_count", "listed_count").select(
         "end_date", "income_count", "listed_count"
     ).orderBy(F.desc("end_date"))

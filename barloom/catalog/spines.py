@@ -9,10 +9,10 @@ from barloom.catalog.views import bars_d, calendar, index_m, table, with_views,
 from barloom.operators import spine
 
 
-def order_range(spark, sf) -> tuple[str, str]:
-    """First and last order date: two values."""
-    r = table(spark, sf, "orders").agg(ymd(F.min(F.to_date("o_orderdate"))).alias("lo"), ymd(F.max(F.to_date("o_orderdate"))).alias("hi")).first()
-    return r.lo, r.hi
+def order_range(spark, sf):
+    """First and last order date: one row (s, e)."""
+    d = F.to_date("o_orderdate")
+    return table(spark, sf, "orders").agg(ymd(F.min(d)).alias("s"), ymd(F.max(d)).alias("e"))
 
 
 _LO_HI = "b AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders)"
@@ -27,12 +27,12 @@ PERIOD_SPINE = f"""WITH {_LO_HI}, q AS (SELECT strftime(last_day(CAST(d AS DATE)
 
 @query("d1_report_periods", PERIOD_SPINE + "SELECT end_date FROM per")
 def _(spark, sf):
-    return spine.report_periods(spark, *order_range(spark, sf))
+    return spine.report_periods_of(order_range(spark, sf))
 
 
 @query("d7_annual_periods", PERIOD_SPINE + "SELECT end_date FROM per WHERE end_date LIKE '%1231'")
 def _(spark, sf):
-    return spine.annual_only(spine.report_periods(spark, *order_range(spark, sf)))
+    return spine.annual_only(spine.report_periods_of(order_range(spark, sf)))
 
 
 @query(
@@ -40,7 +40,7 @@ def _(spark, sf):
     f"WITH {_LO_HI} SELECT strftime({_SERIES.format(lo=chr(100)+'ate_trunc(' + chr(39) + 'month' + chr(39) + ', lo)', hi='hi::TIMESTAMP', step='1 MONTH')}, '%Y%m') AS month FROM b",
 )
 def _(spark, sf):
-    return spine.months(spark, *order_range(spark, sf))
+    return spine.months_of(order_range(spark, sf))
 
 
 @query(
@@ -48,7 +48,7 @@ def _(spark, sf):
     f"WITH {_LO_HI} SELECT strftime({_SERIES.format(lo='lo::TIMESTAMP', hi='hi::TIMESTAMP', step='1 DAY')}, '%Y%m%d') AS date_key FROM b",
 )
 def _(spark, sf):
-    return spine.calendar_days(spark, *order_range(spark, sf))
+    return spine.calendar_days_of(order_range(spark, sf))
 
 
 @query(

@@ -10,10 +10,14 @@ reports   orders as report versions by customer and quarter end
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from barloom.session import stage
+
 
 _SCHEMAS: dict[str, StructType] = {}
 
@@ -57,20 +61,19 @@ def ymd(d: Column) -> Column:
 # ── bars ─────────────────────────────────────────────────────────────────
 
 
-def _bars(spark: SparkSession, sf: str, period: Column) -> DataFrame:
+def _bar_measures() -> list[Column]:
     """Open and close are the prices of the lines that come first and last by (ship day, amount, quantity).
 
     That order is packed into one long: 16 bits of days, then cents and quantity. Lines that tie have the same
     price, so the result is fixed, and the aggregate keeps primitive buffers (hash aggregate, map-side combine).
     """
-    li = table(spark, sf, "lineitem")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     seq = (
         F.unix_date(F.to_date("l_shipdate")).cast("long") * F.lit(1 << 40)
         + F.round(F.col("l_extendedprice") * 100).cast("long") * 64
         + F.col("l_quantity").cast("long")
     )
-    g = li.groupBy(F.col("l_suppkey").alias("k"), period.alias("d")).agg(
+    return [
         F.min_by(price, seq).alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
@@ -78,9 +81,13 @@ def _bars(spark: SparkSession, sf: str, period: Column) -> DataFrame:
         F.sum("l_quantity").alias("vol"),
         F.round(F.sum("l_extendedprice"), 2).alias("amount"),
         F.max("l_discount").alias("disc"),
-    )
+    ]
+
+
+def _as_bars(measured: DataFrame) -> DataFrame:
+    """Bars from one row per key `k` and date `d` with the measures."""
     v = F.col("vol").cast("long")
-    return g.select(
+    return measured.select(
         code(F.col("k")).alias("ts_code"),
         ymd(F.col("d")).alias("trade_date"),
         "open",
@@ -95,6 +102,10 @@ def _bars(spark: SparkSession, sf: str, period: Column) -> DataFrame:
     )
 
 
+def _bars(spark: SparkSession, sf: str, period: Column) -> DataFrame:
+    return _as_bars(table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k"), period.alias("d")).agg(*_bar_measures()))
+
+
 def bars_m(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly bars, dated on the last day of the month."""
     return _bars(spark, sf, F.last_day(F.to_date("l_shipdate")))
@@ -131,14 +142,15 @@ BARS_D = f"bars_d AS MATERIALIZED ({_bars_sql('CAST(l_shipdate AS DATE)')})"
 # ── listing ──────────────────────────────────────────────────────────────
 
 
-def listing(spark: SparkSession, sf: str) -> DataFrame:
-    """Life spans come from the first and last shipment, shifted by key; delist_date is '', null or a date."""
+def _shipped(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("d"))
+
+
+def listing(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    """Life spans come from the first and last shipment, shifted by key; delist_date is '', null or a date. `days`, here and
+    below: the shipments by key and day (`ship_days`), to read instead of the lines."""
     k = F.col("k")
-    span = (
-        table(spark, sf, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("k"))
-        .agg(F.min(F.to_date("l_shipdate")).alias("lo"), F.max(F.to_date("l_shipdate")).alias("hi"))
-    )
+    span = (days or _shipped(spark, sf)).groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     named = span.join(table(spark, sf, "supplier"), F.col("k") == F.col("s_suppkey"))
     m10 = (k % 10).cast("int")
     return named.select(
@@ -179,10 +191,9 @@ LISTING = f"""listing AS MATERIALIZED (
 # ── calendar and suspensions ─────────────────────────────────────────────
 
 
-def calendar(spark: SparkSession, sf: str) -> DataFrame:
+def calendar(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
     """One reading of the shipments, which collapse to distinct days before the shuffle; the rest is one row of days."""
-    days = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
-    row = days.agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.collect_set("d").alias("seen"))
+    row = (days or _shipped(spark, sf)).select("d").distinct().agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.collect_set("d").alias("seen"))
     spine = row.select("seen", F.explode(F.sequence("lo", "hi")).alias("d"))
     is_open = F.array_contains("seen", F.col("d")) & F.dayofweek("d").between(2, 6)
     return spine.select(
@@ -200,25 +211,61 @@ CALENDAR = """calendar AS MATERIALIZED (
   LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS d, count(*) AS n FROM lineitem GROUP BY 1) USING (d))"""
 
 
-def suspend(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where((F.col("l_linenumber") <= 2) & (F.col("l_discount") < 0.03))
-    return (
-        li.select(
-            code(F.col("l_suppkey")).alias("ts_code"),
-            ymd(F.to_date("l_shipdate")).alias("trade_date"),
-            F.when(F.col("l_linestatus") == "O", F.lit("S")).otherwise(F.lit("R")).alias("suspend_type"),
-            F.when(F.col("l_returnflag") == "A", F.lit(""))
-            .when(F.col("l_returnflag") == "R", F.lit("09:30-10:00"))
-            .alias("suspend_timing"),
-        ).distinct()
-    )
+# Kinds of a notice, a bit each: all-day or partial halts, and resumptions.
+_KINDS = [(kind, timing) for kind in ("S", "R") for timing in ("", "09:30-10:00", None)]
+
+
+def _notices() -> Column:
+    """The kinds of notice that a key's lines of a day give, as bits. Every line gives one."""
+    halt = (F.col("l_linenumber") <= 2) & (F.col("l_discount") < 0.03) & (F.col("l_linestatus") == "O")
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), F.when(halt, 0).otherwise(3) + flag)).alias("notices")
+
+
+def suspend(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    """Suspension notices: one row for each kind that a code has on a day."""
+    if days is None:
+        days = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("d")).agg(_notices())
+    kinds = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(t).cast("string").alias("t"), F.lit(1 << i).alias("bit")) for i, (s, t) in enumerate(_KINDS)])
+    rows = days.select("k", "d", F.explode(F.filter(kinds, lambda x: F.col("notices").bitwiseAND(x["bit"]) != 0)).alias("n"))
+    return rows.select(code(F.col("k")).alias("ts_code"), ymd(F.col("d")).alias("trade_date"), F.col("n.s").alias("suspend_type"), F.col("n.t").alias("suspend_timing"))
 
 
 SUSPEND = f"""suspend AS MATERIALIZED (
   SELECT DISTINCT {code_sql('l_suppkey')} AS ts_code, strftime(CAST(l_shipdate AS DATE), '%Y%m%d') AS trade_date,
-         CASE WHEN l_linestatus = 'O' THEN 'S' ELSE 'R' END AS suspend_type,
+         CASE WHEN l_linenumber <= 2 AND l_discount < 0.03 AND l_linestatus = 'O' THEN 'S' ELSE 'R' END AS suspend_type,
          CASE WHEN l_returnflag = 'A' THEN '' WHEN l_returnflag = 'R' THEN '09:30-10:00' END AS suspend_timing
-  FROM lineitem WHERE l_linenumber <= 2 AND l_discount < 0.03)"""
+  FROM lineitem)"""
+
+
+# ── shared readings ──────────────────────────────────────────────────────
+
+# The lines of a day are dealt to the watched sources by this many classes.
+SOURCE_CLASSES = 8
+
+
+def source_class() -> Column:
+    return F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(SOURCE_CLASSES))
+
+
+@dataclass(frozen=True)
+class Market:
+    """The market's tables from one reading of the shipments: an aggregate by key and day, staged, from which listing,
+    calendar (staged too: a row per code, a row per day), notices, bars and counts by source follow."""
+
+    days: DataFrame
+    listing: DataFrame
+    calendar: DataFrame
+    suspend: DataFrame
+    bars: DataFrame | None
+
+
+def market(spark: SparkSession, sf: str, bars: bool = False) -> Market:
+    dealt = [F.count_if(source_class() == i).alias(f"s{i}") for i in range(SOURCE_CLASSES)]
+    by = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("d"))
+    days = stage(by.agg(_notices(), *dealt, *(_bar_measures() if bars else [])))
+    known = stage(listing(spark, sf, days)), stage(calendar(spark, sf, days))
+    return Market(days, *known, suspend(spark, sf, days), _as_bars(days) if bars else None)
 
 
 # ── landing, reports ─────────────────────────────────────────────────────
@@ -269,14 +316,24 @@ REPORTS = """reports AS MATERIALIZED (
   FROM (SELECT *, last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS q FROM orders))"""
 
 
-def companies(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per reporting company: life span from its first and last order."""
-    k = F.col("k")
-    span = (
-        table(spark, sf, "orders")
-        .groupBy(F.col("o_custkey").alias("k"))
-        .agg(F.min(F.to_date("o_orderdate")).alias("lo"), F.max(F.to_date("o_orderdate")).alias("hi"))
-    )
+REPORT_TYPES = "12345"
+
+
+def report_quarters(spark: SparkSession, sf: str) -> DataFrame:
+    """One reading of the orders: per company key and quarter end the reports of each type (n1...), those updated (u1...),
+    and the first and last order day. Staged."""
+    d, kind = F.to_date("o_orderdate"), F.substring("o_orderpriority", 1, 1)
+    done = F.col("o_orderstatus") == "F"
+    counts = [F.count_if(kind == t).alias(f"n{t}") for t in REPORT_TYPES] + [F.count_if((kind == t) & done).alias(f"u{t}") for t in REPORT_TYPES]
+    by = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k"), ymd(quarter_end(d)).alias("end_date"))
+    return stage(by.agg(F.min(d).alias("lo"), F.max(d).alias("hi"), *counts))
+
+
+def companies(spark: SparkSession, sf: str, quarters: DataFrame | None = None) -> DataFrame:
+    """One row per reporting company: life span from its first and last order (of `report_quarters`, if given)."""
+    k, d = F.col("k"), F.to_date("o_orderdate")
+    rows = quarters or table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), d.alias("lo"), d.alias("hi"))
+    span = rows.groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     m10 = (k % 10).cast("int")
     return span.select(
         F.concat(F.lit("C"), F.lpad(k.cast("string"), 12, "0")).alias("ts_code"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.universe import listed_counts
+from barloom.session import stage
 
 # Fixed value: default completeness threshold.
 THRESHOLD = 0.95
@@ -98,19 +99,28 @@ def macro_scan(counts: DataFrame, count: str, expected: str, key: str = "date_ke
     )
 
 
-def merge_period_counts(tables: dict[str, DataFrame], companies: DataFrame, key: str = "end_date") -> DataFrame:
-    """Row counts of several report tables per period (0 where a table has none), with the listed count."""
-    tagged = [t.select(key, F.lit(n).alias("_t")) for n, t in tables.items()]
-    per = (
-        reduce(DataFrame.unionByName, tagged)
-        .groupBy(key)
-        .agg(*[F.count_if(F.col("_t") == n).alias(f"{n}_count") for n in tables])
-    )
+def period_counts(rows: DataFrame, tables: dict[str, Column], key: str = "end_date") -> DataFrame:
+    """Rows per period of several tables in one pass: `tables` names for each what a row adds to its count (a condition's
+    0 or 1, or a stored count). Periods that no table has are left out."""
+    sums = rows.groupBy(key).agg(*[F.sum(n).cast("bigint").alias(f"{t}_count") for t, n in tables.items()])
+    return sums.where(F.greatest(F.lit(0), *[F.col(f"{t}_count") for t in tables]) > 0)
+
+
+def with_listed_count(per: DataFrame, companies: DataFrame, key: str = "end_date") -> DataFrame:
+    """`per`, one row per period, with the listed count. Staged, as its periods are swept as well."""
+    per = stage(per)
     return per.join(listed_counts(companies, per, key), key, "left").withColumn(
         "listed_count", F.coalesce(F.col("listed_count"), F.lit(0)).cast("bigint")
     )
 
 
+def merge_period_counts(tables: dict[str, DataFrame], companies: DataFrame, key: str = "end_date") -> DataFrame:
+    """Row counts of several report tables per period (0 where a table has none), with the listed count."""
+    tagged = reduce(DataFrame.unionByName, [t.select(key, F.lit(n).alias("_t")) for n, t in tables.items()])
+    each = {n: F.when(F.col("_t") == n, 1).otherwise(0) for n in tables}
+    return with_listed_count(period_counts(tagged, each, key), companies, key)
+
+
 def peak_universe(df: DataFrame, day: str, end: str) -> DataFrame:
     """Largest number of distinct codes on one day up to `end`; (day, code) pairs collapse map-side."""
     pairs = df.where(F.col(day) <= end).select(day, "ts_code").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barloom.session import stage
+
 DAYS_PER_YEAR = 252
 
 
@@ -56,9 +58,11 @@ def group_totals(wide: DataFrame, groups: list[str]) -> DataFrame:
 def benchmark_nav(dates: DataFrame, closes: DataFrame) -> DataFrame:
     """NAV of the index on the given dates: forward-filled close over the base.
 
-    The base is the last close on or before the first date, else the first close among the dates.
+    The base is the last close on or before the first date, else the first close among the dates. Both inputs are a row a
+    day and are read several times, so they are staged.
     """
-    usable = closes.where(F.col("close").isNotNull() & (F.col("close") != 0)).select("trade_date", "close")
+    dates = stage(dates.select("trade_date"))
+    usable = stage(closes.where(F.col("close").isNotNull() & (F.col("close") != 0)).select("trade_date", "close"))
     first = dates.agg(F.min("trade_date")).scalar()
     prior = usable.where(F.col("trade_date") <= first).agg(F.max_by("close", "trade_date")).scalar()
     later = usable.join(dates.select("trade_date"), "trade_date", "left_semi").agg(F.min_by("close", "trade_date")).scalar()

@@ -21,37 +21,43 @@ def ymd(d: Column) -> Column:
     return F.date_format(d, "yyyyMMdd")
 
 
-def _one_row(spark: SparkSession, **cols: str) -> DataFrame:
-    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in cols.items()])
+def _bounds(spark: SparkSession, start: str, end: str) -> DataFrame:
+    return spark.range(1).select(F.lit(start).alias("s"), F.lit(end).alias("e"))
 
 
-def calendar_days(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """Every day of the closed range."""
-    if start > end:
-        return spark.range(0).select(F.lit("").alias("date_key"))
-    row = _one_row(spark, s=start, e=end)
-    days = row.select(F.explode(F.sequence(to_day(F.col("s")), to_day(F.col("e")))).alias("d"))
+def calendar_days_of(bounds: DataFrame) -> DataFrame:
+    """(date_key) of every day of the closed range. `bounds`, here and below: one row (s, e), as a query over stored dates
+    yields it; none where s > e or a bound is null."""
+    days = bounds.where("s <= e").select(F.explode(F.sequence(to_day(F.col("s")), to_day(F.col("e")))).alias("d"))
     return days.select(ymd(F.col("d")).alias("date_key"))
 
 
-def months(spark: SparkSession, start: str, end: str) -> DataFrame:
+def months_of(bounds: DataFrame) -> DataFrame:
     """YYYYMM of the closed range."""
-    if start[:6] > end[:6]:
-        return spark.range(0).select(F.lit("").alias("month"))
-    row = _one_row(spark, s=start[:6] + "01", e=end[:6] + "01")
-    seq = F.sequence(to_day(F.col("s")), to_day(F.col("e")), F.expr("interval 1 month"))
-    return row.select(F.explode(seq).alias("d")).select(F.date_format("d", "yyyyMM").alias("month"))
+    first = lambda c: to_day(F.concat(F.substring(c, 1, 6), F.lit("01")))
+    months_ = F.explode(F.sequence(first("s"), first("e"), F.expr("interval 1 month")))
+    return bounds.where("substring(s, 1, 6) <= substring(e, 1, 6)").select(months_.alias("d")).select(F.date_format("d", "yyyyMM").alias("month"))
 
 
-def report_periods(spark: SparkSession, start: str, end: str) -> DataFrame:
+def report_periods_of(bounds: DataFrame) -> DataFrame:
     """Quarter ends of the closed range; only 0630 and 1231 before quarterly reporting."""
-    if start > end:
-        return spark.range(0).select(F.lit("").alias("end_date"))
-    row = _one_row(spark, s=start[:4] + "0301", e=end[:4] + "1201")
-    seq = F.sequence(to_day(F.col("s")), to_day(F.col("e")), F.expr("interval 3 month"))
-    p = row.select(F.explode(seq).alias("d")).select(ymd(F.last_day("d")).alias("end_date"))
+    at = lambda c, day: to_day(F.concat(F.substring(c, 1, 4), F.lit(day)))
+    quarters = F.explode(F.sequence(at("s", "0301"), at("e", "1201"), F.expr("interval 3 month")))
+    p = bounds.where("s <= e").select("s", "e", quarters.alias("d")).select("s", "e", ymd(F.last_day("d")).alias("end_date"))
     due = (F.substring("end_date", 1, 4) >= QUARTERLY_SINCE) | F.substring("end_date", 5, 4).isin("0630", "1231")
-    return p.where(F.col("end_date").between(start, end) & due)
+    return p.where((F.col("end_date") >= F.col("s")) & (F.col("end_date") <= F.col("e")) & due).select("end_date")
+
+
+def calendar_days(spark: SparkSession, start: str, end: str) -> DataFrame:
+    return calendar_days_of(_bounds(spark, start, end))
+
+
+def months(spark: SparkSession, start: str, end: str) -> DataFrame:
+    return months_of(_bounds(spark, start, end))
+
+
+def report_periods(spark: SparkSession, start: str, end: str) -> DataFrame:
+    return report_periods_of(_bounds(spark, start, end))
 
 
 def annual_only(periods: DataFrame) -> DataFrame:

@@ -23,9 +23,8 @@ def bar_completeness(bars: DataFrame, listing: DataFrame, calendar: DataFrame, s
     )
 
 
-def report_completeness(tables: dict[str, DataFrame], companies: DataFrame, periods: DataFrame) -> DataFrame:
-    """Per due period: listed count and the row count of every report table."""
-    counts = completeness.merge_period_counts(tables, companies).drop("listed_count")
+def report_completeness(counts: DataFrame, companies: DataFrame, periods: DataFrame) -> DataFrame:
+    """Per due period: listed count and the row count of every report table. `counts`: `completeness.period_counts`."""
     names = [c for c in counts.columns if c != "end_date"]
     listed = universe.listed_counts(companies, periods, "end_date")
     return listed.join(counts, "end_date", "left").select(
@@ -59,12 +58,12 @@ def completeness_cycle(stored: DataFrame, source: str, expected: DataFrame, tabl
     return upkeep.kept_up(before, changes, expected.select(F.lit(source).alias("source_name"), "date_key", "expected"))
 
 
-def bar_check(listing: DataFrame, calendar: DataFrame, suspended: DataFrame, bars: DataFrame, start: str, end: str) -> DataFrame:
+def bar_check(listing: DataFrame, calendar: DataFrame, suspended: DataFrame, bars: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Missing ranges of every code in one plan: the expected days less the stored bars, as bitmaps, neighbours merged."""
     return gaps.missing_ranges(listing, spine.open_dates(calendar, start, end), bars, start, end, suspended)
 
 
-def bar_check_registry(log: DataFrame, listing: DataFrame, calendar: DataFrame, suspended: DataFrame, bars: DataFrame, start: str, end: str, at) -> DataFrame:
+def bar_check_registry(log: DataFrame, listing: DataFrame, calendar: DataFrame, suspended: DataFrame, bars: DataFrame, start: str | None, end: str | None, at) -> DataFrame:
     """The registry after a bar check: missed keys counted, resolved ones gone."""
     opens = spine.open_dates(calendar, start, end)
     missing = gaps.missing_days(listing, opens, bars, start, end, suspended)
