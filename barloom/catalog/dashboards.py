@@ -135,7 +135,7 @@ ANN_SQL = (
 
 
 def ann_cells(spark, sf):
-    m = market(spark, sf)
+    m = market(spark, sf, sources=True)
     days = m.calendar.where("cal_date >= '19960101'").select(F.col("cal_date").alias("date_key"))
     sp = universe.denominators(days, "date_key", active(m, open_keys(m)), spine.open_dates(m.calendar), "listed_count")
     return D.cells(D.GROUPS["financial_ann_date"], sp.withColumnRenamed("expected", "period_stock_count"), snapshots_d(spark, sf, "financial_ann_date", m))
@@ -172,7 +172,7 @@ def bar_cells(m):
 
 @query("a33c_grid_bars", with_views("listing suspend calendar bars_d", BARS_SQL + cells_sql("kline_trade_date", False, "cnt") + _CELL_OUT))
 def _(spark, sf):
-    return _out(bar_cells(market(spark, sf, bars=True)))
+    return _out(bar_cells(market(spark, sf, bars=True, sources=True)))
 
 
 _KEY_SPINE = "spine AS (SELECT cal_date AS date_key FROM calendar WHERE is_open = '1')"
@@ -185,7 +185,7 @@ def market_cells(m):
 
 @query("a33d_grid_market", with_views("calendar", MARKET_SQL + cells_sql("market_trade_date", True, None) + _CELL_OUT))
 def _(spark, sf):
-    return _out(market_cells(market(spark, sf)))
+    return _out(market_cells(market(spark, sf, sources=True)))
 
 
 BASIC_SQL = _open_spine_sql() + f""", {snapshots_d_sql('stock_basic_trade_date')},
@@ -201,7 +201,7 @@ def basic_cells(m):
 
 @query("a33e_grid_basic", with_views("listing suspend calendar", BASIC_SQL + cells_sql("stock_basic_trade_date", False, "cnt") + _CELL_OUT))
 def _(spark, sf):
-    return _out(basic_cells(market(spark, sf)))
+    return _out(basic_cells(market(spark, sf, sources=True)))
 
 
 @query(
@@ -209,7 +209,7 @@ def _(spark, sf):
     with_views("calendar", f"& {_KEY_SPINE}, {snapshots_d_sql('index_trade_date')}\n" + cells_sql("index_trade_date", True, None) + _CELL_OUT),
 )
 def _(spark, sf):
-    m = market(spark, sf)
+    m = market(spark, sf, sources=True)
     return _out(D.cells(D.GROUPS["index_trade_date"], open_keys(m), snapshots_d(spark, sf, "index_trade_date", m)))
 
 
@@ -226,7 +226,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    m = market(spark, sf)
+    m = market(spark, sf, sources=True)
     months = m.calendar.select(F.substring("cal_date", 1, 6).alias("date_key")).distinct()
     best = D.best_of_month(snapshots_d(spark, sf, "index_month", m))
     return _out(D.cells(D.GROUPS["index_month"], months, best))
@@ -264,7 +264,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    r = D.rows(market_cells(market(spark, sf)), D.GROUPS["market_trade_date"])
+    r = D.rows(market_cells(market(spark, sf, sources=True)), D.GROUPS["market_trade_date"])
     return r.select("date_key", F.round("market_moneyflow", 6).alias("market_moneyflow"), "row_complete")
 
 
@@ -278,7 +278,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    m, g = market(spark, sf), D.GROUPS["market_trade_date"]
+    m, g = market(spark, sf, sources=True), D.GROUPS["market_trade_date"]
     page = spine.page_of(open_keys(m), "date_key", 3, 20)
     return D.rows(D.cells(g, page, snapshots_d(spark, sf, "market_trade_date", m)), g).select("date_key", "row_complete")
 
@@ -300,7 +300,7 @@ def _rounded_summary(df):
 
 @query("a35_group_health", with_views("calendar", MARKET_SQL + cells_sql("market_trade_date", True, None) + _SUMMARY))
 def _(spark, sf):
-    return _rounded_summary(completeness.group_summary(market_cells(market(spark, sf))))
+    return _rounded_summary(completeness.group_summary(market_cells(market(spark, sf, sources=True))))
 
 
 @query(
@@ -340,7 +340,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return D.gaps(market_cells(market(spark, sf)), 20).select("date_key", "column_key", F.round("ratio", 6).alias("ratio"))
+    return D.gaps(market_cells(market(spark, sf, sources=True)), 20).select("date_key", "column_key", F.round("ratio", 6).alias("ratio"))
 
 
 def _named(sql: str, group: str, own: bool, counted, suffix: str) -> str:
@@ -369,6 +369,6 @@ def _named(sql: str, group: str, own: bool, counted, suffix: str) -> str:
     ),
 )
 def _(spark, sf):
-    m = market(spark, sf, bars=True)
+    m = market(spark, sf, bars=True, sources=True)
     groups = [period_cells(spark, sf), bar_cells(m), market_cells(m), basic_cells(m)]
     return _rounded_summary(D.overview(groups))

@@ -205,7 +205,8 @@ _VIEWS = "bars_d listing calendar suspend"
 
 
 def run_backtest(spark, sf, strategy=None, freq="monthly"):
-    b = stage(bars_d(spark, sf).select("ts_code", "trade_date", "close", "adj_factor", "up_limit", "down_limit", "vol"))
+    m = market(spark, sf, bars=True)
+    b = m.bars.select("ts_code", "trade_date", "close", "adj_factor", "up_limit", "down_limit", "vol")
     c = F.col("close") * F.coalesce(F.col("adj_factor"), F.lit(1.0))
     wide = b.select(
         "ts_code",
@@ -214,7 +215,7 @@ def run_backtest(spark, sf, strategy=None, freq="monthly"):
         F.when(F.col("vol").cast("long") % 4 != 0, F.col("vol")).alias("volume"),
     )
     return backtest.Backtest(
-        b, wide, listing(spark, sf), calendar(spark, sf), suspend(spark, sf),
+        b, wide, m.listing, m.calendar, m.suspend,
         strategy or backtest.SingleFactor("mom5", 3), _START, _END, freq,
     )
 

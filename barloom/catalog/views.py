@@ -260,8 +260,8 @@ class Market:
     bars: DataFrame | None
 
 
-def market(spark: SparkSession, sf: str, bars: bool = False) -> Market:
-    dealt = [F.count_if(source_class() == i).alias(f"s{i}") for i in range(SOURCE_CLASSES)]
+def market(spark: SparkSession, sf: str, bars: bool = False, sources: bool = False) -> Market:
+    dealt = [F.count_if(source_class() == i).alias(f"s{i}") for i in range(SOURCE_CLASSES if sources else 0)]
     by = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("d"))
     days = stage(by.agg(_notices(), *dealt, *(_bar_measures() if bars else [])))
     known = stage(listing(spark, sf, days)), stage(calendar(spark, sf, days))

@@ -26,13 +26,10 @@ def holdings_delta(holdings: DataFrame, rates: CostRates = CostRates()) -> DataF
     holdings: rebalance_no, group_id, ts_code, weight. A code without a current weight was sold; what was held
     before a rebalance is what the one numbered just before it holds. Changes below 1e-12 are none.
     """
-    now = holdings.select("rebalance_no", "group_id", "ts_code", F.col("weight").alias("_now"))
-    before = holdings.select(
-        (F.col("rebalance_no") + 1).alias("rebalance_no"), "group_id", "ts_code", F.col("weight").alias("_before")
-    )
-    d = now.join(before, ["rebalance_no", "group_id", "ts_code"], "full").withColumn(
-        "delta_weight", F.coalesce("_now", F.lit(0.0)) - F.coalesce("_before", F.lit(0.0))
-    )
+    none, keys = F.lit(0.0), ("group_id", "ts_code")
+    now = holdings.select("rebalance_no", *keys, F.col("weight").alias("_now"), none.alias("_before"))
+    before = holdings.select((F.col("rebalance_no") + 1).alias("rebalance_no"), *keys, none.alias("_now"), F.col("weight").alias("_before"))
+    d = now.unionByName(before).groupBy("rebalance_no", *keys).agg((F.sum("_now") - F.sum("_before")).alias("delta_weight"))
     return d.where(F.abs("delta_weight") >= 1e-12).select(
         "rebalance_no", "group_id", "ts_code", "delta_weight", trade_cost(F.col("delta_weight"), rates).alias("cost")
     )

@@ -74,17 +74,21 @@ def open_dates(calendar: DataFrame, start: str | None = None, end: str | None =
     return c.select(F.col("cal_date").alias("trade_date"))
 
 
-def last_of_period(opens: DataFrame, freq: str = "monthly") -> DataFrame:
-    """Last open day of every month or ISO week: (period, trade_date)."""
+def period_of(day: Column, freq: str) -> Column:
+    """The month or ISO week of a day."""
     if freq == "weekly":
-        d = to_day(F.col("trade_date"))
+        d = to_day(day)
         # The ISO year is the year of the week's Thursday.
         thursday = F.date_add(F.trunc(d, "week"), 3)
-        period = F.concat(F.date_format(thursday, "yyyy"), F.lpad(F.weekofyear(d).cast("string"), 2, "0"))
-    elif freq == "monthly":
-        period = F.substring("trade_date", 1, 6)
-    else:
-        raise ValueError(f"unknown frequency: {freq}")
+        return F.concat(F.date_format(thursday, "yyyy"), F.lpad(F.weekofyear(d).cast("string"), 2, "0"))
+    if freq == "monthly":
+        return F.substring(day, 1, 6)
+    raise ValueError(f"unknown frequency: {freq}")
+
+
+def last_of_period(opens: DataFrame, freq: str = "monthly") -> DataFrame:
+    """Last open day of every month or ISO week: (period, trade_date)."""
+    period = period_of(F.col("trade_date"), freq)
     return opens.groupBy(period.alias("period")).agg(F.max("trade_date").alias("trade_date"))
 
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from functools import cached_property
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import simple_return
@@ -112,6 +112,48 @@ def period_returns(rets: DataFrame, days: DataFrame) -> DataFrame:
     return r.groupBy("trade_date", "rebalance_no", "ts_code").agg((F.product(F.lit(1.0) + F.col("ret")) - 1.0).alias("period_return"))
 
 
+@dataclass(frozen=True)
+class Schedule:
+    """The open days of a run and its rebalance dates, in order. A calendar is some 250 days a year, so the driver holds it,
+    and what depends on days alone is planned from literals and small local tables."""
+
+    spark: SparkSession
+    opens: list[str]
+    dates: list[str]
+
+    @staticmethod
+    def of(opens: DataFrame, freq: str) -> Schedule:
+        rows = opens.select("trade_date", spine.period_of(F.col("trade_date"), freq).alias("period")).distinct().collect()
+        last: dict[str, str] = {}
+        for r in rows:
+            last[r.period] = max(r.trade_date, last.get(r.period, ""))
+        return Schedule(opens.sparkSession, sorted({r.trade_date for r in rows}), sorted(last.values()))
+
+    @property
+    def opening(self) -> list[str]:
+        """The dates that open a period; the last one only closes the one before."""
+        return self.dates[:-1]
+
+    def number(self, day: Column) -> Column:
+        """The number of the period that a rebalance date opens, from 1."""
+        return F.array_position(F.lit(self.opening), day).cast("long")
+
+    def rebalances(self) -> DataFrame:
+        rows = [(d, i, n) for i, (d, n) in enumerate(zip(self.dates, self.dates[1:]), 1)]
+        return self.spark.createDataFrame(rows, "trade_date string, rebalance_no long, next_date string")
+
+    def days(self) -> DataFrame:
+        """Every open day with the period it belongs to, as `holding_days` gives it."""
+        rows, at, in_period = [], 0, 0
+        for day in self.opens:
+            if at < len(self.dates) and at and day <= self.dates[at]:
+                in_period += 1
+                rows.append((self.dates[at - 1], at, day, in_period))
+            if at < len(self.dates) and day == self.dates[at]:
+                at, in_period = at + 1, 0
+        return self.spark.createDataFrame(rows, "trade_date string, rebalance_no long, day string, day_no int")
+
+
 # Columns that a run reads of the bars.
 BAR_COLUMNS = ("ts_code", "trade_date", "close", "adj_factor", "up_limit", "down_limit")
 
@@ -147,9 +189,9 @@ class Backtest:
         self.factors, self.listing, self.suspend = factors, listing, suspend
         self.strategy, self.freq, self.rates = strategy, freq, rates
         self.bars = bars.where(F.col("trade_date").between(start, end))
-        self.opens = stage(spine.open_dates(calendar, start, end))
+        self.schedule = Schedule.of(spine.open_dates(calendar, start, end), freq)
         self.groups = [f"G{i}" for i in range(strategy.n_groups)]
-        if spine.last_of_period(self.opens, freq).limit(2).count() < 2:
+        if len(self.schedule.dates) < 2:
             raise ValueError(f"fewer than two rebalances from {start} to {end}")
         if self.bars.isEmpty():
             raise ValueError(f"no bars from {start} to {end}")
@@ -157,45 +199,47 @@ class Backtest:
     @cached_property
     def rebalances(self) -> DataFrame:
         """(trade_date, rebalance_no, next_date) of the dates that open a period."""
-        dates = spine.last_of_period(self.opens, self.freq).select("trade_date")
-        return numbered(dates).where(F.col("next_date").isNotNull())
+        return self.schedule.rebalances()
 
     @cached_property
     def days(self) -> DataFrame:
-        return holding_days(spine.last_of_period(self.opens, self.freq).select("trade_date"), self.opens)
+        return self.schedule.days()
 
     @cached_property
     def rets(self) -> DataFrame:
-        return stage(daily_returns(self.bars))
+        return daily_returns(self.bars)
 
     @cached_property
     def cross(self) -> DataFrame:
         """Cross-sections of the rebalance dates: rows that have the first factor."""
-        at = self.factors.join(self.rebalances.select("trade_date", "rebalance_no"), "trade_date")
+        day = F.col("trade_date")
+        at = self.factors.where(day.isin(self.schedule.opening)).withColumn("rebalance_no", self.schedule.number(day))
         return stage(at.where(F.col(self.strategy.factors[0]).isNotNull()))
 
     @cached_property
     def used(self) -> DataFrame:
-        """Rebalances with a cross-section; a change after one without is no sale and no trade."""
-        return self.cross.select("trade_date", "rebalance_no").distinct()
+        """Rebalances with a cross-section; a change after one without is no sale and no trade. As many as the calendar has."""
+        rows = self.cross.select("trade_date", "rebalance_no").distinct().collect()
+        return self.schedule.spark.createDataFrame(rows, "trade_date string, rebalance_no long")
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Scores over the whole cross-section, then the investable part of it."""
-        return stage(universe.investable(self.strategy.scores(self.cross), self.listing, self.suspend))
+        """Scores over the whole cross-section, then the investable part of it. Only notices of rebalance dates are read."""
+        notices = self.suspend.where(F.col("trade_date").isin(self.schedule.opening))
+        return stage(universe.investable(self.strategy.scores(self.cross), self.listing, notices))
 
     @cached_property
     def held(self) -> DataFrame:
         hit = limit_hit(F.col("close"), F.col("up_limit"), F.col("down_limit"))
-        blocked = self.bars.where(hit).select("ts_code", "trade_date")
-        blocked = blocked.join(self.rebalances.select("trade_date"), "trade_date", "left_semi")
+        day = F.col("trade_date")
+        blocked = self.bars.where(day.isin(self.schedule.opening) & hit).select("ts_code", "trade_date")
         targets = self.strategy.weights(self.scored).join(blocked, ["ts_code", "trade_date"], "left_anti")
-        return stage(portfolio.renormalise(targets).join(self.rebalances.select("trade_date", "rebalance_no"), "trade_date"))
+        return stage(portfolio.renormalise(targets).withColumn("rebalance_no", self.schedule.number(day)))
 
     @cached_property
     def changes(self) -> DataFrame:
         deltas = portfolio.holdings_delta(self.held.select("rebalance_no", "group_id", "ts_code", "weight"), self.rates)
-        return stage(deltas.join(self.used, "rebalance_no"))
+        return deltas.join(self.used, "rebalance_no")
 
     @cached_property
     def by_group(self) -> DataFrame:
@@ -241,14 +285,10 @@ def group_returns(held: DataFrame, rets: DataFrame, days: DataFrame, by_group: D
     )
     earned = (
         placed.join(held.select("rebalance_no", "group_id", "ts_code", "weight"), ["rebalance_no", "ts_code"])
-        .groupBy("day", "group_id")
-        .agg(F.sum(F.col("weight") * F.col("ret")).alias("r"))
         .groupBy("day")
-        .pivot("group_id", groups)
-        .agg(F.first("r"))
+        .agg(*[F.sum(F.when(F.col("group_id") == g, F.col("weight") * F.col("ret"))).alias(g) for g in groups])
     )
-    costs = by_group.groupBy("rebalance_no").pivot("group_id", groups).agg(F.first("cost"))
-    costs = costs.select("rebalance_no", *[F.col(g).alias(f"_c_{g}") for g in groups])
+    costs = by_group.groupBy("rebalance_no").agg(*[F.max(F.when(F.col("group_id") == g, F.col("cost"))).alias(f"_c_{g}") for g in groups])
     frame = (
         days.join(used.select("rebalance_no"), "rebalance_no", "left_semi")
         .select("rebalance_no", "day", "day_no")
