@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.catalog.registry import query
 from barloom.catalog.rolling import panel as derived_panel
 from barloom.catalog.views import bars_m, with_views
-from barloom.operators import ordering, portfolio, xsection
+from barloom.operators import ordering, portfolio, sliding, xsection
 from barloom.session import stage
 
 _X = """& p AS (SELECT ts_code, trade_date, close * adj_factor AS x, vol AS y, close, up_limit, down_limit FROM bars_m)
@@ -66,9 +66,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    from barloom.functions.rolling import ts_rank
-
-    return derived_panel(spark, sf).select("ts_code", "trade_date", F.round(ts_rank(F.col("y"), 10), 6).alias("value"))
+    ranked = sliding.sliding(derived_panel(spark, sf), [sliding.Sliding("value", "rank", "y", 10)])
+    return ranked.select("ts_code", "trade_date", F.round("value", 6).alias("value"))
 
 
 @query(

@@ -12,7 +12,7 @@ from barloom.catalog.registry import query
 from barloom.catalog.views import bars_d, bars_m, calendar, with_views
 from barloom.functions import rolling as ts
 from barloom.functions.scalars import adjusted
-from barloom.operators import ewm, gaps, ordering, series
+from barloom.operators import ewm, gaps, ordering, prefix, series, sliding
 
 _P = """& p AS (SELECT ts_code, trade_date, close * adj_factor AS x, vol AS y, close * coalesce(adj_factor, 1.0) AS c,
        open, high, low FROM bars_m)
@@ -53,6 +53,23 @@ def _register(name: str, build, sql: str, digits: int | None = 6) -> None:
     query(name, with_views("bars_m", f"{_P} SELECT ts_code, trade_date, {value} AS value FROM p"))(run)
 
 
+def _register_columns(name: str, build, sql: str, digits: int = 6) -> None:
+    """The same for operators that add the column `value` to the panel."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return build(panel(spark, sf)).select("ts_code", "trade_date", F.round("value", digits).alias("value"))
+
+    query(name, with_views("bars_m", f"{_P} SELECT ts_code, trade_date, round({sql}, {digits}) AS value FROM p"))(run)
+
+
+def _slide(kind: str, x: str, d: int):
+    return lambda p: sliding.sliding(p, [sliding.Sliding("value", kind, x, d)])
+
+
+def _weigh(kind: str, x: str, d: int):
+    return lambda p: prefix.weighted(p, [prefix.Weighted("value", kind, x, d)])
+
+
 def _lag(x: str, k: int) -> str:
     return x if k == 0 else f"lag({x}, {k}) {_w()}"
 
@@ -82,16 +99,21 @@ _register("w2_delta", lambda x, y, c: ts.delta(x, 3), f"x - lag(x, 3) {_w()}", N
 _register("w3_sum", lambda x, y, c: ts.ts_sum(x, 6), _full(f"sum(x) {_w(6)}", "x", 6))
 _register("w4_mean", lambda x, y, c: ts.ts_mean(x, 6), _full(f"avg(x) {_w(6)}", "x", 6))
 _register("w5_std", lambda x, y, c: ts.ts_std(x, 5), _full(f"stddev_samp(x) {_w(5)}", "x", 5))
+# Short windows are a sum of lags, term by term as in SQL; long ones come from prefix moments.
 _register("w7_wma", lambda x, y, c: ts.wma(x, 5), _wma("x", 5))
-_register("w7b_decay_linear", lambda x, y, c: ts.decay_linear(c, 8), _wma("c", 8))
+_register_columns("w7b_decay_linear", _weigh("wma", "c", 8), _wma("c", 8))
+_register_columns("w7c_wma_long", _weigh("wma", "c", 60), _wma("c", 60))
 _register("w8_ts_max", lambda x, y, c: ts.ts_max(x, 6), _full(f"max(x) {_w(6)}", "x", 6), None)
 _register("w8b_ts_min", lambda x, y, c: ts.ts_min(x, 6), _full(f"min(x) {_w(6)}", "x", 6), None)
-_register(
-    "w9_ts_rank",
-    lambda x, y, c: ts.ts_rank(x, 8),
-    f"CASE WHEN count(*) {_w(8)} = 8 AND x IS NOT NULL THEN "
-    f"CAST(len(list_filter({_list('x', 8)}, lambda v: v <= x)) AS DOUBLE) / len({_list('x', 8)}) END",
-)
+def _share(x: str, d: int) -> str:
+    return (
+        f"CASE WHEN count(*) {_w(d)} = {d} AND {x} IS NOT NULL THEN "
+        f"CAST(len(list_filter({_list(x, d)}, lambda v: v <= {x})) AS DOUBLE) / len({_list(x, d)}) END"
+    )
+
+
+_register_columns("w9_ts_rank", _slide("rank", "x", 8), _share("x", 8))
+_register_columns("w9b_ts_rank_long", _slide("rank", "x", 60), _share("x", 60))
 _register("w10_corr", lambda x, y, c: ts.ts_corr(x, y), _full(f"corr(x, y) {_w(6)}", _PAIR, 6))
 _register("w11_cov", lambda x, y, c: ts.ts_cov(x, y, 6), _full(f"covar_samp(x, y) {_w(6)}", _PAIR, 6), 4)
 _register(
@@ -104,14 +126,15 @@ _register(
     lambda x, y, c: ts.ts_sumif(y, 5, x > 3000),
     _full(f"sum(CASE WHEN x > 3000 THEN y ELSE 0.0 END) {_w(5)}", "CASE WHEN x > 3000 THEN y ELSE 0.0 END", 5),
 )
-_register("w14_high_day", lambda x, y, c: ts.high_day(y, 7), _days("y", 7, "max"))
-_register("w14b_low_day", lambda x, y, c: ts.low_day(x, 7), _days("x", 7, "min"))
+_register_columns("w14_high_day", _slide("high_day", "y", 7), _days("y", 7, "max"))
+_register_columns("w14b_low_day", _slide("low_day", "x", 7), _days("x", 7, "min"))
 _register(
     "w15_reg_beta",
     lambda x, y, c: ts.reg_beta(x, y, 8),
     f"CASE WHEN count(*) {_w(8)} = 8 AND count({_PAIR}) {_w(8)} >= 4 THEN regr_slope(x, y) {_w(8)} END",
 )
 _register("w16_reg_beta_seq", lambda x, y, c: ts.reg_beta_seq(x, 6), _seq("x", 6))
+_register_columns("w16b_reg_beta_seq_long", _weigh("slope", "x", 30), _seq("x", 30), 4)
 _register(
     "w17_prod",
     lambda x, y, c: ts.ts_prod(x / 3000.0 - 0.1, 4),
