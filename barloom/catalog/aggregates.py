@@ -26,6 +26,7 @@ from barloom.catalog.views import (
     ymd,
 )
 from barloom.operators import completeness, portfolio, profile, registry, series, spine, universe
+from barloom.session import scratch_path
 
 # ── counts ───────────────────────────────────────────────────────────────
 
@@ -284,6 +285,30 @@ def _(spark, sf):
     return completeness.peak_universe(landing(spark, sf), "trade_date", "20240120")
 
 
+@query(
+    "a11b_sketched_universe",
+    with_views(
+        "landing",
+        """SELECT 'day' AS unit, trade_date AS key, count(DISTINCT ts_code) AS n_codes, true AS within FROM landing GROUP BY 2
+        UNION ALL SELECT 'month', substr(trade_date, 1, 6), count(DISTINCT ts_code), true FROM landing GROUP BY 2
+        UNION ALL SELECT 'year', substr(trade_date, 1, 4), count(DISTINCT ts_code), true FROM landing GROUP BY 2""",
+    ),
+)
+def _(spark, sf):
+    """Stored daily sketches merge to months and years; each estimate lies within four standard errors of the exact count."""
+    la = landing(spark, sf).select("ts_code", "trade_date")
+    path = scratch_path(spark, "sketches")
+    completeness.daily_sketches(la, "trade_date").write.parquet(path)
+    stored, parts = spark.read.parquet(path), []
+    for unit, n in (("day", 8), ("month", 6), ("year", 4)):
+        key = F.substring("trade_date", 1, n)
+        estimate = completeness.sketched_counts(completeness.merged_sketches(stored, key, "key")).withColumnRenamed("n_codes", "_e")
+        exact = la.select(key.alias("key"), "ts_code").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_codes"))
+        bound = 4 * 1.04 / 2 ** (completeness.SKETCH_LG / 2) * F.col("n_codes") + 1
+        parts.append(exact.join(estimate, "key").select(F.lit(unit).alias("unit"), "key", "n_codes", (F.abs(F.col("_e") - F.col("n_codes")) <= bound).alias("within")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "a12_macro_scan",
     with_views(

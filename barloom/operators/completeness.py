@@ -16,6 +16,8 @@ from barloom.session import stage
 
 # Fixed value: default completeness threshold.
 THRESHOLD = 0.95
+# Fixed value: buckets of a sketch, as a power of two; a standard error of 0.8 %.
+SKETCH_LG = 14
 
 
 def count_by_key(df: DataFrame, date_col: str, key: str = "date_key", distinct: list[str] | None = None) -> DataFrame:
@@ -127,6 +129,26 @@ def peak_universe(df: DataFrame, day: str, end: str) -> DataFrame:
     return pairs.groupBy(day).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("peak"))
 
 
+def daily_sketches(df: DataFrame, day: str, code: str = "ts_code", lg: int = SKETCH_LG) -> DataFrame:
+    """(day, sketch): the day's codes as a mergeable HyperLogLog sketch of 2 ** lg buckets, to be stored beside the day."""
+    return df.groupBy(day).agg(F.hll_sketch_agg(code, lg).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: Column, out: str) -> DataFrame:
+    """(out, sketch): stored sketches united by a coarser key, such as the month or the year of their day."""
+    return sketches.groupBy(by.alias(out)).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_counts(sketches: DataFrame) -> DataFrame:
+    """The estimated number of distinct codes in place of the sketch. The standard error is 1.04 / sqrt(2 ** lg)."""
+    return sketches.withColumn("n_codes", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
+def peak_universe_estimate(sketches: DataFrame, day: str, end: str) -> DataFrame:
+    """`peak_universe` from stored sketches: days only, no codes."""
+    return sketched_counts(sketches.where(F.col(day) <= end)).agg(F.max("n_codes").alias("peak"))
+
+
 def metric(count: Column, expected: Column, threshold: Column, has_snapshot: Column) -> dict[str, Column]:
     """Dashboard cell: ratio and is_complete. A threshold of 0 is always complete; no snapshot is incomplete."""
     free = threshold <= 0
