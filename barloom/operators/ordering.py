@@ -7,6 +7,9 @@ of the buckets before it. Sample and cuts are functions of the data only, so a r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,18 +172,73 @@ def quantile_groups(df: DataFrame, value: str, groups: int, by: list[str], tie:
     )
 
 
-def nearest_rank_quantiles(df: DataFrame, value: str, by: list[str], probs: dict[str, float], tie: str = "ts_code", **kw) -> DataFrame:
+# Bins of a value range at a time, and values of one group that are put in order at the end of a selection.
+_BINS = 4_096
+_LEFT = 4_096
+
+
+def _magnitude(x: Column) -> Column:
+    """A bin that keeps the order of doubles: by sign, then by the power of two below the absolute value; the infinities
+    and NaN have bins of their own."""
+    power = F.floor(F.log2(F.abs(x))) + 1_100
+    sized = F.when(x > 0, power).when(x < 0, -power).otherwise(0)
+    return F.when(F.isnan(x), 9_999).when(x == float("inf"), 9_998).when(x == float("-inf"), -9_998).otherwise(sized).cast("int")
+
+
+def _holding(bins: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """The targets with the one bin that holds their index: its bounds, its count, and the index within it. A group has
+    some thousand bins at most."""
+    order = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = bins.withColumn("_upto", F.sum("_c").over(order))
+    met = join_by(targets, placed, by)
+    before = F.col("_upto") - F.col("_c")
+    return met.where((before <= F.col("_i")) & (F.col("_i") < F.col("_upto"))).withColumn("_i", F.col("_i") - before)
+
+
+def selected(df: DataFrame, value: str, by: list[str], picks: dict[str, Callable[[Column], Column]], rows_per_task: int = _LEFT) -> DataFrame:
+    """Per group the count of its values and, for each of `picks`, the value at an index of their ascending order: the pick
+    maps the count to the index (from 0). Nulls are no values; both zeros are one, NaN is the greatest.
+
+    No group is put in order. Values are counted by magnitude, map-side; the bin that holds an index is counted again by
+    even parts of its range, and so on until it is of one value or has `rows_per_task` values at most, which are put in order. Each
+    round reads the values once and tells the driver one number; a range shrinks by thousands each round, so there are few.
+    """
+    x = F.col("_x")
+    values = df.select(*by, _clean(F.col(value).cast("double")).alias("_x")).where(x.isNotNull())
+    bounds = [F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
+    bins = stage(values.groupBy(*by, _magnitude(x).alias("_bin")).agg(*bounds))
+    counts = bins.groupBy(*by).agg(F.sum("_c").alias("count"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("_pick"), f(F.col("count")).cast("long").alias("_i")) for n, f in picks.items()]))
+    targets = counts.select(*by, wanted.alias("_t")).select(*by, "_t.*")
+    held = stage(_holding(bins, targets, by).drop("_bin", "_upto"))
+    done = []
+    one = (F.col("_lo") == F.col("_hi")) | F.col("_lo").eqNullSafe(F.col("_hi"))
+    while True:
+        done.append(held.where(one).select(*by, "_pick", F.col("_lo").alias("_v")))
+        wide = held.where(~one)
+        most = wide.agg(F.max("_c")).first()[0] or 0
+        if most <= rows_per_task:
+            break
+        ranges = wide.select(*by, "_lo", "_hi").distinct()
+        inside = join_by(values, ranges, by).where((x >= F.col("_lo")) & (x <= F.col("_hi")))
+        part = F.least(F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _BINS), F.lit(_BINS - 1)).cast("int")
+        bins = inside.groupBy(*by, F.col("_lo").alias("_from"), F.col("_hi").alias("_to"), part.alias("_bin")).agg(*bounds)
+        targets = wide.select(*by, F.col("_lo").alias("_from"), F.col("_hi").alias("_to"), "_pick", "_i")
+        held = stage(_holding(bins, targets, [*by, "_from", "_to"]).select(*by, "_pick", "_i", "_c", "_lo", "_hi"))
+    if most:
+        # At most `rows_per_task` values a group and pick are put in order.
+        inside = join_by(values, wide, by).where((x >= F.col("_lo")) & (x <= F.col("_hi")))
+        ordered = inside.groupBy(*by, "_pick", "_i").agg(F.sort_array(F.collect_list("_x")).alias("_v"))
+        done.append(ordered.select(*by, "_pick", F.get("_v", F.col("_i").cast("int")).alias("_v")))
+    found = reduce(DataFrame.unionByName, done).groupBy(*by).agg(*[F.max(F.when(F.col("_pick") == n, F.col("_v"))).alias(n) for n in picks])
+    return join_by(counts, found, by, "left")
+
+
+def nearest_rank_quantiles(df: DataFrame, value: str, by: list[str], probs: dict[str, float], rows_per_task: int = _LEFT) -> DataFrame:
     """Per group the count and the values at index round_half_even((n - 1) * p) of the ascending order."""
-    present = df.where(F.col(value).isNotNull())
-    placed = _placed(present.select(*by, value, tie), by, [F.col(value), F.col(tie)], "_pos", "count", **kw)
-    picks = [
-        F.max(F.when(F.col("_pos") - 1 == F.rint((F.col("count") - 1) * p), F.col(value))).alias(n) for n, p in probs.items()
-    ]
-    return placed.groupBy(*by).agg(F.max("count").alias("count"), *picks)
+    return selected(df, value, by, {n: lambda c, p=p: F.rint((c - 1) * p) for n, p in probs.items()}, rows_per_task)
 
 
-def upper_median(df: DataFrame, value: str, by: list[str], tie: str = "ts_code", **kw) -> DataFrame:
+def upper_median(df: DataFrame, value: str, by: list[str], rows_per_task: int = _LEFT) -> DataFrame:
     """Per group the element at index n // 2 of the ascending order."""
-    present = df.where(F.col(value).isNotNull())
-    placed = _placed(present.select(*by, value, tie), by, [F.col(value), F.col(tie)], "_pos", "_n", **kw)
-    return placed.where(F.col("_pos") - 1 == F.floor(F.col("_n") / 2)).select(*by, F.col(value).alias("median"))
+    return selected(df, value, by, {"median": lambda c: F.floor(c / 2)}, rows_per_task).drop("count")

@@ -1,5 +1,6 @@
 """Order inside a cross-section, with the group in one task and cut into buckets."""
 
+import math
 import random
 
 import pytest
@@ -135,3 +136,32 @@ def test_null_groups_and_odd_values_at_every_size(spark, monkeypatch, size, cuts
     assert ordering.average_rank(df, "x", by, "r", rows_per_task=size).where("trade_date is null and r is not null").count() > 90
     stats = ordering.with_group_stats(df, by, {"n": F.count(F.lit(1))})
     assert {r.n for r in stats.collect()} == {120}
+
+
+@pytest.mark.parametrize("left", [1, 7, 4_096])
+def test_selection_against_a_sort(spark, left):
+    rng = random.Random(left)
+    odd = [None, 0.0, -0.0, float("nan"), float("inf"), float("-inf"), 5e-324, -5e-324, 1e308, -1e308, 1.0, 1.0 + 2**-52]
+    rows = [(g, rng.choice(odd) if rng.random() < 0.3 else rng.choice([rng.gauss(0, 1), rng.uniform(-1e6, 1e6), float(rng.randint(0, 3))]))
+            for g in ("a", "b", None) for _ in range(400)]
+    rows += [("one", 3.0), ("none", None), ("same", 2.0), ("same", 2.0), ("zeros", -0.0), ("zeros", 0.0)] + [("hot", 7.0)] * 500
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
+    got = {r.g: r for r in ordering.nearest_rank_quantiles(df, "x", ["g"], probs, rows_per_task=left).collect()}
+    mid = {r.g: r.median for r in ordering.upper_median(df, "x", ["g"], rows_per_task=left).collect()}
+    held = {}
+    for g, x in rows:
+        if x is not None:
+            held.setdefault(g, []).append(x)
+    assert set(got) == set(mid) == set(held)
+    for g, xs in held.items():
+        xs.sort(key=lambda v: (math.isnan(v), 0.0 if math.isnan(v) else v))
+        same = lambda a, b: (math.isnan(a) and math.isnan(b)) or a == b
+        assert got[g]["count"] == len(xs) and same(mid[g], xs[len(xs) // 2])
+        assert all(same(got[g][n], xs[round((len(xs) - 1) * p)]) for n, p in probs.items()), g
+
+
+def test_selection_puts_no_group_in_order(spark):
+    df = spark.range(20_000).selectExpr("'d' g", "cast(pow(1.001, id % 9973) as double) x")
+    plan = ordering.upper_median(df, "x", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "x#" not in "".join(line for line in plan.splitlines() if "Sort [" in line or "Window [" in line)
