@@ -24,7 +24,7 @@ from barloom.plans import alphas, backtest, completeness_jobs, detail, export_ga
 from barloom.session import scratch_path, stage
 from barloom.sources import bars as B
 from barloom.sources import sinks
-from barloom.sources.contracts import Contract
+from barloom.sources.contracts import REPORT_INCOME, Contract
 
 # ── panel, factors, alphas ───────────────────────────────────────────────
 
@@ -588,6 +588,36 @@ def _(spark, sf):
     return out.select("ts_code", "end_date", "f_ann_date", "report_type", "total_revenue", "income_table", "diff_class")
 
 
+_STORED_REPORTS_SQL = f"""& li AS (SELECT r.*, {F_ANN_SQL} AS f_ann_date FROM reports r JOIN companies l ON l.ts_code = r.ts_code AND {LISTED_SQL.format(l='l', d='r.end_date')}),
+  pk1 AS (SELECT *, {DOC_SQL} AS income_table FROM li WHERE ordinal % 2 = 0
+     QUALIFY row_number() OVER (PARTITION BY ts_code, end_date ORDER BY (update_flag = '1') DESC, f_ann_date DESC, ordinal) = 1),
+  pk2 AS (SELECT *, {DOC_SQL} AS income_table FROM li
+     QUALIFY row_number() OVER (PARTITION BY ts_code, end_date ORDER BY (update_flag = '1') DESC, f_ann_date DESC, ordinal) = 1),
+  st AS (SELECT * FROM pk2 UNION ALL SELECT * FROM pk1 ANTI JOIN pk2 USING (ts_code, end_date, f_ann_date, update_flag))
+"""
+
+
+@query(
+    "c13b_report_store",
+    with_views(
+        "reports companies",
+        _STORED_REPORTS_SQL
+        + """SELECT ts_code, end_date, ann_date, f_ann_date, 'merge_now' AS report_type, update_flag, total_revenue, income_table,
+          substr(end_date, 1, 6) AS dt, CAST(0 AS BIGINT) AS changed_again FROM st""",
+    ),
+)
+def _(spark, sf):
+    """The stored table after a load of half of the versions, one of all, and the same again, which changes nothing."""
+    final = F.date_add(F.to_date("end_date", "yyyyMMdd"), (F.col("ordinal") * 7 % 83).cast("int"))
+    landed = landed_reports(spark, sf).withColumns({"report_type": F.lit("1"), "f_ann_date": F.date_format(final, "yyyyMMdd")})
+    path, known = scratch_path(spark, "report_income"), companies(spark, sf)
+    for rows in (landed.where("ordinal % 2 = 0"), landed):
+        loads.load_reports_into(path, rows, known, REPORT_INCOME, "income_table")
+    again = loads.load_reports_into(path, landed, known, REPORT_INCOME, "income_table")
+    changed = F.coalesce(again.where("diff_class != 'skip'").agg(F.sum("n_rows")).scalar(), F.lit(0))
+    return loads.read_stored(spark, path, REPORT_INCOME).withColumn("changed_again", changed)
+
+
 CLOSES = Contract("closes", ("ts_code", "trade_date"), "ts_code string, trade_date string, close double, vol double")
 
 
@@ -618,6 +648,23 @@ def _(spark, sf):
     )
 
 
+@query(
+    "c14d_load_columns",
+    with_views(
+        "bars_d",
+        """SELECT ts_code, trade_date, CASE WHEN CAST(vol AS BIGINT) % 7 <> 0 THEN close END AS close, CASE WHEN CAST(vol AS BIGINT) % 3 = 0 THEN vol + 1 WHEN CAST(vol AS BIGINT) % 7 <> 0 THEN vol END AS vol,
+          substr(trade_date, 1, 6) AS dt FROM bars_d WHERE CAST(vol AS BIGINT) % 7 <> 0 OR CAST(vol AS BIGINT) % 3 = 0""",
+    ),
+)
+def _(spark, sf):
+    """A load of one column: closes that are stored stay, new rows have none."""
+    b = bars_d(spark, sf).select("ts_code", "trade_date", "close", "vol")
+    v, path = F.col("vol").cast("long"), scratch_path(spark, "closes")
+    loads.load_into(path, b.where(v % 7 != 0), CLOSES)
+    loads.load_into(path, b.where(v % 3 == 0).select("ts_code", "trade_date", (F.col("vol") + 1).alias("vol")), CLOSES, ["vol"])
+    return loads.read_stored(spark, path, CLOSES)
+
+
 @query(
     "c14_bar_load",
     with_views(

@@ -9,6 +9,7 @@ from barloom.catalog.views import bars_d, bars_m, calendar, landing, listing, su
 from barloom.functions.scalars import limit_hit
 from barloom.operators import filters, gaps, spine, universe
 from barloom.sources import contracts
+from barloom.sources.tables import CONTRACTS
 
 _LISTED = "list_date IS NOT NULL AND list_date <> '' AND list_date <= {d} AND (delist_date IS NULL OR delist_date = '' OR delist_date > {d})"
 LIMIT_SQL = "(coalesce(close >= up_limit * 0.999::DOUBLE, false) OR coalesce(close <= down_limit * 1.001::DOUBLE, false))"
@@ -185,3 +186,42 @@ def _(spark, sf):
     fixed = spark.createDataFrame([("000300.SH",), ("399006.SZ",)], "ts_code string")
     composite = listing(spark, sf).where(F.col("exchange").isin("SSE", "SZSE") & (F.col("market") == "主板")).select("ts_code")
     return fixed.union(composite).distinct().orderBy("ts_code")
+
+
+_TIGER_NUMBERS = ("close", "pct_change", "turnover_rate", "amount", "l_sell", "l_buy", "l_amount", "net_amount", "net_rate", "amount_rate")
+
+
+@query(
+    "p11c_dragon_tiger_contract",
+    with_views(
+        "landing",
+        f"""SELECT trade_date, ts_code, CAST(NULL AS VARCHAR) AS name, CASE WHEN ordinal % 4 <> 0 THEN source END AS reason,
+          {", ".join(f"CASE WHEN ordinal % 3 <> 0 THEN value END AS {c}" if c == "amount" else f"CAST(NULL AS DOUBLE) AS {c}" for c in _TIGER_NUMBERS)},
+          value AS float_value FROM landing WHERE ordinal % 11 <> 0""",
+    ),
+)
+def _(spark, sf):
+    """A vendor's page under its own names: a renamed column, days with dashes and without, numbers as text, texts for nothing."""
+    k = F.col("ordinal")
+    page = landing(spark, sf).select(
+        F.concat(F.lit(" "), F.col("ts_code"), F.lit(" ")).alias("ts_code"),
+        F.when(k % 11 == 0, F.lit("2024-1")).when(k % 2 == 0, F.date_format(F.to_date("trade_date", "yyyyMMdd"), "yyyy-MM-dd")).otherwise(F.col("trade_date")).alias("trade_date"),
+        F.when(k % 4 == 0, F.lit("None")).otherwise(F.col("source")).alias("reason"),
+        F.when(k % 3 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("amount"),
+        F.col("value").alias("float_values"),
+        F.lit("x").alias("vendor_extra"),
+    )
+    return contracts.conform(page, CONTRACTS["market_dragon_tiger_list"])
+
+
+@query(
+    "p11d_suspension_contract",
+    with_views(
+        "suspend",
+        """SELECT ts_code, trade_date, coalesce(suspend_timing, '') AS suspend_timing, suspend_type FROM suspend WHERE suspend_type = 'S' OR trade_date < '1997'""",
+    ),
+)
+def _(spark, sf):
+    """Types in small letters are stored in capitals; rows of other types go."""
+    kind = F.when((F.col("suspend_type") == "S") | (F.col("trade_date") < "1997"), F.lower("suspend_type")).otherwise(F.lit("x"))
+    return contracts.conform(suspend(spark, sf).withColumn("suspend_type", kind), CONTRACTS["stock_suspend"])

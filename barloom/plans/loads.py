@@ -46,22 +46,26 @@ def read_stored(spark: SparkSession, path: str, contract: Contract) -> DataFrame
         return spark.createDataFrame([], f"{contract.columns}, dt string")
 
 
-def load_into(path: str, incoming: DataFrame, contract: Contract) -> DataFrame:
+def load_into(path: str, incoming: DataFrame, contract: Contract, columns: list[str] | None = None, json_columns: tuple[str, ...] = ()) -> DataFrame:
     """Load rows into the month-partitioned table at `path`: normalise, refuse doubled keys, compare with what is stored,
     and write the months in which something changes, whole. Returns the number of rows by diff_class.
 
+    With `columns`, only these are compared and overwritten, and a new row has null in the others: the load of one source
+    of a table that several sources fill. `json_columns` are compared as documents.
+
     The new months are written aside before the stored ones are replaced, so the table may be its own source, and loading
     the same rows again changes nothing.
     """
     spark, keys = incoming.sparkSession, list(contract.key)
     month = F.substring(contract.day, 1, 6)
-    rows = require_unique(stage(conform(incoming, contract)), keys)
+    rows = conform(incoming, contract)
+    rows = require_unique(stage(rows if columns is None else rows.select(*keys, *columns)), keys)
     stored = read_stored(spark, path, contract)
-    classified = stage(merge.classify(rows, stored.drop("dt"), keys))
+    classified = stage(merge.classify(rows, stored.drop("dt"), keys, columns, json_columns))
     changes = classified.where(F.col("diff_class") != "skip").drop("diff_class")
     touched = stage(changes.select(month.alias("dt")).distinct())  # months
     old = stored.join(touched, "dt", "left_semi").drop("dt")
-    new = stage(merge.upsert(old, changes, keys).withColumn("dt", month))
+    new = stage(merge.upsert(old, changes, keys, columns).withColumn("dt", month))
     if not touched.isEmpty():
         overwrite_partitions(new, path, ["dt"], keys)
         spark.catalog.refreshByPath(path)
@@ -84,3 +88,12 @@ def load_reports(landed: DataFrame, stored: DataFrame, companies: DataFrame, mod
     keys = STATEMENT_KEYS if "report_type" in packed.columns else INDICATOR_KEYS
     compare = [c for c in packed.columns if c not in keys]
     return merge.classify(packed, stored, keys, compare, json_columns=(json_column,))
+
+
+def load_reports_into(path: str, landed: DataFrame, companies: DataFrame, contract: Contract, json_column: str) -> DataFrame:
+    """Load landed reports into the stored table of `contract`: the newest version of each, columns that the table lacks
+    packed as JSON, matched by the table's key (a null key is a blank one), whole rows compared. Returns the number of rows
+    by diff_class. Reports of other versions that are stored already stay."""
+    model = [f.name for f in contract.schema.fields if f.name != json_column]
+    packed = pack_overflow(newest_reports(landed, companies), model, json_column)
+    return load_into(path, packed, contract, json_columns=(json_column,))

@@ -15,7 +15,8 @@ from barloom.functions import text
 class Contract:
     """`columns` is a DDL list; text columns in the key default to '' when absent, everything else to null.
 
-    `dates` are the columns that hold days: they are stored as 8 digits. `day` is the one that a row must have.
+    `dates` are the columns that hold days: they are stored as 8 digits. `day` is the one that a row must have. `renames` are
+    names that a vendor gives columns, `upper` texts that are stored in capitals, `allowed` the values that rows may have.
     """
 
     name: str
@@ -23,6 +24,9 @@ class Contract:
     columns: str
     day: str = "trade_date"
     dates: tuple[str, ...] = ("trade_date",)
+    renames: tuple[tuple[str, str], ...] = ()
+    upper: tuple[str, ...] = ()
+    allowed: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     @property
     def schema(self) -> T.StructType:
@@ -65,7 +69,6 @@ LOG_MISSING = Contract(
     "missing_date",
     ("missing_date",),
 )
-CONTRACTS = {c.name: c for c in (KLINE_DAILY, FACTOR, BLOCK_TRADE, REPORT_INCOME, SNAPSHOT, LOG_MISSING)}
 
 
 def conform(df: DataFrame, contract: Contract) -> DataFrame:
@@ -74,6 +77,7 @@ def conform(df: DataFrame, contract: Contract) -> DataFrame:
     Each is normalised by its kind first: days lose their dashes, numbers that are no finite number become null, texts
     that stand for nothing become '' in the key and null elsewhere. Rows without a day go.
     """
+    df = df.withColumnsRenamed({s: t for s, t in contract.renames if s in df.columns and t not in df.columns})
     cols: list[Column] = []
     for f in contract.schema.fields:
         if f.name in df.columns:
@@ -82,7 +86,10 @@ def conform(df: DataFrame, contract: Contract) -> DataFrame:
             blank = F.lit("") if f.name in contract.key and isinstance(f.dataType, T.StringType) else F.lit(None)
             cols.append(blank.cast(f.dataType).alias(f.name))
     day = F.length(contract.day)
-    return df.select(*cols).where(day == 8 if contract.day in contract.dates else day > 0)
+    out = df.select(*cols).where(day == 8 if contract.day in contract.dates else day > 0)
+    for c, values in contract.allowed:
+        out = out.where(F.col(c).isin(*values))
+    return out
 
 
 def _normal(c: Column, f: T.StructField, contract: Contract) -> Column:
@@ -93,6 +100,7 @@ def _normal(c: Column, f: T.StructField, contract: Contract) -> Column:
         return text.number(c)
     if isinstance(f.dataType, T.StringType):
         s = text.blank_text(c)
+        s = F.upper(s) if f.name in contract.upper else s
         return s if f.name in contract.key else F.when(s != "", s)
     return c.try_cast(f.dataType)
 
