@@ -303,21 +303,37 @@ def _(spark, sf):
     with_views(
         _VIEWS,
         _SINGLE
-        + """SELECT 'portfolio' AS table_name, count(*) AS n_rows FROM held UNION ALL SELECT 'trades', count(*) FROM trades
-        UNION ALL SELECT 'returns', count(*) FROM returns UNION ALL SELECT 'ic', count(*) FROM ic
-        UNION ALL SELECT 'turnover', count(*) FROM turn UNION ALL SELECT 'report', 1""",
+        + """SELECT 'portfolio' AS table_name, trade_date, group_id || ' ' || ts_code AS item, round(weight, 6) AS value FROM held
+        UNION ALL SELECT 'trades', trade_date, group_id || ' ' || ts_code, round(dw, 6) FROM trades
+        UNION ALL SELECT 'cost', trade_date, group_id || ' ' || ts_code, round(abs(dw) * 0.0003::DOUBLE + CASE WHEN dw < 0 THEN abs(dw) * 0.001::DOUBLE ELSE 0 END, 9) FROM trades
+        UNION ALL (SELECT 'returns', trade_date, name, CASE WHEN round(value, 6) = 0 THEN 0.0::DOUBLE ELSE round(value, 6) END
+          FROM (UNPIVOT (SELECT trade_date, G0, G1, G2, long_short FROM returns) ON G0, G1, G2, long_short))
+        UNION ALL SELECT 'ic', trade_date, 'ic', round(ic, 6) FROM ic UNION ALL SELECT 'ic', trade_date, 'rank_ic', round(rank_ic, 6) FROM ic
+        UNION ALL SELECT 'turnover', trade_date, '', round(turnover, 6) FROM turn
+        UNION ALL SELECT 'report', NULL, 'n_rebalance', CAST(count(*) AS DOUBLE) FROM turn""",
     ),
 )
 def _(spark, sf):
+    """Every value that the sink wrote, read back."""
     res = run_backtest(spark, sf)
     root = scratch_path(spark, "backtest")
     sinks.write_backtest(res, backtest.summary(res, {"strategy": "single_factor_mom5"}), root)
-    parts = [spark.read.parquet(f"{root}/{t}").select(F.lit(t).alias("table_name")) for t in ("portfolio", "trades", "returns", "ic", "turnover")]
-    parts.append(spark.read.text(f"{root}/report").where(F.col("value").startswith("{")).select(F.lit("report").alias("table_name")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    stored = lambda t: spark.read.parquet(f"{root}/{t}")
+    row = lambda df, name, item, value: df.select(F.lit(name).alias("table_name"), "trade_date", item.alias("item"), value.alias("value"))
+    held_by, col = F.concat_ws(" ", "group_id", "ts_code"), lambda c, n=6: F.round(c, n)
+    returns = stored("returns").unpivot(["trade_date"], [*res.groups, "long_short"], "name", "v")
+    report = spark.read.schema("n_rebalance double").json(f"{root}/report").withColumn("trade_date", F.lit(None).cast("string"))
+    parts = [
+        row(stored("portfolio"), "portfolio", held_by, col("weight")),
+        row(stored("trades"), "trades", held_by, col("delta_weight")),
+        row(stored("trades"), "cost", held_by, col("cost", 9)),
+        row(returns, "returns", F.col("name"), col("v")),
+        row(stored("ic"), "ic", F.lit("ic"), col("ic")),
+        row(stored("ic"), "ic", F.lit("rank_ic"), col("rank_ic")),
+        row(stored("turnover"), "turnover", F.lit(""), col("turnover")),
+        row(report, "report", F.lit("n_rebalance"), F.col("n_rebalance")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _RETURNS_OF = _SINGLE + _DAMPED + """, closes AS (SELECT trade_date, close FROM index_m WHERE ts_code = '000300.SH'),
@@ -398,12 +414,12 @@ def _(spark, sf):
 
 @query(
     "c9b_export",
-    with_views("bars_m", _GATE_SQL + "SELECT substr(trade_date, 1, 6) AS dt, count(*) AS n_rows FROM bars_m WHERE substr(trade_date, 1, 6) IN (SELECT month FROM dec WHERE decision <> 'skip') GROUP BY 1"),
+    with_views("bars_m", _GATE_SQL + "SELECT ts_code, trade_date, close, vol, substr(trade_date, 1, 6) AS dt FROM bars_m WHERE substr(trade_date, 1, 6) IN (SELECT month FROM dec WHERE decision <> 'skip')"),
 )
 def _(spark, sf):
     root = scratch_path(spark, "warehouse")
     export_gate.export(bars_m(spark, sf), _gate(spark, sf), root)
-    return B.BarStore(spark, root).table().groupBy("dt").agg(F.count(F.lit(1)).alias("n_rows"))
+    return B.BarStore(spark, root).table().select("ts_code", "trade_date", "close", "vol", "dt")
 
 
 _CYCLE_SQL = """& dd AS (SELECT DISTINCT ts_code, trade_date FROM landing), tb AS (SELECT DISTINCT ts_code, trade_date FROM landing WHERE value > 12),
@@ -725,7 +741,7 @@ def _(spark, sf):
     "c17_vendor_batch",
     with_views(
         "bars_m",
-        f"& {VENDOR_SQL} SELECT factor_name, substr(trade_date, 1, 6) AS dt, count(*) AS n_rows FROM vendor WHERE substr(trade_date, 5, 2) NOT IN ('03', '04') OR substr(trade_date, 1, 6) = '200103' GROUP BY 1, 2",
+        f"& {VENDOR_SQL} SELECT factor_name, ts_code, trade_date, value, substr(trade_date, 1, 6) AS dt FROM vendor WHERE substr(trade_date, 5, 2) NOT IN ('03', '04') OR substr(trade_date, 1, 6) = '200103'",
     ),
 )
 def _(spark, sf):
@@ -735,7 +751,7 @@ def _(spark, sf):
     days = factors.wide_days_to_load(opens, have, "200103")
     root = scratch_path(spark, "warehouse")
     sinks.write_factors(sinks.vendor_long(w.join(days, "trade_date", "left_semi")), root)
-    return B.FactorStore(spark, root).table().groupBy("factor_name", "dt").agg(F.count(F.lit(1)).alias("n_rows"))
+    return B.FactorStore(spark, root).table().select("factor_name", "ts_code", "trade_date", "value", "dt")
 
 
 # ── plug-ins ─────────────────────────────────────────────────────────────

@@ -136,11 +136,22 @@ def _(spark, sf):
 
 @query(
     "s10_factor_sink",
-    with_views("bars_m", _factors() + "SELECT factor_name, substr(trade_date, 1, 6) AS dt, count(*) AS n_rows FROM factors GROUP BY 1, 2"),
+    with_views(
+        "bars_m",
+        _factors()
+        + """SELECT factor_name, ts_code, trade_date, round(CASE WHEN factor_name = 'volume' AND substr(trade_date, 1, 6) = '199805' THEN value * 2 ELSE value END, 8) AS value,
+          substr(trade_date, 1, 6) AS dt FROM factors""",
+    ),
 )
 def _(spark, sf):
-    t = B.FactorStore(spark, factor_root(spark, sf)).table()
-    return t.groupBy("factor_name", "dt").agg(F.count(F.lit(1)).alias("n_rows"))
+    """All values after one factor of one month was written anew: the other factors of the month stay."""
+    root = factor_root(spark, sf)
+    from barloom.catalog.joins import factors_long
+
+    volume = factors_long(spark, sf).where("factor_name = 'volume' AND substring(trade_date, 1, 6) = '199805'")
+    sinks.write_factors(volume.withColumn("value", F.col("value") * 2), root)
+    t = B.FactorStore(spark, root).table()
+    return t.select("factor_name", "ts_code", "trade_date", F.round("value", 8).alias("value"), "dt")
 
 
 def vendor_wide(spark, sf):

@@ -1,14 +1,14 @@
 """Bars and factor series on month-partitioned Parquet.
 
-Layout: <root>/kline_daily/dt=YYYYMM and <root>/factor/factor_name=<name>/dt=YYYYMM. `dt` is never inferred: the
-scans name its type, and filters on it prune directories before any file is opened.
+Layout: <root>/kline_daily/dt=YYYYMM and <root>/factor/dt=YYYYMM, the latter clustered by factor_name. `dt` is never
+inferred: the scans name its type, and filters on it prune directories before any file is opened. A filter on the factor
+prunes row groups by their statistics and Bloom filters.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.errors import AnalysisException
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +23,11 @@ DAYS_PER_MONTH = 21
 PRICES = ("open", "high", "low", "close")
 
 
-def _partitioned(base: T.StructType, *names: str) -> T.StructType:
+def partitioned(base: T.StructType, *names: str) -> T.StructType:
     return T.StructType(base.fields + [T.StructField(n, T.StringType()) for n in names])
 
 
-def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+def read_or_none(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
     """The table, or no rows where it does not exist yet."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -38,8 +38,8 @@ def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
 
 
 def partitions(spark: SparkSession, path: str) -> DataFrame:
-    """(dt, factor_name, path) of every data file, from the file listing alone: no file is opened, so the cost goes
-    with the number of files. A table that does not exist yet has none."""
+    """(dt, path) of every data file, from the file listing alone: no file is opened, so the cost goes with the number of
+    files. A table that does not exist yet has none."""
     try:
         files = (
             spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
@@ -47,9 +47,8 @@ def partitions(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "dt string, factor_name string, path string")
-    dt, name = F.regexp_extract("path", r"/dt=(\d{6})/", 1), F.regexp_extract("path", r"/factor_name=([^/]+)/", 1)
-    return files.select(dt.alias("dt"), name.alias("factor_name"), "path").where(F.col("dt") != "")
+        return spark.createDataFrame([], "dt string, path string")
+    return files.select(F.regexp_extract("path", r"/dt=(\d{6})/", 1).alias("dt"), "path").where(F.col("dt") != "")
 
 
 class BarStore:
@@ -59,7 +58,7 @@ class BarStore:
         self.spark, self.path = spark, f"{root.rstrip('/')}/kline_daily"
 
     def table(self) -> DataFrame:
-        return _read(self.spark, _partitioned(KLINE_DAILY.schema, "dt"), self.path)
+        return read_or_none(self.spark, partitioned(KLINE_DAILY.schema, "dt"), self.path)
 
     def months(self) -> DataFrame:
         """Months with a partition, ascending."""
@@ -93,7 +92,7 @@ class FactorStore:
         self.spark, self.path = spark, f"{root.rstrip('/')}/factor"
 
     def table(self) -> DataFrame:
-        return _read(self.spark, _partitioned(FACTOR.schema, "factor_name", "dt"), self.path)
+        return read_or_none(self.spark, partitioned(FACTOR.schema, "factor_name", "dt"), self.path)
 
     def read(self, name: str, start: str, end: str, codes: list[str] | DataFrame | None = None) -> DataFrame:
         """One series in the closed range; an unknown name or a bad range gives no rows."""
@@ -102,15 +101,14 @@ class FactorStore:
         return rows if codes is None else where_in(rows, "ts_code", codes)
 
     def catalogue(self) -> DataFrame:
-        """Factors with their first and last month and number of months."""
-        parts = partitions(self.spark, self.path).select("factor_name", "dt").distinct()
+        """Factors with their first and last month and number of months, from the one column that holds their names."""
+        parts = self.table().select("factor_name", "dt").distinct()
         return parts.groupBy("factor_name").agg(
             F.min("dt").alias("first_month"), F.max("dt").alias("last_month"), F.count(F.lit(1)).alias("month_count")
         )
 
     def months(self, name: str) -> DataFrame:
-        parts = partitions(self.spark, self.path)
-        return parts.where(F.col("factor_name") == name).select("dt").distinct().orderBy("dt")
+        return self.table().where(F.col("factor_name") == name).select("dt").distinct().orderBy("dt")
 
 
 def with_adjusted(bars: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import vendor_name
+from barloom.session import stage
+from barloom.sources.bars import partitioned, read_or_none
 from barloom.sources.contracts import FACTOR, KLINE_DAILY, SNAPSHOT, conform, to_double
 
 # Compression and row-group size of the warehouse files.
@@ -37,11 +39,36 @@ def write_bars(bars: DataFrame, root: str) -> None:
     overwrite_partitions(rows, f"{root.rstrip('/')}/kline_daily", ["dt"], ["trade_date", "ts_code"])
 
 
-def write_factors(long: DataFrame, root: str) -> None:
-    """Long factor rows (factor_name, ts_code, trade_date, value) by factor and month; nulls are not stored."""
+def write_factors(long: DataFrame, root: str, row_group_bytes: str = ROW_GROUP_BYTES) -> None:
+    """Long factor rows (factor_name, ts_code, trade_date, value) into months that are clustered by factor; nulls are not
+    stored. What is replaced are the factors of a month that `long` has rows of; the month's other factors stay.
+
+    A month is some files in order of factor, whatever the number of factors: their row groups hold few factors each, whose
+    statistics and Bloom filters let a read of one factor open only its own. Rows and kept rows are written aside first, so
+    the table may be its own source.
+    """
+    spark, path = long.sparkSession, f"{root.rstrip('/')}/factor"
     cols = ["factor_name", *FACTOR.schema.names]
-    rows = long.select(*cols).where(F.col("value").isNotNull()).withColumn("dt", F.substring("trade_date", 1, 6))
-    overwrite_partitions(rows, f"{root.rstrip('/')}/factor", ["factor_name", "dt"], ["trade_date", "ts_code"])
+    rows = stage(long.select(*cols).where(F.col("value").isNotNull()).withColumn("dt", F.substring("trade_date", 1, 6)))
+    months = [r.dt for r in rows.select("dt").distinct().collect()]
+    if not months:
+        return
+    stored = read_or_none(spark, partitioned(FACTOR.schema, "factor_name", "dt"), path).where(F.col("dt").isin(months))
+    kept = stage(stored.join(rows.select("factor_name", "dt").distinct(), ["factor_name", "dt"], "left_anti"))
+    (
+        rows.unionByName(kept.select(*rows.columns))
+        .repartitionByRange("dt", "factor_name")
+        .sortWithinPartitions("dt", "factor_name", "trade_date", "ts_code")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("parquet.block.size", row_group_bytes)
+        .option("parquet.bloom.filter.enabled#factor_name", "true")
+        .option("parquet.bloom.filter.expected.ndv#factor_name", "1000")
+        .options(**WRITER)
+        .partitionBy("dt")
+        .parquet(path)
+    )
+    spark.catalog.refreshByPath(path)
 
 
 def vendor_long(wide: DataFrame) -> DataFrame:

@@ -185,3 +185,31 @@ def test_staged_tables_go_with_the_application(tmp_path):
             break
         time.sleep(0.2)
     assert not left()
+
+
+def test_a_factor_is_read_from_its_own_row_groups(spark):
+    names = [f"factor_{i:02d}" for i in range(40)]
+    rows = spark.range(40 * 5_000).selectExpr(
+        "concat('factor_', lpad(cast(id % 40 as string), 2, '0')) factor_name", "concat('c', lpad(cast(id div 40 as string), 5, '0')) ts_code",
+        "concat('2024', lpad(cast(id % 3 + 1 as string), 2, '0'), '15') trade_date", "cast(hash(id) as double) value",
+    )
+    root = scratch_path(spark, "clustered")
+    sinks.write_factors(rows, root, row_group_bytes=str(64 * 1024))
+    store = B.FactorStore(spark, root)
+    assert store.table().select("dt").distinct().count() == 3 and store.catalogue().count() == 40
+
+    def rows_scanned(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.length()))
+
+    everything = rows_scanned(store.table().where("value is not null"))
+    one = rows_scanned(store.read("factor_17", "20240101", "20240331"))
+    assert everything == 200_000 and 5_000 <= one <= 40_000
+    again = rows.where(F.col("factor_name") == names[3]).withColumn("value", F.lit(1.5))
+    sinks.write_factors(again.where("trade_date like '202402%'"), root)
+    assert store.read(names[3], "20240201", "20240229").select("value").distinct().collect()[0].value == 1.5
+    assert store.table().count() == 200_000
+    before = {tuple(r) for r in rows.where(F.col("factor_name") == names[4]).select("ts_code", "trade_date", "value").collect()}
+    assert {tuple(r) for r in store.read(names[4], "20240101", "20240331").collect()} == before
