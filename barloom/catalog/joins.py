@@ -285,6 +285,31 @@ def _(spark, sf):
     return merge.classify(new, old, ["ordinal"], json_columns=("income_table",)).select("ordinal", "diff_class")
 
 
+@query(
+    "j11d_nested_report_diff",
+    with_views(
+        "reports",
+        """SELECT ordinal, CASE WHEN ordinal % 11 = 0 THEN 'insert' WHEN ordinal % 5 IN (1, 2) OR ordinal % 7 = 0 THEN 'update' ELSE 'skip' END AS diff_class FROM reports""",
+    ),
+)
+def _(spark, sf):
+    """Nested documents: other key order and spacing are no change; a number that became a text, another array order and
+    a changed inner value are."""
+    k = F.col("ordinal")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    n = k.cast("string")
+    plain = text('{"a":{"x":', n, ',"y":[1,{"p":2.5,"q":null}]},"b":"t"}')
+    turned = text('{ "b" : "t", "a": {"y": [1, {"q": null, "p": 2.5}], "x": ', n, "} }")
+    as_text = text('{"a":{"x":"', n, '","y":[1,{"p":2.5,"q":null}]},"b":"t"}')
+    reversed_ = text('{"a":{"x":', n, ',"y":[{"p":2.5,"q":null},1]},"b":"t"}')
+    inner = text('{"a":{"x":', n, ',"y":[1,{"p":2.25,"q":null}]},"b":"t"}')
+    old_doc = F.when(k % 7 == 0, inner).when(k % 5 == 1, as_text).when(k % 5 == 2, reversed_).when(k % 5 == 3, turned).otherwise(plain)
+    r = reports(spark, sf)
+    new = r.select("ordinal", plain.alias("income_table"))
+    old = r.where(k % 11 != 0).select("ordinal", old_doc.alias("income_table"))
+    return merge.classify(new, old, ["ordinal"], json_columns=("income_table",)).select("ordinal", "diff_class")
+
+
 @query(
     "j12_reconcile",
     with_views(

@@ -14,9 +14,9 @@ FLOAT_TOLERANCE = 1e-9
 
 
 def canonical_json(doc: Column) -> Column:
-    """A flat JSON object as key-sorted text, so that key order does not count."""
-    entries = F.map_entries(F.from_json(doc, "map<string,string>"))
-    return F.to_json(F.map_from_entries(F.sort_array(entries)))
+    """A JSON document as text in which key order and spacing do not count, at any depth: the variant type keeps the keys of
+    an object sorted. Numbers stay numbers (1 is not "1"), the order of arrays counts; a text that is no JSON is itself."""
+    return F.coalesce(F.to_json(F.try_parse_json(doc)), doc)
 
 
 def _blank_as_null(c: Column, dtype: T.DataType, as_json: bool) -> Column:

@@ -91,3 +91,21 @@ def test_doubled_incoming_keys_do_not_multiply_rows(spark):
     t = spark.createDataFrame([("a", "d", 1.0)], SHAPE)
     new = spark.createDataFrame([("a", "d", 5.0), ("a", "d", 7.0), ("b", "d", 2.0), ("b", "d", 2.0)], SHAPE)
     assert rows(merge.upsert(t, new, KEYS)) == [("a", "d", 7.0), ("b", "d", 2.0)]
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [
+        ('{"a":1,"b":{"c":[1,2],"d":null}}', ' { "b": {"d":null, "c":[1, 2]}, "a":1}', True),
+        ('{"a":1}', '{"a":"1"}', False),
+        ('{"a":[1,2]}', '{"a":[2,1]}', False),
+        ('{"a":{"b":{"c":1}}}', '{"a":{"b":{"c":2}}}', False),
+        ("no json", "no json", True),
+        ("no json", "no json at all", False),
+        (None, None, True),
+        ("{}", None, False),
+    ],
+)
+def test_documents_are_compared_as_documents(spark, a, b, same):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(merge.canonical_json(F.col("a")).eqNullSafe(merge.canonical_json(F.col("b"))).alias("s")).first().s == same
