@@ -11,15 +11,22 @@ the `probes` next likely ones of each table, those where a hash falls to the sec
    per vector and a spanning forest, never the pairs.
 3. Links are summed, and components follow from the forests.
 
-With the defaults a pair at a cosine of 0.95 is missed with a probability below 1e-3 (tests measure it), closer ones less.
+The hashes per table follow the logarithm of the number of classes, so that there are at least as many buckets as classes
+and a vector meets as many unrelated ones in a table of millions as in one of thousands. The number of tables follows from
+a stated probability `miss` of missing a pair at the threshold: how often such pairs meet in one table is measured on random
+pairs of the vectors' dimension, in the tasks, and tables are independent. Only rows of buckets that two vectors share carry
+their vectors.
 
 Defined cases: a vector that is null, empty, zero or has null or non-finite components has no links and is kept; vectors of
 different length never meet; repeated vectors link with each other, repeated rows too; further columns are ignored; an empty table gives an
-empty result. Ids are unique and not null.
+empty result. Rows without an id link with nothing, have no component and are kept.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +37,9 @@ from barloom.llm.components import components
 from barloom.session import stage
 
 SEED = 7
+MISS = 5e-4
+PROBES = 2
+_TRIALS = 1_000
 BLOCK = 2_000
 PACK_ROWS = 20_000
 _CHUNK = 256
@@ -76,6 +86,32 @@ def polytope_codes(v: np.ndarray, tables: int, per_table: int, probes: int) -> t
     return main, probe
 
 
+def hashes_per_table(classes: int, dim: int) -> int:
+    """So many that a table has four buckets for each class at least (classes are not spread evenly)."""
+    d = max(4, 1 << (dim - 1).bit_length())
+    return max(1, min(62 // (2 * d).bit_length(), math.ceil(math.log(4 * max(classes, 1)) / math.log(2 * d))))
+
+
+def meet_rate(dim: int, threshold: float, per_table: int, probes: int, trials: int = _TRIALS) -> float:
+    """How often random pairs at the threshold share a bucket of one table, own or probed."""
+    rng = np.random.default_rng(SEED)
+    a, b = rng.normal(size=(2, trials, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = threshold * a + math.sqrt(1 - threshold**2) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    (m, p), (n, q) = (polytope_codes(x, 4, per_table, probes) for x in (a, b))
+    return float(((m == n) | (p == n[:, :, None]).any(2) | (q == m[:, :, None]).any(2)).mean())
+
+
+@cache
+def tables_for(dim: int, threshold: float, per_table: int, probes: int, miss: float) -> int:
+    """So many that a pair at the threshold is missed by all with a probability of `miss` at most."""
+    if dim < 2:
+        return 1
+    rate = min(max(meet_rate(dim, threshold, per_table, probes), 0.01), 0.999)
+    return max(2, math.ceil(math.log(miss) / math.log(1 - rate)))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of equal length as a matrix of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -89,8 +125,8 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _coded(classes: DataFrame, tables: int, per_table: int, probes: int) -> DataFrame:
-    """rep, weight, v and its codes: `main` (tables) and `probe` (tables x probes, flat)."""
+def _coded(classes: DataFrame, n: int, threshold: float, miss: float, probes: int, tables: int | None) -> DataFrame:
+    """rep, weight, v and its codes: `main` (tables) and `probe` (tables x probes, flat). There are n classes."""
     kind = classes.schema["v"].dataType.simpleString()
 
     def run(batches):
@@ -99,7 +135,10 @@ def _coded(classes: DataFrame, tables: int, per_table: int, probes: int) -> Data
             main, probe = [None] * len(sizes), [None] * len(sizes)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                m, p = polytope_codes(_matrix(b.column("v").take(pa.array(rows))), tables, per_table, probes)
+                dim = int(size)
+                per_table = hashes_per_table(n, dim)
+                t = tables or tables_for(dim, threshold, per_table, probes, miss)
+                m, p = polytope_codes(_matrix(b.column("v").take(pa.array(rows))), t, per_table, probes)
                 for i, r in enumerate(rows.tolist()):
                     main[r], probe[r] = m[i], p[i].ravel()
             yield pa.RecordBatch.from_arrays(
@@ -115,19 +154,16 @@ def _coded(classes: DataFrame, tables: int, per_table: int, probes: int) -> Data
 def _bucketed(coded: DataFrame, block: int) -> DataFrame:
     """One row per class and bucket (and pair of blocks) where it can meet another: bucket, t, own (its own bucket or
     probed), x, y and mine (blocks), and `task`, by which rows are grouped."""
-    own = coded.select("rep", F.size("v").alias("dim"), F.posexplode("main").alias("t", "code"), F.lit(True).alias("own"))
-    per = F.size("probe") / F.size("main")
-    asked = coded.select("rep", F.size("v").alias("dim"), per.alias("per"), F.posexplode("probe").alias("i", "code"))
+    dim, per = F.size("v").alias("dim"), (F.size("probe") / F.size("main")).cast("int").alias("per")
+    own = coded.select("rep", dim, F.posexplode("main").alias("t", "code"), F.lit(True).alias("own"))
+    asked = coded.select("rep", dim, per, F.posexplode("probe").alias("i", "code"))
     asked = asked.select("rep", "dim", F.floor(F.col("i") / F.col("per")).cast("int").alias("t"), "code", F.lit(False).alias("own"))
-    keys = own.unionByName(asked)
-    sizes = keys.groupBy("dim", "t", "code").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).where("n > 1 and any")
-    placed = keys.join(sizes.drop("any"), ["dim", "t", "code"]).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    keys = own.unionByName(asked).select("rep", F.xxhash64("dim", "t", "code").alias("bucket"), F.col("t").cast("byte").alias("t"), "own")
+    sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).where("n > 1 and any").drop("any")
+    placed = keys.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     cut = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = cut.select(
-        "rep", "t", "code", "own", F.xxhash64("dim", "t", "code").alias("bucket"), "parts", "mine",
-        F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
-    )
+    rows = cut.select("rep", F.col("t").cast("int").alias("t"), "own", "bucket", "parts", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
     return rows.join(coded, "rep")
 
 
@@ -212,21 +248,22 @@ def _compared(rows: DataFrame, threshold: float, packs: int) -> DataFrame:
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.95,
-    tables: int = 6,
-    per_table: int = 2,
-    probes: int = 2,
+    tables: int | None = None,
+    probes: int = PROBES,
+    miss: float = MISS,
     block: int = BLOCK,
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector of (vec_id, embedding)."""
     session_of(vectors)
     v = F.col("embedding")
+    able = usable(v) & F.col("vec_id").isNotNull()
     digest = [F.when(F.col("ok"), F.xxhash64(F.lit(i), v)).alias(f"d{i}") for i in (1, 2)]
-    rows = vectors.select("vec_id", v, usable(v).alias("ok")).select("vec_id", "ok", *digest, v)
+    rows = vectors.select("vec_id", v, able.alias("ok")).select("vec_id", "ok", *digest, v)
     classes = stage(
         rows.where("ok").groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     )
     reps = classes.join(vectors.select(F.col("vec_id").alias("rep"), v.alias("v")), "rep").dropDuplicates(["rep"])
-    coded = stage(_coded(reps, tables, per_table, probes))
+    coded = stage(_coded(reps, classes.count(), threshold, miss, probes, tables))
     met = stage(_bucketed(coded, block))
     packs = max(1, -(-met.where("parts = 1").count() // PACK_ROWS))
     found = stage(_compared(met, threshold, packs))
@@ -241,5 +278,5 @@ def near_duplicates(
     component = F.coalesce("reached", "vec_id")
     return rows.select("vec_id", "d1", "d2").join(known, ["d1", "d2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        (component == F.col("vec_id")).alias("kept"),
+        F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
     )

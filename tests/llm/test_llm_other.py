@@ -49,6 +49,32 @@ def test_hash_recall_at_the_threshold():
     (ma, pa), (mb, pb) = (embedding_dedup.polytope_codes(x, 6, 2, 2) for x in (a, b))
     met = (ma == mb) | (pa == mb[:, :, None]).any(2) | (pb == ma[:, :, None]).any(2)
     assert met.any(1).mean() >= 0.998
+    for n in (100, 50_000, 10_000_000):
+        per = embedding_dedup.hashes_per_table(n, 64)
+        tables = embedding_dedup.tables_for(64, 0.95, per, embedding_dedup.PROBES, embedding_dedup.MISS)
+        assert 128**per >= n
+        (ma, pa), (mb, pb) = (embedding_dedup.polytope_codes(x, tables, per, embedding_dedup.PROBES) for x in (a, b))
+        met = (ma == mb) | (pa == mb[:, :, None]).any(2) | (pb == ma[:, :, None]).any(2)
+        assert met.any(1).mean() >= 0.998
+
+
+def test_a_vector_meets_as_few_others_in_a_large_table():
+    rng = np.random.default_rng(2)
+    met = []
+    for n in (4_000, 16_000, 64_000, 128_000):
+        v = rng.normal(size=(n, 32))
+        per = embedding_dedup.hashes_per_table(n, 32)
+        main, probe = embedding_dedup.polytope_codes(v, 1, per, embedding_dedup.PROBES)
+        keys, size = np.unique(main, return_counts=True)
+        asked = np.minimum(np.searchsorted(keys, probe.ravel()), len(keys) - 1)
+        met.append(((size * (size - 1)).sum() + size[asked][keys[asked] == probe.ravel()].sum()) / n)
+    assert max(met) < 8 and met[-1] < met[-2]
+
+
+def test_vectors_without_ids(spark):
+    e = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(e).collect())
+    assert got == [(0, 0, None, True), (0, 0, None, True), (5, 1, 5, True), (7, 1, 5, False)]
 
 
 def brute_links(v, threshold):
@@ -64,8 +90,8 @@ def brute_links(v, threshold):
         label = new
 
 
-@pytest.mark.parametrize("block", [2_000, 9])
-def test_vectors_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "tables"), [(2_000, None), (9, None), (9, 12)])
+def test_vectors_against_brute_force(spark, block, tables):
     rng = np.random.default_rng(8)
     v = [None, [], [0.0] * 16, [1.0, None] * 8, [float("nan")] + [1.0] * 15, [float("inf")] * 16, [1.0] * 16, [2.0] * 16, [1.0] * 16, [1.0] * 3]
     center = rng.normal(size=16)
@@ -75,7 +101,7 @@ def test_vectors_against_brute_force(spark, block):
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, weight int, main string")
     links, label = brute_links(v, 0.95)
     assert sum(links) > 200
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(e, tables=12, block=block).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(e, tables=tables, block=block).collect()}
     assert len(got) == len(v)
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (links[i], label[i], label[i] == i) for i in range(len(v)))
 
