@@ -152,7 +152,7 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_
         "doc_id",
         F.col("text").cast("binary").alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
-        F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"),
     )
     counted = stage(dealt.groupBy("block").applyInArrow(_count_block, "block int, gram long, word binary, n long"))
     grams, words = counted.where("gram is not null"), counted.where("word is not null")

@@ -4,13 +4,17 @@ A text's terms are short grams of its shape: bytes mapped to classes (small lett
 mark for itself), runs of one class of letters or digits as one, so that quality and not language is what texts have in
 common. Hashed into `terms` buckets, damped by the logarithm and weighted by rarity, they are projected on the leading
 singular vectors of a labelled sample. The sample's vectors and labels are broadcast, and every document is compared with
-all of them by blocked cosine products; the `neighbours` nearest vote with their similarity.
+all of them by blocked cosine products; the `neighbours` nearest vote with the fourth power of their similarity, which
+tells near neighbours from far ones where all are similar.
 
-The model is fitted on at most `sample` labelled training rows, those with the smallest hashes of their ids; its size is
-bounded by sample x rank + terms x rank numbers. Nothing else is drawn from the corpus, and every document is scored whole.
+The model is fitted on at most `sample` labelled training rows, those with the smallest hashes of their ids, one text for
+each id and label. Their term counts, not their texts, come to the driver: sample x terms numbers at most, whatever the
+length of a text. The model is bounded by sample x rank + terms x rank numbers. Nothing else is drawn from the corpus, and
+every document is scored whole.
 
 Defined cases: a null text is empty; an empty text has no direction and gets the share of label 1 in the sample, as does
-every text where no neighbour is similar at all; without labelled rows every score is 0.5; ids labelled twice count twice;
+every text where no neighbour is similar at all; without labelled rows every score is 0.5; ids labelled twice count twice, and
+of several texts of one id the one with the smallest terms is learnt; a null id is not held out;
 further columns of `documents` are ignored by `scored` and kept by `keep_good`; an empty table gives an empty result.
 """
 
@@ -110,29 +114,52 @@ def _leading_axes(x: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
     return (y @ turn.T)[:, :rank].astype(np.float32)
 
 
-def fit_texts(texts: list[bytes], labels: list[int], terms: int = TERMS, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model:
-    if not texts:
+def fit_counts(counts: np.ndarray, labels: list[int], rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model:
+    """A model of labelled rows by their term counts, (rows, terms)."""
+    n, terms = counts.shape
+    if not n:
         return Model(np.zeros(terms, np.float32), np.zeros((terms, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours)
-    counts = np.concatenate([term_counts(texts[lo : lo + _ROWS], terms) for lo in range(0, len(texts), _ROWS)])
-    rarity = (np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
+    rarity = (np.log((1 + n) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     weighted = _unit(np.log1p(counts) * rarity)
     axes = _leading_axes(weighted, min(rank, terms))
     return Model(rarity, axes, _unit(weighted @ axes), np.array(labels, float), neighbours)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, **options) -> Model:
+def fit_texts(texts: list[bytes], labels: list[int], terms: int = TERMS, **options) -> Model:
+    parts = [term_counts(texts[lo : lo + _ROWS], terms) for lo in range(0, len(texts), _ROWS)]
+    return fit_counts(np.concatenate([np.zeros((0, terms), np.float32), *parts]), labels, **options)
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, terms: int = TERMS, **options) -> Model:
     """A model of the labelled training rows. `labels` has doc_id and quality."""
-    known = labels.where(F.col("quality").isNotNull() & ~held_out).select("doc_id", F.col("quality").alias("label"))
+    known = labels.where(F.col("quality").isNotNull() & ~held_out).select("doc_id", F.col("quality").cast("int").alias("label"))
     first = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+
+    def counted(batches):
+        for b in in_slices(batches, "text", SLICE_BYTES):
+            for lo in range(0, b.num_rows, _ROWS):
+                part = b.slice(lo, _ROWS)
+                c = term_counts([t or b"" for t in part.column("text").to_pylist()], terms)
+                term = pa.array([np.flatnonzero(r) for r in c], pa.list_(pa.int32()))
+                count = pa.array([r[r > 0] for r in c], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), term, count], ["doc_id", "label", "term", "count"])
+
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(first), "doc_id")
-    rows = sorted(texts.collect(), key=lambda r: (r.doc_id, r.label))  # `sample` rows, or more if ids repeat
-    return fit_texts([r.text or b"" for r in rows], [int(r.label > 0) for r in rows], **options)
+    found = texts.mapInArrow(counted, "doc_id long, label int, term array<int>, count array<float>")
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct("term", "count")).alias("c"))
+    times = first.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    rows = sorted(one.join(F.broadcast(times), ["doc_id", "label"]).collect(), key=lambda r: (r.doc_id, r.label))  # `sample` rows
+    rows = [r for r in rows for _ in range(r.n)]
+    counts = np.zeros((len(rows), terms), np.float32)
+    for i, r in enumerate(rows):
+        counts[i, r.c.term] = r.c["count"]
+    return fit_counts(counts, [int(r.label > 0) for r in rows], **options)
 
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = THRESHOLD, **options) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; one fold of the ids is never learnt from."""
     spark = session_of(docs)
-    held_out = fold(folds) == held
+    held_out = F.coalesce(fold(folds) == held, F.lit(False))
     shared = spark.sparkContext.broadcast(fit(docs, labels, held_out, **options))
 
     def run(batches):

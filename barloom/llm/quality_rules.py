@@ -29,7 +29,7 @@ RULES: dict[str, Column | str] = {
     "few_words": "n_words < 10",
     "repeated_words": "100 * n_repeat_words > 20 * n_words",
     "symbols": "100 * n_symbols > 10 * word_chars",
-    "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
+    "repeated_lines": "n_dup_lines >= 2 and 100 * n_dup_lines > 30 * n_lines",
     "word_length": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)",
     "capitals": "100 * n_capitals > 50 * word_chars",
 }

@@ -252,3 +252,57 @@ def test_main_paths_are_native(spark):
 def test_labels_and_text_cases_do_not_collect(spark):
     docs = spark.createDataFrame([(i, f"w{i} " * 12, "s", "en", 3) for i in range(30)], "doc_id long, text string, source string, lang string, n_chars int")
     assert minhash_dedup.drop_near_duplicates(docs.withColumn("u", F.lit(1))).count() == 30
+
+
+def test_classifier_of_repeated_and_null_ids(spark):
+    texts = {i: ("Some good words, in a row." if i % 2 else "bad!!! ### bad") * (i % 5 + 1) for i in range(1, 60)}
+    rows = [(i, t) for i, t in texts.items()] + [(1, texts[1])] * 300 + [(None, texts[3]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    once = quality_classifier.scored(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), labels)
+    want = {r.doc_id: r.score for r in once.collect()}
+    got = quality_classifier.scored(docs, labels).collect()
+    assert len(got) == len(rows) and all(r.score == pytest.approx(want[r.doc_id]) for r in got if r.doc_id)
+    assert [r.held_out for r in got if r.doc_id is None] == [False, False]
+
+
+def brute_scores(texts, labels, queries, terms, rank, neighbours):
+    """The classifier written plainly: counts by loops, a full decomposition, every cosine, votes one by one."""
+    def grams(t):
+        shape = []
+        for ch in t:
+            c = ord("a") if 97 <= ch <= 122 or ch >= 128 else ord("A") if 65 <= ch <= 90 else ord("0") if 48 <= ch <= 57 else 32 if ch in b"\t\x0b\x0c\r " else ch
+            if not (shape and shape[-1] == c and c in (97, 65, 48)):
+                shape.append(c)
+        out = np.zeros(terms)
+        padded = shape + [0] * 4
+        for k in range(len(shape)):
+            code = 0
+            for c in padded[k : k + 4]:
+                code = (code * 257 + c) % 2**64
+            out[(code * 0x9E3779B97F4A7C15 % 2**64 >> 52) % terms] += 1
+        return out
+
+    counts = np.array([grams(t) for t in texts])
+    rarity = np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 1
+    unit = lambda x: np.divide(x, np.linalg.norm(x, axis=-1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=-1, keepdims=True) > 0)
+    weighted = unit(np.log1p(counts) * rarity)
+    axes = np.linalg.svd(weighted, full_matrices=False)[2][:rank].T
+    known = unit(weighted @ axes)
+    out = []
+    for t in queries:
+        near = known @ unit(unit(np.log1p(grams(t)) * rarity) @ axes)
+        top = sorted(range(len(texts)), key=lambda i: -near[i])[:neighbours]
+        votes = [max(near[i], 0) ** 4 for i in top]
+        out.append(sum(v * labels[i] for v, i in zip(votes, top)) / sum(votes) if sum(votes) else np.mean(labels))
+    return out
+
+
+def test_classifier_against_a_plain_version():
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcXYZ09.,!# \n\t"), rng.integers(1, 9)))
+    texts = [" ".join(word() for _ in range(rng.integers(1, 40))).encode() for _ in range(60)]
+    labels = rng.integers(0, 2, 60).tolist()
+    model = quality_classifier.fit_texts(texts, labels, terms=256, rank=60, neighbours=5)
+    queries = [" ".join(word() for _ in range(20)).encode() for _ in range(30)] + [b"", b"a"]
+    assert model.score(queries) == pytest.approx(brute_scores(texts, labels, queries, 256, 60, 5), abs=2e-3)
