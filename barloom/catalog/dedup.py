@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.catalog.aggregates import _PERIODS_SQL, LOG_SQL, due_periods, missing_log
 from barloom.catalog.joins import FACTORS_SQL, LISTED_SQL, factors_long
 from barloom.catalog.registry import query
-from barloom.catalog.views import bars_d, bars_m, companies, index_m, landing, listing, reports, table, with_views
+from barloom.catalog.views import bars_d, bars_m, calendar, companies, index_m, landing, listing, reports, table, with_views
 from barloom.operators import daybits, dedup, gaps, registry, spine
 from barloom.plans import completeness_jobs as jobs
 from barloom.plans import hot_table
@@ -179,6 +179,71 @@ def _(spark, sf):
     return missing_days(["000300.SH", "000905.SH", "399006.SZ"], have, bars_m(spark, sf).select("trade_date").distinct())
 
 
+_INDEX_SPAN = ("19950101", "20001231")
+_INDEX_GAPS_SQL = """, have_d AS (SELECT DISTINCT ts_code AS index_code, trade_date AS date_key FROM bars_d WHERE vol > 20),
+  codes_d AS (SELECT DISTINCT ts_code AS index_code FROM bars_d),
+  days AS (SELECT DISTINCT cal_date AS date_key FROM calendar WHERE is_open = '1' AND cal_date BETWEEN '19950101' AND '20001231'),
+  have_m AS (SELECT DISTINCT ts_code AS index_code, substr(trade_date, 1, 6) AS date_key FROM index_m WHERE open > 25500),
+  codes_m AS (SELECT unnest(['000300.SH', '000905.SH', '000852.SH', '399006.SZ']) AS index_code),
+  months AS (SELECT strftime(d, '%Y%m') AS date_key FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2000-12-01', INTERVAL 1 MONTH)) AS d)),
+  gone_d AS (SELECT index_code, date_key FROM (SELECT * FROM codes_d, days) ANTI JOIN have_d USING (index_code, date_key)),
+  gone_m AS (SELECT index_code, date_key FROM (SELECT * FROM codes_m, months) ANTI JOIN have_m USING (index_code, date_key))
+"""
+
+
+def _index_sources(spark, sf):
+    """A source pulled by day over all codes, and one by month over the default indices: (source, table, codes)."""
+    from barloom.operators.index_gaps import IndexSource, codes_of
+
+    daily = bars_d(spark, sf)
+    by_day = IndexSource("index_daily", "day", "ts_code", start=_INDEX_SPAN[0])
+    by_month = IndexSource("index_weight", "month", "ts_code")
+    return (
+        (by_day, daily.where("vol > 20"), daily.select(F.col("ts_code").alias("index_code"))),
+        (by_month, index_m(spark, sf).where("open > 25500"), codes_of(spark)),
+    )
+
+
+@query(
+    "u7c_index_pull_ranges",
+    with_views(
+        "bars_d calendar index_m",
+        "&"
+        + _INDEX_GAPS_SQL[1:]
+        + """SELECT 'index_daily' AS source_name, index_code, min(date_key) AS pull_start, max(date_key) AS pull_end, count(*) AS n_missing FROM gone_d GROUP BY index_code
+        UNION ALL SELECT 'index_weight', index_code, date_key || '01', strftime(last_day(strptime(date_key || '01', '%Y%m%d')), '%Y%m%d'), CAST(1 AS BIGINT) FROM gone_m""",
+    ),
+)
+def _(spark, sf):
+    from barloom.operators.index_gaps import pull_ranges
+
+    days = calendar(spark, sf)
+    day, month = [pull_ranges(s, t, codes, days, _INDEX_SPAN[1], _INDEX_SPAN[0]) for s, t, codes in _index_sources(spark, sf)]
+    return day.unionByName(month)
+
+
+@query(
+    "u7d_index_coverage",
+    with_views(
+        "bars_d calendar index_m",
+        "&"
+        + _INDEX_GAPS_SQL[1:]
+        + """, cov AS (
+          SELECT 'index_daily' AS source_name, c.index_code, (SELECT count(*) FROM days) AS n_due, (SELECT max(date_key) FROM have_d h WHERE h.index_code = c.index_code) AS last_key,
+            (SELECT count(*) FROM gone_d g WHERE g.index_code = c.index_code) AS gone FROM codes_d c
+          UNION ALL SELECT 'index_weight', c.index_code, (SELECT count(*) FROM months), (SELECT max(date_key) FROM have_m h WHERE h.index_code = c.index_code),
+            (SELECT count(*) FROM gone_m g WHERE g.index_code = c.index_code) FROM codes_m c)
+        SELECT source_name, index_code, n_due, n_due - gone AS n_have, round((n_due - gone) / n_due, 8) AS rate, last_key FROM cov""",
+    ),
+)
+def _(spark, sf):
+    from barloom.operators.index_gaps import index_coverage
+
+    days = calendar(spark, sf)
+    day, month = [index_coverage(s, t, codes, days, _INDEX_SPAN[1], _INDEX_SPAN[0]) for s, t, codes in _index_sources(spark, sf)]
+    return day.unionByName(month).withColumn("rate", F.round("rate", 8))
+
+
 @query(
     "u8_missing_range_per_security",
     with_views(

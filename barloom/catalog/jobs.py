@@ -16,11 +16,11 @@ from barloom.catalog.predicates import FULL_DAY_SQL, LIMIT_SQL
 from barloom.catalog.registry import query
 from barloom.catalog.scalars import ADJ_SQL, DIRECTIONAL_SQL
 from barloom.catalog.scans import VENDOR_SQL, bar_root, vendor_wide
-from barloom.catalog.views import bars_d, bars_m, calendar, companies, index_m, landing, listing, market, reports, suspend, with_views
+from barloom.catalog.views import bars_d, bars_m, calendar, companies, index_m, landing, listing, market, reports, suspend, table, with_views
 from barloom.functions import rolling as ts
 from barloom.functions.per_code import apply_per_code
 from barloom.operators import completeness, dedup, merge, nested, ordering, profile, series, universe
-from barloom.plans import alphas, backtest, completeness_jobs, detail, export_gate, factors, loads, panel, upkeep
+from barloom.plans import alphas, backtest, completeness_jobs, detail, export_gate, factor_meta, factors, loads, panel, upkeep
 from barloom.session import scratch_path, stage
 from barloom.sources import bars as B
 from barloom.sources import sinks
@@ -737,6 +737,79 @@ def _(spark, sf):
     return factors.refresh_meta(stored, registered, profile.factor_coverage(factors_long(spark, sf)))
 
 
+_CATALOGUE_NAME = "CASE p_partkey WHEN 0 THEN 'volume' WHEN 1 THEN 'close' WHEN 2 THEN 'mom3' ELSE 'alpha' || p_partkey END"
+_META_SQL = (
+    FACTORS_SQL[1:]
+    + f""", {VENDOR_SQL}, cov AS (SELECT factor_name, min(trade_date) AS start_date, max(trade_date) AS end_date, count(DISTINCT substr(trade_date, 1, 6)) AS month_count
+        FROM (SELECT factor_name, trade_date FROM factors UNION ALL SELECT factor_name, trade_date FROM vendor WHERE value IS NOT NULL) GROUP BY 1),
+      cat AS (SELECT {_CATALOGUE_NAME} AS factor_name, p_partkey AS n, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END AS body, CASE WHEN p_size % 3 = 0 THEN p_type ELSE '' END AS why FROM part),
+      stored AS (SELECT {_CATALOGUE_NAME} AS factor_name, CASE WHEN p_partkey % 8 = 0 THEN 'edited ' || p_brand END AS formula FROM part WHERE p_partkey % 4 = 0
+        UNION ALL SELECT 'old' || p_partkey, p_brand FROM part WHERE p_partkey % 50 = 0),
+      named AS (
+        SELECT * FROM (VALUES ('mom3', 'momentum of 3', '自研', '技术', '{{''window'': 3, ''adj_convention'': ''hfq''}}', 'python', NULL),
+          ('momentum_20', 'momentum_20', '自研', '技术', '{{''adj_convention'': ''hfq''}}', 'python', 'barloom/plans/factors.py'),
+          ('close', 'Close', 'vendor', '技术', 'close_hfq｜adjusted close', 'vendor', NULL), ('down_streak', 'down_streak', 'vendor', '统计', 'downdays｜downdays', 'vendor', NULL),
+          ('ma_5', 'mean', 'vendor', '技术', 'ma_hfq_5｜mean', 'vendor', NULL)) v(factor_name, display_name, source, category, formula, impl_kind, python_path)
+        UNION ALL SELECT c.factor_name, 'Alpha' || n, 'catalogue', 'catalogue',
+          coalesce(s.formula, CASE WHEN why = '' THEN body WHEN body = '' THEN why ELSE body || '｜[' || why || ']' END), 'formula', NULL
+        FROM cat c LEFT JOIN stored s USING (factor_name) WHERE c.factor_name NOT IN ('mom3', 'close')),
+      meta AS (SELECT n.*, c.start_date, c.end_date, coalesce(c.month_count, 0) AS month_count FROM named n LEFT JOIN cov c USING (factor_name)
+        UNION ALL SELECT factor_name, factor_name, 'kept', NULL, formula, NULL, NULL, '19900101', '19991231', 1 FROM stored WHERE factor_name NOT IN (SELECT factor_name FROM named))
+"""
+)
+
+
+def _factor_meta(spark, sf):
+    """Metadata after a refresh of two registered factors, a vendor's frame and a catalogue of as many formulas as parts."""
+
+    class Momentum3:
+        def meta(self):
+            return factors.FactorMeta("mom3", 3, display_name="momentum of 3", params=(("window", 3),))
+
+    part = table(spark, sf, "part").withColumn("factor_name", F.expr(_CATALOGUE_NAME))
+    none = F.lit(None).cast("string")
+    edited = part.where("p_partkey % 4 = 0").select("factor_name", F.expr("CASE WHEN p_partkey % 8 = 0 THEN 'edited ' || p_brand END").alias("formula"))
+    old = part.where("p_partkey % 50 = 0").select(F.expr("'old' || p_partkey").alias("factor_name"), F.col("p_brand").alias("formula"))
+    stored = edited.unionByName(old).select(
+        "factor_name",
+        F.col("factor_name").alias("display_name"),
+        F.lit("kept").alias("source"),
+        none.alias("category"),
+        "formula",
+        none.alias("impl_kind"),
+        none.alias("python_path"),
+        F.lit("19900101").alias("start_date"),
+        F.lit("19991231").alias("end_date"),
+        F.lit(1).cast("long").alias("month_count"),
+    )
+    formulas = part.select(
+        "factor_name",
+        F.col("p_partkey").alias("number"),
+        F.expr("CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END").alias("formula"),
+        F.expr("CASE WHEN p_size % 3 = 0 THEN p_type END").alias("skip_reason"),
+    )
+    wide = vendor_wide(spark, sf)
+    entries = factor_meta.first_named(
+        factor_meta.from_registered(spark, [Momentum3(), factors.Momentum(20)]).withColumn(
+            "python_path", F.when(F.col("factor_name") == "mom3", none).otherwise(F.col("python_path"))
+        ),
+        factor_meta.from_vendor(wide, {"close_hfq": "Close -adjusted close", "ma_hfq_5": "mean"}),
+        factor_meta.from_catalogue(formulas, stored),
+    )
+    values = factors_long(spark, sf).select("factor_name", "trade_date").unionByName(sinks.vendor_long(wide).where("value IS NOT NULL").select("factor_name", "trade_date"))
+    return factor_meta.refreshed(stored, entries, profile.factor_coverage(values))
+
+
+@query("c15b_factor_meta_sources", with_views("bars_m", "&" + _META_SQL + "SELECT * FROM meta"))
+def _(spark, sf):
+    return _factor_meta(spark, sf)
+
+
+@query("c15c_factor_meta_by_source", with_views("bars_m", "&" + _META_SQL + "SELECT source, count(*) AS n_factors, count(start_date) AS n_with_data FROM meta GROUP BY 1"))
+def _(spark, sf):
+    return factor_meta.by_source(_factor_meta(spark, sf))
+
+
 @query(
     "c17_vendor_batch",
     with_views(

@@ -17,6 +17,8 @@ class FactorMeta:
     window: int
     category: str = "技术"
     version: str = "1"
+    display_name: str = ""
+    params: tuple[tuple[str, object], ...] = ()
 
 
 class Factor(Protocol):
