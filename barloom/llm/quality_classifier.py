@@ -2,7 +2,8 @@
 
 A text's terms are short grams of its shape: bytes mapped to classes (small letter, capital, digit, blank, new line, each
 mark for itself), runs of one class of letters or digits as one, so that quality and not language is what texts have in
-common. Hashed into `terms` buckets, damped by the logarithm and weighted by rarity, they are projected on the leading
+common. One term more counts the words that repeat the two before them, which the shape of a text does not show. Hashed into
+`terms` - 1 buckets, which that term follows, damped by the logarithm and weighted by rarity, they are projected on the leading
 singular vectors of a labelled sample. The sample's vectors and labels are broadcast, and every document is compared with
 all of them by blocked cosine products; the `neighbours` nearest vote with the fourth power of their similarity, which
 tells near neighbours from far ones where all are similar.
@@ -21,6 +22,7 @@ further columns of `documents` are ignored by `scored` and kept by `keep_good`;
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import and_, eq
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +56,15 @@ _CLASS = _classes()
 _RUNS = np.isin(_CLASS, [97, 65, 48])
 
 
+def repeats(text: bytes) -> int:
+    """Words that are the same as each of the two before them. Two in a row also happen in good texts."""
+    words = text.split()
+    same = list(map(eq, words, words[1:]))
+    return sum(map(and_, same, same[1:]))
+
+
 def term_counts(texts: list[bytes], terms: int = TERMS) -> np.ndarray:
-    """Hashed shape grams of each text, (texts, terms)."""
+    """Hashed shape grams of each text and, as the last term, its repeated words, (texts, terms)."""
     joined = np.frombuffer(b"".join(t + b"\0" * GRAM for t in texts), np.uint8)
     of = np.repeat(np.arange(len(texts)), [len(t) + GRAM for t in texts])
     shape = _CLASS[joined]
@@ -67,8 +76,10 @@ def term_counts(texts: list[bytes], terms: int = TERMS) -> np.ndarray:
         code = code * np.uint64(257) + shape[i : i + len(code)].astype(np.uint64)
     code = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
     whole = (of[: len(code)] == of[GRAM - 1 :]) & (shape[: len(code)] != 0)
-    at = of[: len(code)][whole] * terms + (code[whole].astype(np.int64) % terms)
-    return np.bincount(at, minlength=len(texts) * terms).reshape(len(texts), terms).astype(np.float32)
+    at = of[: len(code)][whole] * terms + (code[whole].astype(np.int64) % (terms - 1))
+    counts = np.bincount(at, minlength=len(texts) * terms).reshape(len(texts), terms).astype(np.float32)
+    counts[:, -1] = [repeats(t) for t in texts]
+    return counts
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -280,7 +280,9 @@ def brute_scores(texts, labels, queries, terms, rank, neighbours):
             code = 0
             for c in padded[k : k + 4]:
                 code = (code * 257 + c) % 2**64
-            out[(code * 0x9E3779B97F4A7C15 % 2**64 >> 52) % terms] += 1
+            out[(code * 0x9E3779B97F4A7C15 % 2**64 >> 52) % (terms - 1)] += 1
+        words = t.split()
+        out[terms - 1] = sum(words[i] == words[i - 1] == words[i - 2] for i in range(2, len(words)))
         return out
 
     counts = np.array([grams(t) for t in texts])
@@ -301,8 +303,23 @@ def brute_scores(texts, labels, queries, terms, rank, neighbours):
 def test_classifier_against_a_plain_version():
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcXYZ09.,!# \n\t"), rng.integers(1, 9)))
-    texts = [" ".join(word() for _ in range(rng.integers(1, 40))).encode() for _ in range(60)]
+    texts = [" ".join(word() for _ in range(rng.integers(1, 40))).encode() for _ in range(50)]
+    texts += [b" ".join([word().encode()] * int(rng.integers(1, 40))) for _ in range(10)]
     labels = rng.integers(0, 2, 60).tolist()
     model = quality_classifier.fit_texts(texts, labels, terms=256, rank=60, neighbours=5)
-    queries = [" ".join(word() for _ in range(20)).encode() for _ in range(30)] + [b"", b"a"]
+    queries = [" ".join(word() for _ in range(20)).encode() for _ in range(30)] + [b"", b"a", b"so " * 30, b"so so good"]
     assert model.score(queries) == pytest.approx(brute_scores(texts, labels, queries, 256, 60, 5), abs=2e-3)
+
+
+def test_classifier_learns_that_words_repeat():
+    """Texts of one word over and over have the shape of good ones; what tells them apart is that the word is the same."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 8)))
+    good = lambda: " ".join(word() for _ in range(rng.integers(20, 200))).encode()
+    bad = lambda: b" ".join([word().encode()] * int(rng.integers(20, 200)))
+    texts = [good() for _ in range(200)] + [bad() for _ in range(20)]
+    model = quality_classifier.fit_texts(texts, [1] * 200 + [0] * 20)
+    assert min(model.score([good() for _ in range(50)])) >= 0.3 > max(model.score([bad() for _ in range(50)]))
+    # A word that stands twice is nothing to a good text.
+    assert model.score([good() + b" on on " + good()])[0] >= 0.3
+    assert [quality_classifier.repeats(t) for t in (b"", b"a", b"a a", b"a a a", b"a\ta\na a b b b")] == [0, 0, 0, 1, 3]
