@@ -113,7 +113,12 @@ _PERIODS_SQL = """SELECT p AS date_key FROM (SELECT strftime(last_day(CAST(d AS
     FROM (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders)))
    WHERE p >= '2005' OR substr(p, 5) IN ('0630', '1231')"""
 # What each statement adds to a period's count, over `report_quarters`.
-STATEMENTS = {n: F.col(f"n{t}") for n, t in zip(("income", "balance", "cashflow", "indicator"), "1234")}
+STATEMENTS = {n: f"n{t}" for n, t in zip(("income", "balance", "cashflow", "indicator"), "1234")}
+
+
+def statements():
+    """The same as columns, which need a session."""
+    return {n: F.col(c) for n, c in STATEMENTS.items()}
 
 
 def due_periods(spark, sf):
@@ -195,7 +200,7 @@ def _(spark, sf):
     from barloom.plans.completeness_jobs import report_completeness
 
     q = report_quarters(spark, sf)
-    return report_completeness(completeness.period_counts(q, STATEMENTS), companies(spark, sf, q), due_periods(spark, sf))
+    return report_completeness(completeness.period_counts(q, statements()), companies(spark, sf, q), due_periods(spark, sf))
 
 
 @query(

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.aggregates import _OPEN_KEYS, _PERIODS_SQL, STATEMENTS, _active_sql, active, due_periods, open_keys
+from barloom.catalog.aggregates import _OPEN_KEYS, _PERIODS_SQL, STATEMENTS, _active_sql, active, due_periods, open_keys, statements
 from barloom.catalog.joins import LISTED_SQL
 from barloom.catalog.registry import query
 from barloom.catalog.views import (
@@ -110,7 +110,7 @@ def period_cells(spark, sf):
     q = report_quarters(spark, sf)
     keys = due_periods(spark, sf).select(F.col("end_date").alias("date_key"))
     sp = universe.listed_counts(companies(spark, sf, q), keys).withColumnRenamed("listed_count", "period_stock_count")
-    counts = completeness.period_counts(q, STATEMENTS).select(F.col("end_date").alias("date_key"), *[F.col(f"{n}_count").alias(f"report_{n}") for n in STATEMENTS])
+    counts = completeness.period_counts(q, statements()).select(F.col("end_date").alias("date_key"), *[F.col(f"{n}_count").alias(f"report_{n}") for n in STATEMENTS])
     updated = q.where("end_date > '1997'").groupBy("end_date").agg(*[F.sum(f"u{t}").alias(f"u{t}") for t in REPORT_TYPES])
     each = F.array(*[F.struct(F.lit(n).alias("source_name"), F.col(f"u{t}").alias("n")) for n, t in zip(_PERIOD_SOURCES, REPORT_TYPES)])
     snaps = updated.select("end_date", F.explode(each).alias("s")).where("s.n > 0").select(
