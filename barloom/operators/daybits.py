@@ -95,7 +95,8 @@ def numbers(bits: Column, word: Column) -> Column:
 
 
 def first_number(bits: Column, word: Column) -> Column:
-    return word * 64 + F.bit_count(bits.bitwiseAND(-bits) - 1)
+    """The lowest bit is found in the binary text: arithmetic on a word whose only bit is its sign overflows."""
+    return word * 64 + F.instr(F.reverse(F.bin(bits)), "1") - 1
 
 
 def last_number(bits: Column, word: Column) -> Column:

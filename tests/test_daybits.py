@@ -61,6 +61,14 @@ def test_sets_of_one_word_top_to_bottom(spark):
     ]
 
 
+def test_span_of_a_word_with_its_sign_bit_alone(spark):
+    days = [f"{n:05d}" for n in range(64 * 3)]
+    opens = spark.createDataFrame([(d,) for d in days], "trade_date string")
+    life = spark.createDataFrame([("a", "00000", ""), ("b", "00000", "")], "ts_code string, list_date string, delist_date string")
+    have = spark.createDataFrame([("a", d) for d in days if d != days[63]] + [("b", d) for d in days if d not in (days[127], days[128])], "ts_code string, trade_date string")
+    assert sorted(map(tuple, gaps.missing_spans(life, opens, have).collect())) == [("a", "00063", "00063", 1), ("b", "00127", "00128", 2)]
+
+
 def test_dated_sets_unite(spark):
     rows = [("a", "19691231"), ("a", "20240229"), ("a", "19700101"), ("b", "20240301"), ("a", "20240229")]
     parts = [daybits.dated(spark.createDataFrame(r, "k string, d string"), "k", "d") for r in (rows[:3], rows[3:])]
