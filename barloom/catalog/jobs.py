@@ -652,11 +652,11 @@ CLOSES = Contract("closes", ("ts_code", "trade_date"), "ts_code string, trade_da
     ),
 )
 def _(spark, sf):
-    b = bars_d(spark, sf).select("ts_code", "trade_date", "close", "vol")
+    b = stage(bars_d(spark, sf).select("ts_code", "trade_date", "close", "vol"))
     v = F.col("vol").cast("long")
     path = scratch_path(spark, "closes")
     loads.load_into(path, b.where(v % 7 != 0).withColumn("close", F.when(v % 5 == 0, F.col("close") + 1).otherwise(F.col("close"))), CLOSES)
-    landed = universe.keep_listed(b, listing(spark, sf), "trade_date")
+    landed = universe.keep_listed(b, stage(listing(spark, sf)), "trade_date")
     first, again = loads.load_into(path, landed, CLOSES), loads.load_into(path, landed, CLOSES)
     n = lambda d, where: F.coalesce(d.where(where).agg(F.sum("n_rows")).scalar(), F.lit(0))
     return loads.read_stored(spark, path, CLOSES).withColumns(

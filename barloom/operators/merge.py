@@ -80,6 +80,28 @@ def classify(
     return out.select(*incoming.columns, "diff_class")
 
 
+def merged(
+    target: DataFrame, incoming: DataFrame, keys: list[str], update: list[str] | None = None, json_columns: tuple[str, ...] = ()
+) -> DataFrame:
+    """`classify` and `upsert` in one full-outer join: the target's rows after the load, with diff_class (null where no row
+    came in). The incoming rows have one row a key and no null keys; a row that is skipped stays as it is stored."""
+    types = {f.name: f.dataType for f in target.schema.fields}
+    columns = [c for c in target.columns if c not in keys]
+    changed = [c for c in (update or columns) if c in incoming.columns]
+    new = incoming.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_new_{c}") for c in changed], F.lit(True).alias("_come"))
+    old = target.select(*target.columns, *[_key(k, types[k]).alias(f"_o_{k}") for k in keys], F.lit(True).alias("_old"))
+    both = old.join(new, reduce(lambda a, b: a & b, [F.col(f"_o_{k}") == F.col(f"_k_{k}") for k in keys]), "full")
+    checks = [same_value(F.col(c), F.col(f"_new_{c}"), types[c], c in json_columns) for c in changed]
+    equal, stays = reduce(lambda a, b: a & b, checks, F.lit(True)), F.col("_old").isNotNull()
+    cls = F.when(~stays, F.lit("insert")).when(equal, F.lit("skip")).otherwise(F.lit("update"))
+    writes = F.col("diff_class").isin("insert", "update")
+    return both.withColumn("diff_class", F.when(F.col("_come"), cls)).select(
+        *[F.when(stays, F.col(k)).otherwise(F.col(f"_k_{k}")).alias(k) for k in keys],
+        *[(F.when(writes, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)) for c in columns],
+        "diff_class",
+    )
+
+
 def diff_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("diff_class").agg(F.count(F.lit(1)).alias("n_rows"))
 

@@ -108,6 +108,26 @@ def test_load_into_a_stored_table(spark):
     assert loads.load_into(path, spark.createDataFrame(stored(), cols + ", dt string"), CLOSES).collect()[0].diff_class == "skip"
 
 
+def test_load_into_reads_its_months_and_joins_once(spark, monkeypatch):
+    path, cols = scratch_path(spark, "closes"), "ts_code string, trade_date string, close double"
+    load = lambda rows, *only: loads.load_into(path, spark.createDataFrame(rows, cols), CLOSES, *only)
+    load([("A", "20240102", 1.0), ("A", "20240103", 2.0), ("B", "20240201", 3.0)])
+    seen, merged = [], loads.merge.merged
+
+    def spy(stored, *args):
+        seen.append(stored.count())
+        return merged(stored, *args)
+
+    monkeypatch.setattr(loads.merge, "merged", spy)
+    n = {r.diff_class: r.n_rows for r in load([("A", "20240102", 1.0 + 1e-12), ("", "20240103", 4.0), ("A", "20240103", None)]).collect()}
+    assert seen == [2] and n == {"skip": 1, "insert": 1, "update": 1}
+    got = sorted((r.ts_code or "", r.trade_date, r.close) for r in loads.read_stored(spark, path, CLOSES).collect())
+    assert got == [("", "20240103", 4.0), ("A", "20240102", 1.0), ("A", "20240103", None), ("B", "20240201", 3.0)]
+    with pytest.raises(ValueError, match="20240103"):
+        load([("A", "20240103", 1.0), ("A", "20240103", 1.0)])
+    assert loads.read_stored(spark, path, CLOSES).count() == 4
+
+
 def test_report_types_of_one_period_are_an_error(spark):
     firms = spark.createDataFrame([("A", "20000101", None)], "ts_code string, list_date string, delist_date string")
     rows = [("A", "20231231", "20240401", "20240301", "1", "1", 1), ("A", "20231231", "20240301", "20240501", "1", "1", 2)]
