@@ -207,7 +207,7 @@ class Backtest:
 
     @cached_property
     def rets(self) -> DataFrame:
-        return daily_returns(self.bars)
+        return stage(daily_returns(self.bars))
 
     @cached_property
     def cross(self) -> DataFrame:
@@ -239,7 +239,7 @@ class Backtest:
     @cached_property
     def changes(self) -> DataFrame:
         deltas = portfolio.holdings_delta(self.held.select("rebalance_no", "group_id", "ts_code", "weight"), self.rates)
-        return deltas.join(self.used, "rebalance_no")
+        return stage(deltas.join(self.used, "rebalance_no"))
 
     @cached_property
     def by_group(self) -> DataFrame:
@@ -253,20 +253,18 @@ class Backtest:
     def trades(self) -> DataFrame:
         return self.changes.select("trade_date", "group_id", "ts_code", "delta_weight", "cost")
 
-    @property
+    @cached_property
     def turnover(self) -> DataFrame:
         per_date = portfolio.average_turnover(self.by_group, len(self.groups))
-        return self.used.join(per_date, "rebalance_no", "left").select(
-            "trade_date", F.coalesce(F.col("turnover"), F.lit(0.0)).alias("turnover")
-        )
+        rows = self.used.join(per_date, "rebalance_no", "left")
+        return stage(rows.select("trade_date", F.coalesce(F.col("turnover"), F.lit(0.0)).alias("turnover")))
 
-    @property
+    @cached_property
     def ic(self) -> DataFrame:
         fwd = period_returns(self.rets, self.days).select("trade_date", "ts_code", "period_return")
         pairs = stage(self.scored.select("trade_date", "ts_code", "value").join(fwd, ["trade_date", "ts_code"]))
-        return self.used.select("trade_date").join(
-            xsection.information_coefficient(pairs, "value", "period_return"), "trade_date", "left"
-        )
+        measured = xsection.information_coefficient(pairs, "value", "period_return")
+        return stage(self.used.select("trade_date").join(measured, "trade_date", "left"))
 
     @cached_property
     def returns(self) -> DataFrame:

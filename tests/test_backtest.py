@@ -175,3 +175,11 @@ def test_bad_inputs_are_errors(market):
         run("20240101", "20240120")
     with pytest.raises(ValueError, match="no bars"):
         run(bars=frames["bars"].limit(0))
+
+
+def test_what_several_outputs_read_is_worked_out_once(both):
+    run, _want = both
+    for name in ("rets", "changes", "turnover", "ic", "returns"):
+        assert getattr(run, name) is getattr(run, name), name
+        plan = getattr(run, name)._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(step in plan for step in ("Window", "Join", "Aggregate")), name
