@@ -42,7 +42,8 @@ def months_of(bounds: DataFrame) -> DataFrame:
 def report_periods_of(bounds: DataFrame) -> DataFrame:
     """Quarter ends of the closed range; only 0630 and 1231 before quarterly reporting."""
     at = lambda c, day: to_day(F.concat(F.substring(c, 1, 4), F.lit(day)))
-    quarters = F.explode(F.sequence(at("s", "0301"), at("e", "1201"), F.expr("interval 3 month")))
+    # The optimizer may evaluate the sequence before the filter, and one that runs backwards is an error.
+    quarters = F.explode(F.when(F.col("s") <= F.col("e"), F.sequence(at("s", "0301"), at("e", "1201"), F.expr("interval 3 month"))))
     p = bounds.where("s <= e").select("s", "e", quarters.alias("d")).select("s", "e", ymd(F.last_day("d")).alias("end_date"))
     due = (F.substring("end_date", 1, 4) >= QUARTERLY_SINCE) | F.substring("end_date", 5, 4).isin("0630", "1231")
     return p.where((F.col("end_date") >= F.col("s")) & (F.col("end_date") <= F.col("e")) & due).select("end_date")
